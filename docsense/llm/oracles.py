@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-from docsense.llm import decontaminate, mixing
+from docsense.llm import chat, decontaminate, licenses, mixing, topk
 
 _DOCS = r"""docs AS (
   SELECT doc_id, coalesce(source, '') AS source,
@@ -57,4 +57,63 @@ GROUP BY ds.r, doc_id, bs.r, item_id, item_shingles
 HAVING count(*) >= {decontaminate.CONTAINMENT} * item_shingles
 """
 
-SQL = {"op1_source_mixing": SOURCE_MIXING, "op7_decontamination": DECONTAMINATION}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_lines(text: str) -> str:
+    bare = f"regexp_replace(lower(coalesce({text}, '')), {_quoted('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
+    spaced = f"'  ' || replace(regexp_replace({bare}, {_quoted(licenses.PUNCTUATION)}, '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
+    for other, usual in licenses.SPELLINGS.items():
+        spaced = f"replace({spaced}, '  {other}  ', '  {usual}  ')"
+    return f"list_filter(list_transform(string_split({spaced}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+LICENSES = f"""
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.known_texts())}),
+registry AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256(array_to_string({_canonical_lines("text")}, '  ')) AS digest FROM known) GROUP BY digest),
+lines AS (SELECT doc_id, {_canonical_lines("text")} AS l FROM documents),
+digests AS (SELECT doc_id, list_prepend(sha256(array_to_string(l, '  ')), list_transform(l, lambda x: sha256(x))) AS d FROM lines),
+units AS (SELECT doc_id, i AS pos, d[i + 1] AS digest FROM digests, unnest(range(0, len(d))) AS t(i))
+SELECT doc_id, CASE WHEN pos = 0 THEN 'document' ELSE 'line' END AS unit, (pos - 1)::BIGINT AS line, license_id, digest
+FROM units JOIN registry USING (digest)
+"""
+
+
+def _escaped(text: str) -> str:
+    for plain, entity in chat.ENTITIES:
+        text = f"replace({text}, '{plain}', '{entity}')"
+    return text
+
+
+CHAT_FORMAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+TOPK = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= {topk.K}
+"""
+
+SQL = {
+    "op1_source_mixing": SOURCE_MIXING,
+    "op3_licenses": LICENSES,
+    "op5_chat_format": CHAT_FORMAT,
+    "op6_topk": TOPK,
+    "op7_decontamination": DECONTAMINATION,
+}

@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds (operator 4).
 
-Training (bounded sample of labelled rows): words are counted in toxic and clean documents. A word's score is its
-log-odds ratio under an informative Dirichlet prior (the pooled word frequencies, ``PRIOR`` pseudo-counts in all); words
-whose ratio is not ``Z_MIN`` standard deviations from zero score the neutral drift, which is negative.
+Training (bounded sample of labelled rows): words are counted in toxic and clean documents, once for each document. A
+word's score is its log-odds ratio under an informative Dirichlet prior: the pooled word frequencies, with as many
+pseudo-counts as the smaller class has counts (times ``PRIOR``). Words whose ratio is not ``Z_MIN`` standard deviations from zero score the neutral drift, which is negative.
 
 Scoring (every whole text): one linear scan finds all maximal-scoring segments (Ruzzo and Tompa). Under the clean word
 distribution the best segment of n words exceeds s about ``K n exp(-lambda s)`` times by chance (Karlin and Altschul);
@@ -31,8 +31,8 @@ THRESHOLD = 0.7
 #: At most so many labelled documents are learned from, and so many words are kept in the lexicon.
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 50_000
-PRIOR = 1_000.0
-Z_MIN = 3.0
+PRIOR = 1.0
+Z_MIN = 2.5
 NEUTRAL = -0.1
 SIGNIFICANT = 0.05
 
@@ -74,9 +74,9 @@ def segments(hits: list[tuple[int, float]], neutral: float = NEUTRAL) -> list[tu
 
 
 def scan(text: str | None, lexicon: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words, and the maximal segments by word position."""
+    """Number of words, and the maximal segments by word position; a run of one repeated word scores once."""
     words = WORDS.findall((text or "").lower())
-    return len(words), segments([(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon])
+    return len(words), segments([(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon and (not i or words[i - 1] != w)])
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], rate: float, scale: float) -> float:
@@ -109,7 +109,7 @@ def _count_batches(batches):
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            (toxic if label else clean).update(WORDS.findall(text.lower()))
+            (toxic if label else clean).update(set(WORDS.findall(text.lower())))
         if len(toxic) + len(clean) > 500_000:
             yield _partial_counts(toxic, clean)
             toxic, clean = Counter(), Counter()
@@ -149,8 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon: dict[str, float] = {}
     rate = scale = 1.0
     if n_toxic and n_clean:
-        prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
-        odds = lambda k, n: F.log((k + prior) / (n + PRIOR - k - prior))
+        pseudo = PRIOR * min(n_toxic, n_clean)
+        prior = F.lit(pseudo) * (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
+        odds = lambda k, n: F.log((k + prior) / (n + pseudo - k - prior))
         scored = counts.select(
             "word",
             "clean",

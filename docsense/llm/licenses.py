@@ -137,7 +137,7 @@ def canonical_lines(text: Column) -> Column:
     spaced = F.concat(F.lit("  "), F.replace(F.regexp_replace(bare, PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for other, usual in SPELLINGS.items():
         spaced = F.replace(spaced, F.lit(f"  {other}  "), F.lit(f"  {usual}  "))
-    return F.filter(F.transform(F.split(spaced, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(spaced, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def canonical(lines: Column) -> Column:

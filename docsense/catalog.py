@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+FAMILIES = ("usage",)
+
+
+def _families():
+    return [importlib.import_module(f"docsense.plans.{name}") for name in FAMILIES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in _families() for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in _families() for name, sql in family.SQL.items()}

@@ -216,16 +216,19 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CO
     return out
 
 
+def _clean(shared, threshold: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        for at, _, _ in matches(texts.tolist(), shared.value, threshold, WordIds()):
+            hit[at] = True
+        return pd.Series(~hit)
+
+    return clean
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; columns unchanged, no shuffle."""
     for shared in index_blocks(benchmark):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            for at, _, _ in matches(texts.tolist(), shared.value, threshold, WordIds()):
-                hit[at] = True
-            return pd.Series(~hit)
-
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.where(_clean(shared, threshold)(F.col("text")))
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("usage",)
+FAMILIES = ("usage", "rules", "search")
 
 
 def _families():

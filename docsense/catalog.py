@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("usage", "rules", "search")
+FAMILIES = ("usage", "rules", "search", "corpus")
 
 
 def _families():

@@ -186,7 +186,7 @@ def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document row and benchmark item with containment of at least ``threshold``.
 
     Reads doc_id and text only. Repeated documents give repeated rows; repeated identical items count once; null texts
@@ -194,7 +194,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CO
     """
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    for shared in index_blocks(benchmark):
+    for shared in index_blocks(benchmark, block_bytes):
 
         def search(batches, shared=shared):
             index, ids = shared.value, WordIds()

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FALSE = F.lit(False)
-
 
 def _safe(condition: Column) -> Column:
     """Two-valued logic: a missing value makes a leaf false, also below NOT."""

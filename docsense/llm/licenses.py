@@ -131,13 +131,19 @@ def known_texts() -> list[tuple[str, str]]:
     return sorted({(k, t) for k, t in [*TEXTS.items(), *stated]})
 
 
-def canonical_lines(text: Column) -> Column:
-    """The non-empty lines of a text in canonical form; words are parted by two spaces."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?md)" + COPYRIGHT_LINE, "")
-    spaced = F.concat(F.lit("  "), F.replace(F.regexp_replace(bare, PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
-    for other, usual in SPELLINGS.items():
-        spaced = F.replace(spaced, F.lit(f"  {other}  "), F.lit(f"  {usual}  "))
-    return F.filter(F.transform(F.split(spaced, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+def canonical_lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and lines: the non-empty lines of ``text`` in canonical form; words are parted by two spaces.
+
+    The steps are selects of their own, so each is evaluated once for a row; the replacements of spellings run where any
+    of them occurs.
+    """
+    bare = rows.select(*keep, F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "(?md)" + COPYRIGHT_LINE, "").alias("t"))
+    spaced = bare.select(*keep, F.concat(F.lit("  "), F.replace(F.regexp_replace("t", PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  ")).alias("t"))
+    usual = F.col("t")
+    for other, common in SPELLINGS.items():
+        usual = F.replace(usual, F.lit(f"  {other}  "), F.lit(f"  {common}  "))
+    same = spaced.select(*keep, F.when(F.col("t").rlike("  (" + "|".join(SPELLINGS) + ")  "), usual).otherwise(F.col("t")).alias("t"))
+    return same.select(*keep, F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
 
 
 def canonical(lines: Column) -> Column:
@@ -151,7 +157,7 @@ def digest(text: Column) -> Column:
 def registry(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """license_id and digest of known texts; texts that are equal in canonical form keep the first id."""
     rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in texts or known_texts()])
-    known = spark.range(1).select(F.inline(rows)).select("license_id", digest(canonical(canonical_lines(F.col("text")))).alias("digest"))
+    known = canonical_lines(spark.range(1).select(F.inline(rows)), "license_id").select("license_id", digest(canonical(F.col("lines"))).alias("digest"))
     return known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -162,8 +168,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     A text of one line that is a licence matches as document and as line. Null, empty and unmatched texts give no rows,
     repeated rows give repeated matches, and columns other than doc_id and text are ignored.
     """
-    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    lines = canonical_lines(docs.select("doc_id", "text"), "doc_id")
     digests = lines.select("doc_id", F.concat(F.array(digest(canonical(F.col("lines")))), F.transform("lines", digest)).alias("digests"))
-    units = digests.select("doc_id", F.posexplode("digests").alias("at", "digest"))
+    units = digests.select("doc_id", F.posexplode_outer("digests").alias("at", "digest"))
     found = units.join(F.broadcast(registry(docs.sparkSession, texts)), "digest")
     return found.select("doc_id", F.when(F.col("at") == 0, "document").otherwise("line").alias("unit"), (F.col("at") - 1).cast("long").alias("line"), "license_id", "digest")

@@ -264,3 +264,44 @@ def join_semi_except(spark, d):
 def cube_balances(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.cube("c_mktsegment", "n_name").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT source, 'docs' AS framework, count(*) FILTER (contains(lower(text), 'license')) AS mentions, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT source, 'apache', count(*) FILTER (contains(lower(text), 'apache')), count(*) FROM documents GROUP BY 1")
+def framework_mentions(spark, d):
+    """Documents of each source that mention each framework name, zero-filled."""
+    low = F.lower("text")
+    row = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(low.contains("license")).alias("a"), F.count_if(low.contains("apache")).alias("b"))
+    return row.select("source", F.inline(F.array(F.struct(F.lit("docs").alias("framework"), F.col("a").alias("mentions")), F.struct(F.lit("apache").alias("framework"), F.col("b").alias("mentions")))), "n")
+
+
+@query("SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: trim(x) = '')) AS blank, len(l) - len(list_distinct(l)) AS repeated FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def structure_check(spark, d):
+    """Lines of each document, and how many are blank or repeated."""
+    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda x: F.trim(x) == "")).cast("long").alias("blank"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("repeated"))
+
+
+@query("SELECT user_id, max(ts) AS last_sync, CASE WHEN TIMESTAMP '2024-01-31' - max(ts) > INTERVAL 24 HOUR THEN 'outdated' ELSE 'current' END AS status FROM events GROUP BY 1")
+def sync_stale(spark, d):
+    """Sources whose last event is more than a day old at the end of the window."""
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_sync"))
+    age = F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("last_sync").cast("timestamp"))
+    return last.select("user_id", "last_sync", F.when(age > 24 * 3600 * 1_000_000, "outdated").otherwise("current").alias("status"))
+
+
+@query("WITH m AS (SELECT c_custkey, c_nationkey, c_mktsegment, lead(c_mktsegment) OVER w AS next_segment, lead(c_acctbal) OVER w AS next_balance, c_acctbal FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) SELECT c_custkey, 'segment' AS field, c_mktsegment AS before, next_segment AS after FROM m WHERE c_mktsegment IS DISTINCT FROM next_segment UNION ALL SELECT c_custkey, 'debt', (c_acctbal < 0)::VARCHAR, (next_balance < 0)::VARCHAR FROM m WHERE (c_acctbal < 0) IS DISTINCT FROM (next_balance < 0)")
+def metadata_diff(spark, d):
+    """Attributes that differ, nulls included, between a record and the next of its group."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    debt = (F.col("c_acctbal") < 0).cast("string")
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("s1"), F.lead("c_mktsegment").over(w).alias("s2"), debt.alias("b1"), F.lead(debt).over(w).alias("b2"))
+    fields = F.array(F.struct(F.lit("segment").alias("field"), F.col("s1").alias("before"), F.col("s2").alias("after")), F.struct(F.lit("debt").alias("field"), F.col("b1").alias("before"), F.col("b2").alias("after")))
+    return rows.select("c_custkey", F.inline(F.filter(fields, lambda x: ~x["before"].eqNullSafe(x["after"]))))
+
+
+@query("SELECT p_partkey, round(0.5e0 * contains(lower(p_name), 'blue')::INTEGER + 0.3e0 * contains(lower(p_type), 'steel')::INTEGER + 0.2e0 * (p_size < 10)::INTEGER, 6) AS score FROM part WHERE 0.5e0 * contains(lower(p_name), 'blue')::INTEGER + 0.3e0 * contains(lower(p_type), 'steel')::INTEGER + 0.2e0 * (p_size < 10)::INTEGER >= 0.2 ORDER BY score DESC, p_partkey LIMIT 20")
+def project_recommendations(spark, d):
+    """The twenty best records for a project's terms: weighted matches above a threshold."""
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    score = 0.5 * one(F.lower("p_name").contains("blue")) + 0.3 * one(F.lower("p_type").contains("steel")) + 0.2 * one(F.col("p_size") < 10)
+    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score")).where("score >= 0.2").orderBy(F.desc("score"), "p_partkey").limit(20)

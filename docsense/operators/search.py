@@ -107,6 +107,28 @@ def top_k(scored: DataFrame, query: str, key: str, k: int, score: str = "score")
     return ranked.where((F.col(score) > THRESHOLD) & (F.col("rank") <= k))
 
 
+#: Metadata fields that count double.
+IMPORTANT = ("title", "category", "tags", "description", "summary")
+
+
+def metadata_score(words: list[str], fields: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
+    """Words found in text fields, and items of list fields that hold a word, over the weights of the fields present; at most 1.
+
+    Fields named in `IMPORTANT` weigh two, others one. A null field isn't present; without any the score is 0.
+    """
+    weight = lambda name: 2.0 if name in IMPORTANT else 1.0
+    holds = lambda text: [F.lower(text).contains(w) for w in words]
+    hits, total = F.lit(0.0), F.lit(0.0)
+    for name, text in fields.items():
+        hits = hits + sum((F.when(h, weight(name)).otherwise(0.0) for h in holds(text)), F.lit(0.0))
+        total = total + F.when(text.isNotNull(), weight(name)).otherwise(0.0)
+    for name, items in (lists or {}).items():
+        found = F.filter(items, lambda x: F.coalesce(*[F.when(h, True) for h in holds(x)], F.lit(False)))
+        hits = hits + F.when(items.isNotNull(), weight(name) * F.size(found)).otherwise(0.0)
+        total = total + F.when(items.isNotNull(), weight(name)).otherwise(0.0)
+    return F.least(F.coalesce(F.try_divide(hits, total), F.lit(0.0)), F.lit(1.0))
+
+
 def rerank(init: Column, exact: Column, tf: Column, near: Column, place: Column, meta: Column, recent: Column) -> Column:
     """Weighted sum of the first score and six signals, at most twice the first score."""
     total = 0.4 * init + 0.2 * exact + 0.15 * tf + 0.1 * near + 0.05 * place + 0.05 * meta + 0.05 * recent

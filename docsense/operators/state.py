@@ -1,84 +1,110 @@
-"""Stateful admission: rate limits, reputation, breakers, cooldowns and caches over ordered events.
+"""Stateful admission: rate limits, breakers, cooldowns and caches over ordered events.
 
-State depends on what was decided before, so a key's events are folded in order inside one group; a key's history is
-bounded by its own events, and ``applyInPandas`` never sees more than one key.
+A decision depends on earlier ones, so events are taken in order. A machine is a function ``step(state, t, value)`` that
+gives the decision and the next state; its state is small (at most as many numbers as events may pass) and made of plain
+lists and numbers, so that the same machine serves tables (`fold`) and streams (`docsense.streaming.state`).
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Step = Callable[[list | None, float, object], tuple[object, list]]
 
-def admit(times: list[float], window: float, most: int) -> list[bool]:
+
+def admit(window: float, most: int) -> Step:
     """Sliding-window log: an event passes if fewer than ``most`` passed within ``window`` before it; rejections aren't logged."""
-    log, out = deque(), []
-    for t in times:
-        while log and log[0] <= t - window:
-            log.popleft()
-        out.append(len(log) < most)
-        if out[-1]:
-            log.append(t)
-    return out
 
+    def step(log, t, _):
+        log = [x for x in log or [] if x > t - window]
+        return len(log) < most, log + [t] if len(log) < most else log
+
+    return step
 
-def admit_tiers(times: list[float], tiers: list[tuple[float, int]]) -> list[bool]:
+
+def admit_tiers(tiers: list[tuple[float, int]]) -> Step:
     """All tiers must agree; a passed event counts once in each."""
-    logs, out = [deque() for _ in tiers], []
-    for t in times:
-        for log, (window, _) in zip(logs, tiers):
-            while log and log[0] <= t - window:
-                log.popleft()
-        out.append(all(len(log) < most for log, (_, most) in zip(logs, tiers)))
-        if out[-1]:
-            for log in logs:
-                log.append(t)
-    return out
 
+    def step(logs, t, _):
+        logs = [[x for x in log if x > t - window] for log, (window, _) in zip(logs or [[] for _ in tiers], tiers)]
+        ok = all(len(log) < most for log, (_, most) in zip(logs, tiers))
+        return ok, [log + [t] for log in logs] if ok else logs
 
-def breaker(times: list[float], failed: list[bool], limit: int, rest: float) -> list[str]:
-    """Circuit state at each call: opens after ``limit`` failures in a row, half open after ``rest``, closes on success."""
-    out, fails, opened = [], 0, None
-    for t, bad in zip(times, failed):
+    return step
+
+
+def breaker(limit: int, rest: float) -> Step:
+    """Circuit state at each call (value: whether it failed): opens after ``limit`` failures in a row, half open after ``rest``, closes on success."""
+
+    def step(state, t, bad):
+        fails, opened = state or [0, None]
         if opened is not None and t - opened < rest:
-            out.append("open")
-            continue
-        out.append("closed" if opened is None else "half_open")
-        fails = fails + 1 if bad else 0
-        opened = t if bad and (fails >= limit or opened is not None) else None if not bad else opened
-    return out
+            return "open", [fails, opened]
+        seen = "closed" if opened is None else "half_open"
+        if not bad:
+            return seen, [0, None]
+        return seen, [fails + 1, t if fails + 1 >= limit or opened is not None else None]
 
+    return step
 
-def cooldown(times: list[float], values: list[float], limit: float, rest: float) -> list[bool]:
-    """Alerts above ``limit``, at most one in ``rest`` from the last one that fired."""
-    out, last = [], None
-    for t, v in zip(times, values):
-        fire = v > limit and (last is None or t - last >= rest)
-        last = t if fire else last
-        out.append(fire)
-    return out
 
+def cooldown(limit: float, rest: float) -> Step:
+    """Alerts on values above ``limit``, at most one in ``rest`` from the last one that fired; a null value doesn't fire."""
 
-def cache_hits(times: list[float], ttl: float) -> list[bool]:
+    def step(last, t, value):
+        fire = value is not None and value > limit and (not last or t - last[0] >= rest)
+        return fire, [t] if fire else last or []
+
+    return step
+
+
+def cache_hits(ttl: float) -> Step:
     """Hits of a cache filled on a miss and not refreshed on a hit."""
-    out, filled = [], None
-    for t in times:
-        hit = filled is not None and t - filled < ttl
-        filled = filled if hit else t
-        out.append(hit)
+
+    def step(filled, t, _):
+        hit = bool(filled) and t - filled[0] < ttl
+        return hit, filled if hit else [t]
+
+    return step
+
+
+def replay(step: Step, times: Iterable[float], values: Iterable | None = None) -> list:
+    """Decisions of a machine over events in order."""
+    state, out, times = None, [], list(times)
+    for t, value in zip(times, values or [None] * len(times)):
+        decision, state = step(state, t, value)
+        out.append(decision)
     return out
 
 
-def fold(events: DataFrame, key: str, order: list[str], decide, column: str, kind: str) -> DataFrame:
-    """``events`` with ``decide(frame)`` (one value a row, in order) as ``column``; frame is one key's events with ``t``."""
-    rows = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    schema = f"{key} {dict(rows.dtypes)[key]}, event_id long, {column} {kind}"
+def seconds(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
+def fold(events: DataFrame, key: str, step: Step, column: str, kind: str, value: Column | None = None) -> DataFrame:
+    """(key, event_id, decision) of every event, by key in the order of ts and event_id.
+
+    Each key's events are sorted within one partition and pass by in batches with the state carried along: memory is
+    that of one batch and one state, however many events a key has. Null keys are one key.
+    """
+    key_type = dict(events.dtypes)[key]
+    rows = events.select(key, "event_id", seconds(F.col("ts")).alias("t"), (F.lit(None).cast("boolean") if value is None else value).alias("value"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "t", "event_id")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return pd.DataFrame({key: frame[key], "event_id": frame["event_id"], column: decide(frame)})
+    def run(batches):
+        current, state = object(), None
+        for batch in batches:
+            keys, times, values = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            out = []
+            for k, t, v in zip(keys, times, values):
+                if k != current:
+                    current, state = k, None
+                decision, state = step(state, t, v)
+                out.append(decision)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_() if kind == "boolean" else pa.string())], names=[key, "event_id", column])
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return ordered.mapInArrow(run, f"{key} {key_type}, event_id long, {column} {kind}")

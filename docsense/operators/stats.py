@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +114,57 @@ def change_points(points: DataFrame, key: str, order: str, value: str, width: in
     return out.where(inner & (F.col("before") > 0) & (F.abs(F.col("after") - F.col("before")) > limit * F.col("before")))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation over the rows where both are given; null without spread (where ``corr`` fails)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def linear_trend(points: DataFrame, key: str, x: str, value: str) -> DataFrame:
     return points.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(value, x), 6).alias("slope"), F.round(F.regr_intercept(value, x), 6).alias("intercept"), F.round(F.corr(value, x), 6).alias("r")
+        F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(value, x), 6).alias("slope"), F.round(F.regr_intercept(value, x), 6).alias("intercept"), F.round(correlation(value, x), 6).alias("r")
     )
 
 
+def t_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's t: the regularised incomplete beta function at df / (df + t^2), by its continued fraction."""
+    a, b, x = df / 2, 0.5, df / (df + t * t)
+    if x in (0.0, 1.0):
+        return x
+    if x > (a + 1) / (a + b + 2):
+        a, b, x, flipped = b, a, 1 - x, True
+    else:
+        flipped = False
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Lentz's method: odd and even coefficients in turn.
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+    value = d
+    for m in range(1, 300):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d)
+            c = 1.0 + term / c
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return 1 - front * value if flipped else front * value
+
+
+def trend_significance(points: DataFrame, key: str, x: str, value: str, level: float = 0.05) -> DataFrame:
+    """Slope, correlation and the p-value of a linear trend; one row per key, so the tail runs on aggregates only.
+
+    The p-value is null for fewer than three points or without spread, 0 for an exact line.
+    """
+
+    @F.pandas_udf("double")
+    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
+        one = lambda c, k: None if k < 3 or c != c else 0.0 if abs(c) >= 1 else t_tail(c * math.sqrt((k - 2) / (1 - c * c)), k - 2)
+        return pd.Series([one(c, k) for c, k in zip(r.astype("float64"), n)], dtype="float64")
+
+    fitted = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, x).alias("slope"), correlation(value, x).alias("r"))
+    return fitted.select(key, "n", F.round("slope", 6).alias("slope"), F.round("r", 6).alias("r"), F.round(tail("r", "n"), 9).alias("p")).withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+
+
 def forecast(points: DataFrame, key: str, x: str, value: str, steps: int = 3) -> DataFrame:
     """Linear forecast ``steps`` ahead, not below zero, with two residual deviations that widen by a tenth a step."""
     fit = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, x).alias("b"), F.regr_intercept(value, x).alias("a"), F.stddev_samp(value).alias("sd"), F.max(x).alias("last"))

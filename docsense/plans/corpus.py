@@ -203,27 +203,27 @@ def _events(spark, d):
 @query()
 def rate_limit_log(spark, d):
     """At most three events of a user in any twelve hours."""
-    return state.fold(_events(spark, d), "user_id", ["t", "event_id"], lambda f: state.admit(f.t.tolist(), 43_200, 3), "allowed", "boolean")
+    return state.fold(_events(spark, d), "user_id", state.admit(43_200, 3), "allowed", "boolean")
 
 
 @query()
 def multi_tier_limit(spark, d):
-    return state.fold(_events(spark, d), "user_id", ["t", "event_id"], lambda f: state.admit_tiers(f.t.tolist(), [(3_600, 1), (86_400, 4)]), "allowed", "boolean")
+    return state.fold(_events(spark, d), "user_id", state.admit_tiers([(3_600, 1), (86_400, 4)]), "allowed", "boolean")
 
 
 @query()
 def circuit_breaker(spark, d):
-    return state.fold(_events(spark, d), "user_id", ["t", "event_id"], lambda f: state.breaker(f.t.tolist(), (f.event_type == "error").tolist(), 2, 86_400), "state", "string")
+    return state.fold(_events(spark, d), "user_id", state.breaker(2, 86_400), "state", "string", F.col("event_type") == "error")
 
 
 @query()
 def alert_cooldown(spark, d):
-    return state.fold(_events(spark, d), "user_id", ["t", "event_id"], lambda f: state.cooldown(f.t.tolist(), f.value.tolist(), 50, 86_400), "fired", "boolean")
+    return state.fold(_events(spark, d), "user_id", state.cooldown(50, 86_400), "fired", "boolean", F.col("value"))
 
 
 @query()
 def ttl_cache_hits(spark, d):
-    return state.fold(_events(spark, d), "user_id", ["t", "event_id"], lambda f: state.cache_hits(f.t.tolist(), 43_200), "hit", "boolean")
+    return state.fold(_events(spark, d), "user_id", state.cache_hits(43_200), "hit", "boolean")
 
 
 @query("WITH o AS (SELECT user_id, event_type, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(0.5e0 * pow(0.9e0, max(n)) + sum(0.1e0 * pow(0.9e0, n - i) * CASE WHEN event_type = 'error' THEN 0e0 ELSE 1e0 END), 6) AS reputation FROM o GROUP BY 1")

@@ -106,6 +106,15 @@ def ir_metrics(spark, d):
     return search.ir_metrics(hits, relevant, 10)
 
 
+_META = "(2 * (contains(lower(p_name), 'blue')::INTEGER + contains(lower(p_name), 'steel')::INTEGER) + contains(lower(p_brand), 'blue')::INTEGER + contains(lower(p_brand), 'steel')::INTEGER + 2 * len(list_filter(string_split(p_type, ' '), lambda x: contains(lower(x), 'blue') OR contains(lower(x), 'steel')))) / 5e0"
+
+
+@query(f"SELECT p_partkey, round(least({_META}, 1e0), 6) AS score FROM part")
+def metadata_score(spark, d):
+    score = search.metadata_score(["blue", "steel"], {"title": F.col("p_name"), "brand": F.col("p_brand")}, {"tags": F.split("p_type", " ")})
+    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
 @query()
 def rerank(spark, d):
     """Keyword hits reranked by phrase, frequency, proximity and position signals."""
@@ -115,7 +124,7 @@ def rerank(spark, d):
     scored = table(spark, d, "documents").where(F.lower("text").contains("stupid")).select(
         F.lit("stupid worthless").alias("query"),
         "doc_id",
-        F.round(search.rerank(init, F.lower("text").contains("stupid worthless").cast("double"), search.term_frequency(words, text), search.proximity_score(words, held), search.position_score(words, held), F.lit(0.0), F.lit(0.5)), 6).alias("score"),
+        F.round(search.rerank(init, F.lower("text").contains("stupid worthless").cast("double"), search.term_frequency(words, text), search.proximity_score(words, held), search.position_score(words, held), search.metadata_score(words, {"source": F.col("source"), "lang": F.col("lang")}), F.lit(0.5)), 6).alias("score"),
     )
     return search.top_k(scored, "query", "doc_id", 20).select("query", "doc_id", "score", "rank")
 

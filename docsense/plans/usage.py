@@ -207,6 +207,11 @@ def linear_trend(spark, d):
     return stats.linear_trend(_series(spark, d), "event_type", "x", "v")
 
 
+@query()
+def trend_significance(spark, d):
+    return stats.trend_significance(_series(spark, d), "event_type", "x", "v")
+
+
 @query(f"WITH {_S}, f AS (SELECT event_type, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, stddev_samp(v) AS sd, max(x) AS last FROM s GROUP BY 1), g AS (SELECT event_type, step::INTEGER AS step, greatest(a + b * (last + step), 0e0) AS mean, 2 * sd * (1 + 0.1e0 * step) AS half FROM f, range(1, 4) t(step)) SELECT event_type, step, round(mean, 4) AS forecast, round(greatest(mean - half, 0e0), 4) AS low, round(mean + half, 4) AS high FROM g")
 def forecast(spark, d):
     return stats.forecast(_series(spark, d), "event_type", "x", "v")

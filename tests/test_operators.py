@@ -2,10 +2,13 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from docsense.operators import graph, rules, scan, search, state, stats, tokens, usage, vectors, versions
+from docsense.streaming import state as stream_state
+from docsense.streaming.usage import drain
 
 
 def test_usage_ranges():
@@ -26,6 +29,27 @@ def test_nearest_rank_differs_from_linear(spark):
     assert stats.summary_linear(points, "name", "value").first().median == 5.5
 
 
+def test_trend_significance(spark):
+    rng = random.Random(5)
+    # The tail by the midpoint rule over the density.
+    for t, df in ((0.5, 3), (2.1, 10), (3.0, 40), (0.0, 7)):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        inside = sum(c * (1 + ((i + 0.5) * t / 20_000) ** 2 / df) ** (-(df + 1) / 2) * t / 20_000 for i in range(20_000))
+        assert math.isclose(stats.t_tail(t, df), 1 - 2 * inside, abs_tol=1e-7)
+    rows = [("up", float(i), i + rng.random()) for i in range(20)] + [("flat", float(i), rng.random()) for i in range(20)] + [("two", 0.0, 1.0), ("two", 1.0, 2.0), ("same", 1.0, 3.0), ("same", 2.0, 3.0), ("same", 3.0, 3.0)]
+    got = {r.k: r for r in stats.trend_significance(spark.createDataFrame(rows, "k string, x double, v double"), "k", "x", "v").collect()}
+    assert got["up"].significant and got["up"].p < 1e-9 and not got["flat"].significant and 0.05 <= got["flat"].p <= 1
+    assert got["two"].p is None and got["same"].p is None and not got["same"].significant
+
+
+def test_metadata_score(spark):
+    rows = spark.createDataFrame([("Safe API", None, ["api", "web", "api x"]), (None, None, None), ("none", "x", [])], "title string, author string, tags array<string>")
+    score = search.metadata_score(["api", "safe"], {"title": F.col("title"), "author": F.col("author")}, {"tags": F.col("tags")})
+    assert [r[0] for r in rows.select(score).collect()] == [1.0, 0.0, 0.0]
+    only = search.metadata_score(["api"], {"title": F.col("title"), "author": F.col("author")})
+    assert [r[0] for r in rows.select(only).collect()] == [1.0, 0.0, 0.0]
+
+
 def test_outliers_zero_spread(spark):
     points = spark.createDataFrame([("m", 5.0)] * 10, "name string, value double")
     assert stats.outliers(points, "name", "value").where("by_iqr OR by_z OR by_mad").count() == 0
@@ -103,13 +127,41 @@ def test_versions(spark):
 
 
 def test_limiter_boundaries():
-    assert state.admit([0, 1, 2, 10, 10.5], 10, 2) == [True, True, False, True, False]
+    assert state.replay(state.admit(10, 2), [0, 1, 2, 10, 10.5]) == [True, True, False, True, False]
     times = sorted(random.Random(1).uniform(0, 100) for _ in range(300))
-    passed = [t for t, ok in zip(times, state.admit(times, 7, 4)) if ok]
+    passed = [t for t, ok in zip(times, state.replay(state.admit(7, 4), times)) if ok]
     assert all(sum(a - 7 < b <= a for b in passed) <= 4 for a in passed)
-    assert state.breaker([0, 1, 2, 3, 20], [True, True, True, True, False], 2, 10) == ["closed", "closed", "open", "open", "half_open"]
-    assert state.cooldown([0, 5, 11], [9, 9, 9], 5, 10) == [True, False, True]
-    assert state.cache_hits([0, 5, 11, 12], 10) == [False, True, False, True]
+    assert state.replay(state.admit_tiers([(10, 2), (100, 3)]), [0, 1, 2, 11, 12, 50]) == [True, True, False, True, False, False]
+    assert state.replay(state.breaker(2, 10), [0, 1, 2, 3, 20], [True, True, True, True, False]) == ["closed", "closed", "open", "open", "half_open"]
+    assert state.replay(state.cooldown(5, 10), [0, 5, 11, 30], [9, 9, 9, None]) == [True, False, True, False]
+    assert state.replay(state.cache_hits(10), [0, 5, 11, 12]) == [False, True, False, True]
+
+
+def _timeline(spark, first, last):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, i * 60 + rng.random()) for i in range(400)]
+    return spark.createDataFrame(rows[first:last], "k long, event_id long, s double").select("k", "event_id", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"))
+
+
+def test_fold_equals_replay(spark):
+    events = _timeline(spark, 0, 400)
+    got = {r.event_id: r.ok for r in state.fold(events, "k", state.admit(600, 3), "ok", "boolean").collect()}
+    rows = events.select("k", "event_id", state.seconds(F.col("ts")).alias("t")).collect()
+    for k in (1, 2, None):
+        mine = sorted((r.t, r.event_id) for r in rows if r.k == k)
+        assert [got[i] for _, i in mine] == state.replay(state.admit(600, 3), [t for t, _ in mine])
+    assert len(got) == 400 and state.fold(events.limit(0), "k", state.admit(600, 3), "ok", "boolean").count() == 0
+
+
+def test_stream_equals_fold(spark, tmp_path):
+    for n, (a, b) in enumerate([(0, 150), (150, 400)]):
+        _timeline(spark, a, b).where("k IS NOT NULL").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    events = _timeline(spark, 0, 400).where("k IS NOT NULL")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(stream_state.decide(stream, "k", state.admit(600, 3), "ok", "boolean"), str(tmp_path / "out"), str(tmp_path / "check"))
+    want = {tuple(r) for r in state.fold(events, "k", state.admit(600, 3), "ok", "boolean").collect()}
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "event_id", "ok").collect()} == want and len(want) > 200
 
 
 def test_scans(spark):

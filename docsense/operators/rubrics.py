@@ -38,6 +38,11 @@ def _steps(value: Column, *steps: tuple[int, int]) -> Column:
     return out.otherwise(0)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def completeness(text: Column, low: Column, filled: Sequence[Column]) -> Column:
     """Named sections 30, length 20, filled metadata 20, code 15, a picture or diagram 15."""
     named = _share([low.contains(s) for s in SECTIONS])
@@ -51,13 +56,13 @@ def consistency(text: Column) -> Column:
     Of the ten most frequent terms, those that occur twice or more count. Needs no grouping: sorted terms meet their
     neighbours.
     """
-    levels, terms = heading_levels(text), F.array_sort(technical_terms(text))
-    jumps = F.zip_with(levels, F.slice(levels, F.lit(2), F.size(levels)), lambda a, b: F.abs(b - a))
-    steps = F.filter(jumps, lambda x: x.isNotNull())
-    even = F.coalesce(F.try_divide(F.size(F.filter(steps, lambda x: x <= 1)), F.size(steps)), F.lit(0.0))
-    again = F.zip_with(terms, F.slice(terms, F.lit(2), F.size(terms)), lambda a, b: F.when(a == b, a))
-    repeated = F.size(F.array_distinct(F.filter(again, lambda x: x.isNotNull())))
-    used = F.coalesce(F.try_divide(F.least(repeated, F.lit(10)), F.least(F.size(F.array_distinct(terms)), F.lit(10))), F.lit(0.0))
+    jumps = lambda levels: F.zip_with(levels, F.slice(levels, F.lit(2), F.size(levels)), lambda a, b: F.abs(b - a))
+    part = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    small = lambda steps: part(F.size(F.filter(steps, lambda x: x <= 1)), F.size(steps))
+    even = _let(heading_levels(text), lambda levels: _let(F.filter(jumps(levels), lambda x: x.isNotNull()), small))
+    again = lambda terms: F.zip_with(terms, F.slice(terms, F.lit(2), F.size(terms)), lambda a, b: F.when(a == b, a))
+    repeated = lambda terms: F.size(F.array_distinct(F.filter(again(terms), lambda x: x.isNotNull())))
+    used = _let(F.array_sort(technical_terms(text)), lambda terms: part(F.least(repeated(terms), F.lit(10)), F.least(F.size(F.array_distinct(terms)), F.lit(10))))
     fences = F.regexp_extract_all(text, F.lit(r"```([A-Za-z0-9_]*)"), F.lit(1))
     alike = F.coalesce(1 - F.try_divide(F.size(F.array_distinct(fences)), F.size(fences)), F.lit(0.0))
     return 25 * even + 25 * used + 25 * alike + F.when(text.rlike(r"\[[^\[\]]+\]\([^()]+\)"), 25).otherwise(0)
@@ -69,7 +74,7 @@ def clarity(text: Column, low: Column) -> Column:
     sentence = F.try_divide(words, F.regexp_count(text, F.lit(r"[^ \t\r\n.!?][^.!?]*")))
     blocks = F.size(F.filter(F.split(text, "\n\n"), lambda x: x.rlike(r"[^ \t\r\n]")))
     paragraph = F.try_divide(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), blocks)
-    near = lambda v, a, b, c, d: F.when(v.between(a, b), 25).when(v.between(c, d), 20).when(v.isNotNull(), 10).otherwise(0)
+    near = lambda value, a, b, c, d: _let(value, lambda v: F.when(v.between(a, b), 25).when(v.between(c, d), 20).when(v.isNotNull(), 10).otherwise(0))
     active, passive = occurrences(low, *ACTIVE), occurrences(low, *PASSIVE)
     voice = F.when(active > passive, 25).when(active > 0, 15).otherwise(0)
     return near(sentence, 15, 20, 10, 25) + near(paragraph, 50, 150, 30, 200) + voice + F.when(occurrences(low, *CONNECTIVES) > 0, 25).otherwise(0)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from docsense.llm.common import materialise
 from docsense.llm.components import connected_components
+from docsense.llm.resemblance import SIMILARITY, near_copies
 
 SEED = 42
 RADIUS = 4
@@ -115,10 +116,11 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of one with a smaller doc_id; columns unchanged.
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents that are near copies of one with a smaller doc_id; columns unchanged.
 
-    Rows that share a doc_id are one document. A null doc_id is kept.
+    Near copies are those of `resemblance` (five-word shingles, Jaccard index), not the links of operator 9. Rows that
+    share a doc_id are one document. A null doc_id is kept.
     """
-    extra = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct()
+    extra = near_copies(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct()
     return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")

@@ -60,6 +60,41 @@ def test_simhash_against_brute_force(spark):
     assert kept == {root(i) for i in prints}
 
 
+def test_keep_first_against_brute_force(spark):
+    """Near copies by exact Jaccard index of five-word shingles, most of them beyond four bits."""
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(400)]
+    texts = []
+    for edits in (2, 4, 6, 8, 10, 12) * 3:
+        base = [rng.choice(words) for _ in range(300)]
+        for _ in range(4):
+            copy = base[:]
+            for at in rng.sample(range(300), edits // 2):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["one two", "One  two", "one two three", "", None, " \n"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+
+    def grams(text):
+        held = (text or "").lower().split()
+        return {tuple(held[i : i + 5]) for i in range(max(len(held) - 5, 0) + 1)}
+
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    missed = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+            missed += (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() > 4
+    assert missed > 10
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs(spark, rows, True)).collect())
+    assert kept == sorted({root(i) for i in range(len(texts))})
+    assert simhash.keep_first(docs(spark, [])).count() == 0
+
+
 def test_simhash_edges(spark):
     got = simhash.near_duplicates(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and simhash.near_duplicates(docs(spark, [])).count() == 0

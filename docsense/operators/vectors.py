@@ -41,7 +41,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     return _ranked(v.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", _score(metric).alias("score")), k, metric)
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, sample: int = 10_000, seed: int = 7) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 13, sample: int = 10_000, seed: int = 7) -> DataFrame:
     """Neighbours from the ``probes`` nearest of ``cells`` k-means cells; cells are fitted on at most ``sample`` vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

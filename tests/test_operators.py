@@ -108,6 +108,17 @@ def test_ivf_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_ivf_recall_of_registered_query(spark):
+    """The registered parameters on the given 64-dimensional vectors."""
+    from docsense.plans import search as plans
+
+    d = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in vectors.nearest(v, v.where("vec_id % 50 = 0"), 10, "cosine").collect()}
+    found = {(r.query_id, r.vec_id) for r in plans.ivf_search(spark, d).collect()}
+    assert len(exact) == 400 and len(found & exact) >= 0.9 * len(exact)
+
+
 def test_principal_components(spark):
     v = spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0]) for i in range(10)], "vec_id long, embedding array<double>")
     got = [r.projection[0] for r in vectors.principal_components(v, 1).orderBy("vec_id").collect()]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder named in ``spark.checkpoint.dir``, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docsense-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     return folder.rstrip("/")
 
 
@@ -36,6 +34,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
@@ -46,10 +53,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, bound: int) -> DataFrame:
-    """``label`` and ``text`` of at most ``bound`` labelled documents outside the held-out fold.
+    """``label`` and ``text`` of at most ``bound`` rows: labelled documents outside the held-out fold.
 
-    Several labels of one document count as their mean, rounded half up. The sample is the ``bound`` rows of smallest
-    id hash, so that it depends on neither file nor partition order; its size bounds the broadcast.
+    Several labels of one document count as their mean, rounded half up; of several texts that share an id the smallest
+    is taken, so the bound holds for rows and not only for ids. The sample is the ``bound`` ids of smallest hash and so
+    depends on neither file nor partition order. The chosen ids are a broadcast of at most ``bound`` rows.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -60,4 +68,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .limit(bound)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("label", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsense.llm.common import materialise
+from docsense.llm.common import discard, materialise
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -21,15 +21,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Nodes of ``edges`` (long columns a, b) with the smallest node reachable: columns node, root.
+    """Nodes of ``edges`` (columns a, b of one orderable type) with the smallest node reachable: columns node, root.
 
-    Self-links and repeated links are ignored; a node without links to others isn't returned. Every round is
-    written to the shared folder, so neither lineage nor the driver grows with the number of rounds.
+    Self-links, repeated links and links with a null end are ignored; a node without links to others isn't returned; an
+    empty table gives an empty result. Every round is written to the shared folder and its predecessor deleted, so
+    neither lineage, disk nor the driver grows with the number of rounds.
     """
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(rounds):
-        links = materialise(_star(_star(links, True), False), "links")
+        before = links
+        links = materialise(_star(_star(before, True), False), "links")
+        discard(before)
         row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == state:
             return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(

@@ -49,7 +49,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     row = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), said.alias("text"))
     extra = spark.range(1).select(F.inline(F.array(row(0, "user"), row(1, "assistant"))))
-    return chat.read_back(chat.transcripts(turns.unionByName(extra)))
+    cut = chat.pieces(turns.unionByName(extra))
+    return chat.read_back(chat.transcripts(cut), chat.examples(cut))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Near copies by the resemblance of their shingles (the pipeline's near-duplicate stage).
+"""Near copies: SimHash groups, completed by minima of shingle sets, every link verified exactly.
 
 Two texts are near copies if the Jaccard index of their sets of five-word shingles is at least 0.8. Words are those of the
 fingerprint rule (`simhash`); fewer than five words make one shingle, texts without words are copies of each other.
 
-Candidates share one of ``BANDS`` keys, each a digest of ``ROWS`` minima of random hashes over the set; a pair of index J
-shares none with probability (1 - J**ROWS)**BANDS, 3e-6 at 0.8. Every candidate is verified on the whole sets. Only links
-that can still join two components are verified: first each text with the least and the greatest of its bucket, then all
-pairs of a bucket that aren't yet connected. The components are those of all links among the candidates.
+Operator 9 groups the texts first, with fingerprints of five-word shingles; each member is compared with the first text of
+its group. A pair at 0.8 differs in about nine of 64 bits, though, and Hamming balls that wide would fetch a fixed share of
+the whole table. So candidates also share one of ``BANDS`` keys, each a digest of ``ROWS`` minima of random hashes over
+the set; a pair of index J shares none with probability (1 - J**ROWS)**BANDS, 3e-6 at 0.8.
+
+Candidates are verified on the whole sets of shingles, but only while they can still join two components: first each text
+with the smallest text it meets, then with the smallest and greatest text of a component it isn't in yet, at last all
+pairs of a key that are still apart. The components are those of all links among the candidates, and a large group of
+near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsense.llm.common import materialise
+from docsense.llm import simhash
+from docsense.llm.common import discard, materialise
 from docsense.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -28,84 +34,101 @@ SEED = 42
 HUB = 64
 
 _RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    tokens = (text or "").encode().lower().split()
-    spans = range(max(len(tokens) - words, 0) + 1)
-    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in spans}), np.uint64)
+_FACTORS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def bands(grams: np.ndarray) -> list[int]:
-    """The keys of a set of shingles, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(grams), 1024):
-        mixed = grams[i : i + 1024, None] * _FACTORS[0]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _FACTORS[1]
+def bands(grams: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes, as signed longs."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    low = grams.astype(np.uint32)
+    for i in range(0, len(low), 512):
+        mixed = low[i : i + 512, None] ^ _MASKS
+        mixed *= _FACTORS
         np.minimum(least, mixed.min(0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _band_batches(batches):
+def _signed_batches(batches):
     for batch in batches:
-        grams = [shingles(x) for x in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), batch.column("key"), pa.array(map(len, grams), pa.int64()), pa.array(map(bands, grams), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "bands"])
+        hashes = [simhash.shingle_hashes(x, WORDS) for x in batch.column("text").to_pylist()]
+        grams = [np.unique(h) for h in hashes]
+        prints = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(map(len, grams), pa.int64()), pa.array(prints), pa.array([bands(g) for g in grams], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "fp", "bands"])
 
 
 def _shingle_batches(batches):
     for batch in batches:
-        grams = [shingles(x).view(np.int64) for x in batch.column("text").to_pylist()]
+        grams = [np.unique(simhash.shingle_hashes(x, WORDS)).view(np.int64) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], names=["key", "grams"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (spoke, hub) whose sets have at least ``similarity``; the set of a hub in many pairs is dealt over tasks."""
+    """Links a, b: the pairs (spoke, hub) of nodes whose sets have at least ``similarity``.
+
+    The set of a hub in many pairs is dealt over tasks.
+    """
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
     dealt = pairs.join(parts, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("parts")).alias("part"))
-    hubs = sets.join(parts, sets["key"] == parts["hub"]).select("hub", F.col("grams").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    both = dealt.join(hubs, ["hub", "part"]).join(sets.select(F.col("key").alias("spoke"), F.col("grams").alias("s")), "spoke")
-    common = both.select("spoke", "hub", F.size("s").alias("ns"), F.size("h").alias("nh"), F.size(F.array_intersect("s", "h")).alias("common"))
-    return common.where(F.col("common") / (F.col("ns") + F.col("nh") - F.col("common")) >= similarity).select(F.col("spoke").alias("a"), F.col("hub").alias("b"))
+    hubs = parts.join(sets, parts["hub.key"] == sets["key"]).select("hub", F.col("grams").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(hubs, ["hub", "part"]).join(sets.select(F.col("key").alias("own"), F.col("grams").alias("s")), F.col("spoke.key") == F.col("own"))
+    sized = both.select("spoke", "hub", F.size("s").alias("ns"), F.size("h").alias("nh"), F.size(F.array_intersect("s", "h")).alias("common"))
+    alike = (F.col("common") >= similarity * (F.col("ns") + F.col("nh") - F.col("common")))
+    return sized.where(alike).select(F.col("spoke").alias("a"), F.col("hub").alias("b"))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over links) of every row of ``docs``.
+    """doc_id and component_id (smallest doc_id reachable over links) of every row of ``docs`` with a doc_id.
 
-    Only doc_id and text are read. Equal texts are one node. A null doc_id names a group only if no other does.
+    Only doc_id and text are read. Equal texts (by 64-bit hash) are one node.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    signed = materialise(texts.mapInArrow(_band_batches, "doc_id long, key long, n long, bands array<long>"), "bands")
-    members = materialise(signed.select("key", "n", F.explode("bands").alias("band")).distinct(), "band-members")
-    one = F.struct("key", "n")
-    heads = materialise(members.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.key <> high.key"), "band-heads")
-    met = materialise(members.join(heads, "band").select("band", "key", "n", "low", "high"), "band-met")
-    alike = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-
-    wanted = met.select("key").distinct()
-    sets = materialise(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_batches, "key long, grams array<long>"), "shingles")
-
-    star = met.select("key", "n", F.explode(F.array("low", "high")).alias("hub")).where((F.col("key") != F.col("hub.key")) & alike(F.col("n"), F.col("hub.n")))
-    tried = materialise(star.select(F.col("key").alias("spoke"), F.col("hub.key").alias("hub")).distinct(), "star-pairs")
-    links = materialise(verified(tried, sets, similarity), "star-links")
-
-    roots = connected_components(links)
-    rooted = materialise(met.select("band", "key", "n").join(roots, met["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")), "band-roots")
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
-    open_rows = materialise(rooted.join(mixed, "band", "left_semi"), "band-open")
-    a, b = (open_rows.select("band", *[F.col(c).alias(c + side) for c in ("key", "n", "root")]) for side in "ab")
-    apart = (F.col("keya") < F.col("keyb")) & (F.col("roota") != F.col("rootb")) & alike(F.col("na"), F.col("nb"))
-    rest = a.join(b, "band").where(apart).select(F.col("keya").alias("spoke"), F.col("keyb").alias("hub")).distinct()
-    done = tried.select(F.least("spoke", "hub").alias("spoke"), F.greatest("spoke", "hub").alias("hub")).distinct()
-    more = materialise(verified(materialise(rest.join(done, ["spoke", "hub"], "left_anti"), "rest-pairs"), sets, similarity), "rest-links")
-
-    nodes = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("first")), "nodes")
-    joined = connected_components(links.unionByName(more)).withColumnRenamed("node", "key")
-    named = nodes.join(joined, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = materialise(named.join(smallest, "root").select("key", "component_id"), "components")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    signed = materialise(texts.mapInArrow(_signed_batches, "doc_id long, key long, n long, fp long, bands array<long>"), "signed")
+    named = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    nodes = materialise(named.select("key", F.struct("first", "key").alias("node"), "n", "fp"), "copy-nodes")
+    sized = F.struct("node", "n")
+
+    # Every text with the first text of its operator-9 group.
+    grouped = simhash.groups(nodes.select("fp", F.col("node.first").alias("doc_id")))
+    heads = nodes.groupBy("fp").agg(F.min(sized).alias("head"))
+    rooted = grouped.select("fp", F.col("root").alias("first")).join(heads.select(F.col("head.node.first").alias("first"), "head"), "first").select("fp", "head")
+    pairs = nodes.join(rooted, "fp").select(sized.alias("spoke"), F.col("head").alias("hub"))
+
+    # Keys that two texts at least share.
+    members = materialise(signed.select("key", F.explode("bands").alias("band")).distinct().join(nodes.select("key", "node", "n"), "key").select("band", sized.alias("own")), "band-members")
+    tops = members.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
+    met = materialise(members.join(tops.select("band", "low"), "band"), "band-met")
+    pairs = pairs.unionByName(met.groupBy(F.col("own").alias("spoke")).agg(F.min("low").alias("hub")))
+    wanted = met.select("own.node.key").unionByName(pairs.where("spoke <> hub").select("spoke.node.key")).unionByName(pairs.where("spoke <> hub").select("hub.node.key")).distinct()
+    sets = materialise(texts.join(materialise(wanted, "wanted"), "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_batches, "key long, grams array<long>"), "shingles")
+
+    def links_of(found: DataFrame, name: str) -> DataFrame:
+        could = F.least("spoke.n", "hub.n") >= similarity * F.greatest("spoke.n", "hub.n")
+        kept = found.where((F.col("spoke") != F.col("hub")) & could).select(F.col("spoke.node").alias("spoke"), F.col("hub.node").alias("hub")).distinct()
+        return materialise(verified(materialise(kept, f"{name}-pairs"), sets, similarity), f"{name}-links")
+
+    links = links_of(pairs, "first")
+    roots = materialise(connected_components(links), "roots")
+
+    def apart() -> DataFrame:
+        """Rows of keys whose texts are in several components: band, own, root."""
+        placed = met.select("band", "own").join(roots, F.col("own.node") == F.col("node"), "left").select("band", "own", F.coalesce("root", F.col("own.node")).alias("root"))
+        placed = materialise(placed, "band-roots")
+        mixed = placed.groupBy("band").agg(F.min(F.struct("root", "own")).alias("low"), F.max(F.struct("root", "own")).alias("high")).where("low.root <> high.root")
+        rows = materialise(placed.join(mixed, "band"), "band-apart")
+        discard(placed)
+        return rows
+
+    for turn in ("second", "third"):
+        rows = apart()
+        toward = lambda end: rows.where(F.col("root") != F.col(f"{end}.root")).groupBy(F.col("own").alias("spoke")).agg(F.min(f"{end}.own").alias("hub"))  # noqa: B023, E731
+        links = links.unionByName(links_of(toward("low").unionByName(toward("high")), turn))
+        roots = materialise(connected_components(links), "roots")
+    rows = apart()
+    a, b = (rows.select("band", F.col("own").alias(side), F.col("root").alias(f"root_{side}")) for side in ("spoke", "hub"))
+    rest = a.join(b, "band").where((F.col("spoke") < F.col("hub")) & (F.col("root_spoke") != F.col("root_hub"))).select("spoke", "hub")
+    more = links_of(rest, "rest")
+    roots = connected_components(links.unionByName(more)).select(F.col("node.key").alias("key"), F.col("root.first").alias("root"))
+    found = materialise(nodes.join(roots, "key", "left").select("key", F.coalesce("root", F.col("node.first")).alias("component_id")), "copy-components")
     return signed.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")

@@ -8,7 +8,7 @@ Fingerprints at most ``radius`` bits apart are linked. They are cut into ``segme
 principle two linked fingerprints differ in at most ``radius // segments`` bits of some part. Each distinct fingerprint
 puts one row per part into the table and looks up the small Hamming ball around each part; every match is verified on
 all 64 bits inside the join. Copies collapse into one distinct fingerprint before any lookup, so a hot group of copies
-costs one row.
+costs one row. Three segments of 21 or 22 bits cost 70 rows a distinct fingerprint at every size.
 """
 
 from __future__ import annotations
@@ -23,32 +23,43 @@ from pyspark.sql import functions as F
 
 from docsense.llm.common import materialise
 from docsense.llm.components import connected_components
-from docsense.llm.resemblance import SIMILARITY, near_copies
 
 SEED = 42
 RADIUS = 4
+SEGMENTS = 3
 SHINGLE = 4
 BITS = 64
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The 64-bit SimHash of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, in order and with repeats; none for a text without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(lengths)
     starts = (ends - lengths)[: len(tokens) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
-    # Votes are counted in slices so that a very long text needs no large bit matrix.
-    votes = sum(np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(hashes), 8192))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes, as an unsigned number.
+
+    Votes are counted in slices so that a very long text needs no large bit matrix.
+    """
+    votes = sum((np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(hashes), 8192)), np.zeros(BITS, np.int64))
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one text, unsigned."""
+    return majority(shingle_hashes(text, words))
+
+
 def _fingerprint_batches(batches):
     for batch in batches:
         prints = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64)
@@ -75,12 +86,7 @@ def _segment(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def segments_for(distinct: int) -> int:
-    """Three segments of 21 or 22 bits while buckets of that width stay small, two of 32 bits beyond."""
-    return 3 if distinct <= 1 << 24 else 2
-
-
-def link(prints: DataFrame, radius: int = RADIUS, segments: int = 3) -> DataFrame:
+def link(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """Pairs a < b of the distinct fingerprints ``prints.fp`` that are at most ``radius`` bits apart."""
     probes_radius = radius // segments
     stored, sought = [], []
@@ -94,7 +100,24 @@ def link(prints: DataFrame, radius: int = RADIUS, segments: int = 3) -> DataFram
     return sought_rows.join(stored_rows.hint("shuffle_hash"), (sought_rows["key"] == stored_rows["key"]) & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
+def groups(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """fp, first and root of the distinct fingerprints of ``prints`` (fp, doc_id): the smallest doc_id of the fingerprint,
+    and the smallest reachable over links.
+
+    Nodes are numbered by doc_id before they are contracted, so the root of a component carries the id that names it and
+    no group ever meets in one task. A null doc_id counts as larger than any other.
+    """
+    last = F.lit((1 << 63) - 1)
+    nodes = materialise(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), last).alias("first")), "nodes")
+    pairs = link(nodes.select("fp"), radius, segments)
+    head = lambda side: nodes.select(F.col("fp").alias(side), F.struct("first", "fp").alias(f"node_{side}"))
+    edges = pairs.join(head("a"), "a").join(head("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = connected_components(edges).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root"))
+    named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "first").alias("root"))
+    return named.select("fp", F.nullif("first", last).alias("first"), F.nullif("root", last).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row of ``docs``.
 
     Only doc_id and text are read, so other columns may have any names. Repeated rows, ties and empty or null texts are
@@ -102,13 +125,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int | None
     An empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    edges = link(nodes.select("fp"), radius, segments or segments_for(nodes.count()))
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # Written before the last join: with plain scans on both sides Spark can split the partition of a hot fingerprint.
-    named = materialise(rooted.join(smallest, "root").select("fp", "component_id"), "components")
+    named = materialise(groups(prints, radius, segments).select("fp", F.col("root").alias("component_id")), "components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -116,11 +134,18 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+#: Ids of removed documents that are broadcast at most, some 64 MB; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller doc_id; columns unchanged.
 
-    Near copies are those of `resemblance` (five-word shingles, Jaccard index), not the links of operator 9. Rows that
-    share a doc_id are one document. A null doc_id is kept.
+    Near copies have five-word shingles with a Jaccard index of at least ``similarity``; see `resemblance` for how they
+    are found from this operator's groups. Rows that share a doc_id are one document. A null doc_id is kept.
     """
-    extra = near_copies(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+    from docsense.llm.resemblance import near_copies
+
+    extra = materialise(near_copies(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct(), "near-copies")
+    few = extra.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(extra) if few else extra, docs["doc_id"] == extra["_extra"], "left_anti")

@@ -6,11 +6,17 @@ negative query weights, greatest) weight, so that every term adds something betw
 plus a constant.
 
 For each query a shard first scores a few candidates to get a threshold. Terms are ordered by bound; those whose bounds
-together can't lift a candidate to the threshold are non-essential. Essential postings are traversed for all candidates;
-the non-essential ones are probed, largest bound first, only for candidates that could still reach the threshold. Ties with
-the threshold stay in, and the smaller id wins. Shards keep their best k of each query and a window merges them.
+together can't lift a candidate to the threshold are non-essential. Essential postings, and no others, are traversed for
+all candidates; the non-essential ones are probed, largest bound first, only for candidates that could still reach the
+threshold. Ties with the threshold stay in, and the smaller id wins. Shards keep their best k of each query and a window
+merges them.
 
-Shards and query blocks have bounded sizes and hashed members, so equal vectors spread evenly over the shards.
+Sums are taken in doubles where no partial sum can reach 2**53, in 64-bit integers where none can reach 2**63, and else in
+integers of any size, so scores are exact; one that a long can't hold is returned as the nearest long.
+
+Shards and query blocks have bounded sizes and hashed members, so equal vectors, and rows that share an id, spread evenly.
+A candidate is sent once for each block of queries and a query once for each shard, so the sizes are as large as a task's
+memory allows.
 """
 
 from __future__ import annotations
@@ -22,10 +28,13 @@ from pyspark.sql import functions as F
 
 K = 20
 SCALE = 64
-SHARD_ROWS = 4096
-QUERY_ROWS = 1024
+#: Rows of a tile's two sides: with 64 components about 16 and 4 MB of weights in a task.
+SHARD_ROWS = 32_768
+QUERY_ROWS = 8_192
 #: Every so many-th candidate of a shard is scored first, for a threshold.
 SEED_STEP = 8
+#: ... but no more than about so many.
+SEEDS = 1024
 BATCH = 64
 #: Terms probed between two checks of which candidates are still competitive.
 STEP = 8
@@ -48,22 +57,30 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _largest(matrix: np.ndarray) -> int:
+    return max(abs(int(matrix.min(initial=0))), abs(int(matrix.max(initial=0))))
+
+
+def exact_kind(candidates: np.ndarray, queries: np.ndarray):
+    """The number type in which no sum over terms, with bounds and constants, loses a unit."""
+    most = 4 * (_largest(candidates) + 1) * (_largest(queries) + 1) * candidates.shape[1]
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+
+
 class Shard:
     """Postings of some candidates, term by term."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, kind=np.float64):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
-        # Doubles hold sums of such products exactly; larger weights are added as 64-bit integers.
-        self.kind = np.float64 if int(np.abs(matrix).max(initial=0)) < 1 << 20 else np.int64
-        self.postings = np.ascontiguousarray(matrix[order].T.astype(self.kind))  # terms x candidates
+        self.ids, self.kind = ids[order], kind
+        self.low, self.high = matrix.min(axis=0).astype(kind), matrix.max(axis=0).astype(kind)
+        self.postings = np.ascontiguousarray(matrix[order].T.astype(kind))  # terms x candidates
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """For each query its id and the ids and scores of its best k candidates other than itself."""
         q = queries.astype(self.kind)
         # Every term adds q * w = floor + gain with 0 <= gain <= bound.
-        ends = q * self.low.astype(self.kind), q * self.high.astype(self.kind)
+        ends = q * self.low, q * self.high
         floor, bound = np.minimum(*ends), np.maximum(*ends) - np.minimum(*ends)
         base = floor.sum(axis=1)
         terms = np.argsort(-bound.astype(float), axis=1, kind="stable")
@@ -71,23 +88,24 @@ class Shard:
         zero = np.zeros((len(q), 1), bound.dtype)
         suffix = lambda x: np.concatenate([np.cumsum(np.take_along_axis(x, terms, 1)[:, ::-1], axis=1)[:, ::-1], zero], axis=1)
         gains, remaining = suffix(bound), suffix(floor + bound)
-        some = np.arange(0, len(self.ids), SEED_STEP)
+        some = np.arange(0, len(self.ids), max(SEED_STEP, len(self.ids) // SEEDS))
         if len(some) > k:
             # The k-th best of some candidates; the query itself counts as less than any score.
             seen = np.where(self.ids[some] == query_ids[:, None], base[:, None] - 1, q @ self.postings[:, some])
-            threshold = np.partition(seen, len(some) - k, axis=1)[:, len(some) - k]
+            threshold = _sorted_at(seen, len(some) - k)
         else:
             threshold = base - 1
         # A term is essential unless the bounds from it on can't lift a candidate from the base to the threshold.
         essential = np.maximum((gains[:, :-1] >= (threshold - base)[:, None]).sum(axis=1), 1)
-        rank = np.empty_like(terms)
-        np.put_along_axis(rank, terms, np.broadcast_to(np.arange(width), terms.shape), 1)
-        traversed = np.where(rank < essential[:, None], q, 0 * q) @ self.postings
+        # Queries whose terms are all essential traverse the same postings, together.
+        whole = np.flatnonzero(essential == width)
+        traversed = dict(zip(whole.tolist(), q[whole] @ self.postings))
         for i, query_id in enumerate(query_ids):
             at, limit = int(essential[i]), threshold[i]
-            live = np.flatnonzero(traversed[i] + remaining[i, at] >= limit)
-            live = live[self.ids[live] != query_id]
-            scores = traversed[i, live]
+            first = terms[i, :at]
+            scores = traversed.pop(i) if at == width else q[i, first] @ self.postings[first]
+            live = np.flatnonzero((scores + remaining[i, at] >= limit) & (self.ids != query_id))
+            scores = scores[live]
             while at < width:
                 more = terms[i, at : at + STEP]
                 scores = scores + q[i, more] @ self.postings[np.ix_(more, live)]
@@ -95,20 +113,30 @@ class Shard:
                 stay = scores + remaining[i, at] >= limit
                 live, scores = live[stay], scores[stay]
             if len(scores) > k:
-                stay = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                stay = scores >= _sorted_at(scores, len(scores) - k)
                 live, scores = live[stay], scores[stay]
-            scores = scores.astype(np.int64)
             order = np.lexsort((live, -scores))[:k]
-            yield int(query_id), self.ids[live[order]], scores[order]
+            yield int(query_id), self.ids[live[order]], _longs(scores[order])
+
+
+def _sorted_at(values: np.ndarray, at: int):
+    """What stands at place ``at`` of the last axis in ascending order."""
+    return (np.sort(values, axis=-1) if values.dtype == object else np.partition(values, at, axis=-1))[..., at]
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        scores = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], object)
+    return scores.astype(np.int64)
 
 
 def _search_group(k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(candidates) and len(queries):
-            width = max(candidates.w.map(len).max(), queries.w.map(len).max())
-            shard = Shard(candidates.vec_id.to_numpy(np.int64), _matrix(candidates.w, width))
-            ids, matrix = queries.vec_id.to_numpy(np.int64), _matrix(queries.w, width)
+            width = max(candidates.w.map(len).max(), queries.w.map(len).max(), 1)
+            held, ids, matrix = _matrix(candidates.w, width), queries.vec_id.to_numpy(np.int64), _matrix(queries.w, width)
+            shard = Shard(candidates.vec_id.to_numpy(np.int64), held, exact_kind(held, matrix))
             for i in range(0, len(ids), BATCH):
                 found += shard.search(ids[i : i + BATCH], matrix[i : i + BATCH], k)
         column = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
@@ -128,7 +156,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, vector: str =
     left, right = usable_rows(candidates), usable_rows(queries)
     shards = max(1, -(-left.count() // shard_rows))
     blocks = max(1, -(-right.count() // query_rows))
-    left = left.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = left.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search_group(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

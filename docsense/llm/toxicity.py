@@ -9,6 +9,10 @@ distribution the best segment of n words exceeds s about ``K n exp(-lambda s)``
 lambda solves ``E exp(lambda s) = 1`` and K is its maximum-likelihood value on clean training documents. Segments expected
 at most ``SIGNIFICANT`` times by chance are reported as toxic passages. Their evidence is the logarithm of the summed
 odds against chance, and a logistic curve fitted to the training sample turns it into a score from 0 to 1.
+
+Words are the letter runs of the text as it stands, each lower-cased on its own, so passages are spans of the original
+text. Null and empty texts score as texts without words; repeated rows score alike; very long texts are scanned whole; an
+empty table gives an empty result; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ from docsense.llm.common import labelled_sample, materialise
 WORDS = re.compile(r"[^\W\d_]+")
 MODULUS, REMAINDER = 3, 1
 THRESHOLD = 0.7
-#: At most so many labelled documents are learned from, and so many words are kept in the lexicon.
+#: At most so many labelled documents are learned from, which bounds the lexicon too.
 SAMPLE_ROWS = 20_000
-LEXICON_WORDS = 50_000
 PRIOR = 1.0
 Z_MIN = 2.5
 NEUTRAL = -0.1
@@ -74,9 +77,10 @@ def segments(hits: list[tuple[int, float]], neutral: float = NEUTRAL) -> list[tu
 
 
 def scan(text: str | None, lexicon: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words, and the maximal segments by word position; a run of one repeated word scores once."""
-    words = WORDS.findall((text or "").lower())
-    return len(words), segments([(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon and (not i or words[i - 1] != w)])
+    """Number of words, and the maximal segments by word position."""
+    words = WORDS.findall(text or "")
+    values = map(lexicon.get, map(str.lower, words))
+    return len(words), segments([(i, v) for i, v in enumerate(values) if v is not None])
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], rate: float, scale: float) -> float:
@@ -109,7 +113,7 @@ def _count_batches(batches):
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-            (toxic if label else clean).update(set(WORDS.findall(text.lower())))
+            (toxic if label else clean).update(set(map(str.lower, WORDS.findall(text))))
         if len(toxic) + len(clean) > 500_000:
             yield _partial_counts(toxic, clean)
             toxic, clean = Counter(), Counter()
@@ -158,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             (odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).alias("ratio"),
             F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("sd"),
         )
-        top = scored.where(F.abs("ratio") >= Z_MIN * F.col("sd")).orderBy(F.desc(F.abs(F.col("ratio") / F.col("sd"))), "word").limit(LEXICON_WORDS).collect()
+        top = scored.where(F.abs("ratio") >= Z_MIN * F.col("sd")).collect()
         lexicon = {r.word: min(float(r.ratio), 8.0) if r.ratio > 0 else max(float(r.ratio), -1.0) for r in top}
         own = np.array([lexicon[r.word] for r in top] + [NEUTRAL])
         share = np.array([max(r.clean, 0.5) for r in top] + [max(n_clean - sum(r.clean for r in top), 1.0)], dtype=float)
@@ -184,21 +188,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({}, 1.0, 1.0, 0.0, -700.0 if not share else float(np.log(share / max(1 - share, 1e-12))))
 
 
-def passages(text: str | None, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    """Score of one text, and its significant passages as (start, end, segment score) in code points."""
+def passages(text: str | None, model: Model) -> tuple[float, int, list[tuple[int, int, float]]]:
+    """Score and number of words of one text, and its significant passages as (start, end, segment score) in code points."""
     n, found = scan(text, model.lexicon)
     score = float(_logistic(np.float64(model.slope * evidence(n, found, model.rate, model.scale) + model.offset)))
     strong = [x for x in found if model.scale * n * np.exp(-model.rate * x[2]) <= SIGNIFICANT]
     if not strong:
-        return score, []
-    lowered = (text or "").lower()
-    spans = [m.span() for m in WORDS.finditer(lowered if len(lowered) == len(text or "") else text or "")]
-    if len(spans) != n:
-        return score, []
-    return score, [(spans[a][0], spans[b - 1][1], s) for a, b, s in strong]
+        return score, n, []
+    spans = [m.span() for m in WORDS.finditer(text or "")]
+    return score, n, [(spans[a][0], spans[b - 1][1], s) for a, b, s in strong]
 
 
-RESULT = "struct<score: double, passages: array<struct<start: long, end: long, score: double>>>"
+RESULT = "struct<score: double, words: long, passages: array<struct<start: long, end: long, score: double>>>"
 
 
 def scorer(spark, model: Model):
@@ -208,12 +209,14 @@ def scorer(spark, model: Model):
     @F.pandas_udf(RESULT)
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = [passages(x, shared.value) for x in texts]
-        return pd.DataFrame({"score": [s for s, _ in rows], "passages": [[{"start": a, "end": b, "score": s} for a, b, s in found] for _, found in rows]})
+        spans = [[{"start": a, "end": b, "score": s} for a, b, s in found] for _, _, found in rows]
+        return pd.DataFrame({"score": [s for s, _, _ in rows], "words": [n for _, n, _ in rows], "passages": spans})
 
     return of
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose score reaches ``threshold``; columns unchanged, null texts kept."""
+    """``docs`` without the documents whose score reaches ``threshold``; columns unchanged. Texts without words stay."""
     model = fit(docs, labels)
-    return docs.where(scorer(docs.sparkSession, model)(F.col("text"))["score"] < threshold)
+    found = scorer(docs.sparkSession, model)(F.coalesce("text", F.lit("")))
+    return docs.where((found["score"] < threshold) | (found["words"] == 0))

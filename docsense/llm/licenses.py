@@ -2,12 +2,20 @@
 
 A text is put into canonical form: lower case, copyright lines removed, punctuation to space, equivalent spellings to one.
 Its SHA-256 is joined with the digests of known licence texts. Two units are looked up: the entire text, and each of its
-lines as a text of its own (for statements such as "Released under the MIT License."). The known digests are a fixed list
-of a few hundred rows at most, so the join is a broadcast hash join and the texts are never shuffled.
+lines as a text of its own (for statements such as "Released under the MIT License."). Line breaks, comment marks and list
+marks don't count, so a licence is found however it is wrapped, and as the comment of a source file that holds nothing else.
+
+Known texts are those in ``license_texts`` (as published, some in two editions), short texts and notices given here, and
+statements made by rule from names. Each text is known with its title line, without it, and with its licence's names for a
+title. The digests are a table of a few hundred rows, so Spark joins it as a broadcast (by its size, without a hint) and
+the texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +56,19 @@ SPELLINGS = {
 }
 
 COPYRIGHT_LINE = r"^[ \t*#/;-]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*"
+#: Numbers, letters and marks that begin an item of a list.
+LIST_MARK = r"^[ \t#/;*-]*(\(?([0-9]{1,2}|[a-z])[.)]|•)[ \t]+"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
-#: Short names under which statements refer to a licence.
+#: Short names under which statements refer to a licence, and which stand as titles.
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"],
-    "MIT": ["MIT License", "MIT"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPLv2"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPLv3"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"],
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"],
+    "MIT": ["MIT License", "MIT", "The MIT License", "The MIT License (MIT)"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPLv3", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL 2.0"],
     "BSD-2-Clause": ["BSD 2-Clause License"],
     "BSD-3-Clause": ["BSD 3-Clause License"],
@@ -70,6 +81,7 @@ NAMES = {
 }
 STATEMENTS = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "Released under {}", "This work is licensed under the {}", "This work is licensed under {}", "SPDX-License-Identifier: {}"]
 
+#: The texts of short licences and notices.
 _WARRANTY = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
     "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
@@ -81,10 +93,10 @@ _WARRANTY = (
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
-    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, "
     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-    "distribution. "
+    "distribution.\n"
 )
 #: Entire texts of short licences and notices.
 TEXTS = {
@@ -110,7 +122,7 @@ TEXTS = {
     "BSD-2-Clause": _BSD + _WARRANTY,
     "BSD-3-Clause": _BSD
     + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
-    "derived from this software without specific prior written permission. " + _WARRANTY,
+    "derived from this software without specific prior written permission.\n" + _WARRANTY,
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
@@ -125,10 +137,31 @@ TEXTS = {
 }
 
 
+#: A first line of at most so many characters that names a licence is a title.
+TITLE = 80
+#: Texts below this length are known under every name of their licence as a title; longer ones carry their own.
+SHORT = 5000
+
+
+def _titled(license_id: str, text: str) -> list[str]:
+    """The text as it is, without its title, and under each name of the licence."""
+    lines = text.strip().split("\n")
+    bare = "\n".join(lines[1:]) if len(lines) > 1 and len(lines[0]) <= TITLE and "licen" in lines[0].lower() else text
+    return [text, bare, *[f"{name}\n{bare}" for name in NAMES.get(license_id, []) if len(text) < SHORT]]
+
+
+@lru_cache(maxsize=1)
+def published() -> tuple[tuple[str, str], ...]:
+    """(licence id, text) of the files in ``license_texts``; what follows a + in a file's name numbers editions."""
+    files = sorted(resources.files("docsense.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt").split("+")[0], f.read_text(encoding="utf-8")) for f in files if f.name.endswith(".txt"))
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence id, text) of every known text: entire texts, and statements by rule from names."""
     stated = [(key, pattern.format(name)) for key, names in NAMES.items() for name in [*names, key] for pattern in STATEMENTS]
-    return sorted({(k, t) for k, t in [*TEXTS.items(), *stated]})
+    entire = [(key, form) for key, text in [*TEXTS.items(), *published()] for form in _titled(key, text)]
+    return sorted({*entire, *stated})
 
 
 def canonical_lines(rows: DataFrame, *keep: str) -> DataFrame:
@@ -138,7 +171,8 @@ def canonical_lines(rows: DataFrame, *keep: str) -> DataFrame:
     of them occurs.
     """
     bare = rows.select(*keep, F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "(?md)" + COPYRIGHT_LINE, "").alias("t"))
-    spaced = bare.select(*keep, F.concat(F.lit("  "), F.replace(F.regexp_replace("t", PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  ")).alias("t"))
+    unmarked = bare.select(*keep, F.regexp_replace("t", "(?md)" + LIST_MARK, "").alias("t"))
+    spaced = unmarked.select(*keep, F.concat(F.lit("  "), F.replace(F.regexp_replace("t", PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  ")).alias("t"))
     usual = F.col("t")
     for other, common in SPELLINGS.items():
         usual = F.replace(usual, F.lit(f"  {other}  "), F.lit(f"  {common}  "))
@@ -171,5 +205,5 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     lines = canonical_lines(docs.select("doc_id", "text"), "doc_id")
     digests = lines.select("doc_id", F.concat(F.array(digest(canonical(F.col("lines")))), F.transform("lines", digest)).alias("digests"))
     units = digests.select("doc_id", F.posexplode_outer("digests").alias("at", "digest"))
-    found = units.join(F.broadcast(registry(docs.sparkSession, texts)), "digest")
+    found = units.join(registry(docs.sparkSession, texts), "digest")
     return found.select("doc_id", F.when(F.col("at") == 0, "document").otherwise("line").alias("unit"), (F.col("at") - 1).cast("long").alias("line"), "license_id", "digest")

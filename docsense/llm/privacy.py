@@ -1,12 +1,17 @@
 """Personal data, and the terms that would reveal it (operator 10).
 
-Base spans (e-mail and IP addresses, card and phone numbers) are found by pattern in every whole text. They are the
-protected entities. How strongly a term reveals an entity is estimated from the corpus: n(t, e) documents have the term
-within ``WINDOW`` words of the entity, n(t) have it anywhere, n(e) have the entity, of N. The pointwise mutual information
+Base spans (e-mail and IP addresses, card and phone numbers) and secrets in assignments are found by pattern in every
+whole text. They are the protected entities. How strongly a term reveals an entity is estimated from the corpus over whole
+documents: n(t, e) documents hold both, n(t) the term, n(e) the entity, of N. The pointwise mutual information
 ln(N n(t, e) / (n(t) n(e))) is compared with the entity's information -ln(n(e) / N): a term that carries at least
-1/``ALPHA`` of it discloses the entity, and its occurrences near that entity become spans of kind ``term``. A pair seen in
-fewer than ``SUPPORT`` documents is no estimate and discloses nothing. ``sanitise`` replaces base spans by their kind,
-generalises terms that hold digits (each digit to #) and removes the others.
+1/``ALPHA`` of it discloses the entity, and each of its occurrences in any document becomes a span of kind ``term``. A pair
+seen in fewer than ``SUPPORT`` different texts is no estimate and discloses nothing, so copies of one text prove nothing.
+Sanitised texts have base spans replaced by their kind, terms that hold digits generalised (each digit to #) and the other
+terms removed.
+
+Words are those of the text as it stands, each lower-cased on its own. Null texts count as empty, and very long ones are
+read whole; repeated rows are rows of their own with equal results, doc_id may be null, an empty table gives an empty
+result, and only doc_id and text are read (``sanitise`` keeps all columns).
 """
 
 from __future__ import annotations
@@ -19,13 +24,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsense.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 8
 SUPPORT = 2
 ALPHA = 1.5
 #: Bits of the filter through which words pass to be counted; its size doesn't depend on the corpus.
@@ -39,6 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]+")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_.-]{12,512})")
 
 
 def luhn(digits: str) -> bool:
@@ -87,50 +92,43 @@ def spell(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """The values of assignments to names of secrets: letters and digits mixed."""
+    found = [m for m in _SECRET.finditer(text or "") if _DIGIT.search(m[1]) and re.search("[A-Za-z]", m[1])]
+    return [("secret", *m.span(1)) for m in found]
+
+
 def entity(kind: str, value: str) -> str:
     """The protected value behind a span, however it is written."""
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(_DIGIT.findall(value))}"
+    plain = {"email": value.lower(), "ip": value, "secret": value}
+    return f"{kind}:{plain.get(kind) or ''.join(_DIGIT.findall(value))}"
 
 
-def context(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Words outside all spans within ``WINDOW`` words of each span: entity, term, start, end."""
-    if not spans:
-        return []
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The lower-cased words that no span touches."""
     covered = sorted((a, b) for _, a, b in spans)
-    words, k = [], 0
+    out, k = set(), 0
     for m in _WORD.finditer(text):
         while k < len(covered) and covered[k][1] <= m.start():
             k += 1
-        if not any(a < m.end() and m.start() < b for a, b in covered[k : k + len(KINDS)]):
-            words.append((m.start(), m.end(), m[0].lower()))
-    starts = np.array([w[0] for w in words])
-    out = []
-    for kind, a, b in spans:
-        low, high = np.searchsorted(starts, a), np.searchsorted(starts, b)
-        for s, e, term in words[max(low - WINDOW, 0) : high + WINDOW]:
-            out.append({"entity": entity(kind, text[a:b]), "term": term, "start": s, "end": e})
+        if not any(a < m.end() and m.start() < b for a, b in covered[k : k + len(KINDS) + 1]):
+            out.add(m[0].lower())
     return out
 
 
-SCAN = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, context array<struct<entity:string,term:string,start:long,end:long>>"
-_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-
-
-def text_hash(text: str | None) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode())).astype(np.int64))
+SCAN = "text_hash long, entities array<string>, terms array<string>"
 
 
 def _scan_batches(batches):
     for batch in batches:
         rows = []
-        for text in batch.column("text").to_pylist():
-            spans = base_spans(text)
-            kinds = Counter(k for k, _, _ in spans)
-            said = spell(spans)
-            rows.append((text_hash(text), *[kinds[k] for k in KINDS], said, hashlib.sha256(said.encode()).hexdigest(), sorted({entity(k, text[a:b]) for k, a, b in spans}), context(text or "", spans)))
-        columns = list(zip(*rows)) or [()] * 9
-        types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.list_(pa.string()), _CONTEXT]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[x.split()[0] for x in SCAN.split(", ")])
+        for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
+            spans = base_spans(text) + secret_spans(text)
+            if spans:
+                rows.append((key, sorted({entity(k, text[a:b]) for k, a, b in spans}), sorted(terms_outside(text, spans))))
+        columns = list(zip(*rows)) or [()] * 3
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "entities", "terms"])
 
 
 def _filter(terms: DataFrame):
@@ -170,7 +168,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update([w for w in set(_WORD.findall((text or "").lower())) if passing[w]])
+                held.update([w for w in set(map(str.lower, _WORD.findall(text or ""))) if passing[w]])
             if len(held) > 200_000:
                 yield out()
                 held = Counter()
@@ -179,35 +177,102 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """entity, term and pmi of the pairs in which the term reveals the entity."""
-    n = scanned.count()
-    n_e = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    seen = scanned.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-    pairs = materialise(seen.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support), "pii-pairs")
-    terms = materialise(pairs.select("term").distinct(), "pii-terms")
-    n_t = document_frequencies(docs, terms)
+def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """entity, term and pmi of the pairs in which the term reveals the entity.
+
+    Texts with entities are scanned and collapsed to distinct ones first; an entity of fewer than ``support`` texts can't
+    be revealed and is left out before pairs are made.
+    """
+    n = docs.count()
+    texts = docs.select(_text_key(F.col("text")).alias("text_hash"), "text")
+    held = materialise(texts.mapInArrow(_scan_batches, SCAN), "pii-scan")
+    distinct = materialise(held.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-texts")
+    counted = distinct.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    shared = materialise(counted.where(F.col("texts") >= support), "pii-entities")
+    where = distinct.select("text_hash", F.explode("entities").alias("entity")).join(shared.select("entity"), "entity").groupBy("text_hash").agg(F.collect_list("entity").alias("of"))
+    pairs = distinct.join(where, "text_hash").select("copies", "terms", F.explode("of").alias("entity")).select("copies", "entity", F.explode("terms").alias("term"))
+    both = materialise(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support), "pii-pairs")
+    n_t = document_frequencies(docs, materialise(both.select("term").distinct(), "pii-terms"))
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     information = -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
-    return pairs.join(n_t, "term").join(n_e, "entity").select("entity", "term", pmi.alias("pmi"), information.alias("information")).where((F.col("information") > 0) & (F.col("pmi") >= F.col("information") / alpha)).select("entity", "term", "pmi")
+    measured = both.join(n_t, "term", "left").join(shared.select("entity", "n_e"), "entity").select("entity", "term", "n_t", pmi.alias("pmi"), information.alias("information"))
+    # A counted term that no text holds would be an error of the word rule, not a rare term.
+    sure = F.when(F.col("n_t").isNull(), F.raise_error("a term of a pair has no document count").cast("double")).otherwise(F.col("pmi"))
+    return measured.select("entity", "term", "information", sure.alias("pmi")).where((F.col("information") > 0) & (F.col("pmi") >= F.col("information") / alpha)).select("entity", "term", "pmi")
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, base_sha256, n_term and spans of every row of ``docs``.
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    A null text counts as empty; doc_id may be null; repeated rows are rows of their own with equal results; an empty
-    table gives an empty result; other columns are ignored.
-    """
+
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """text_hash and places (start, end): every occurrence of ``terms`` in every distinct text that holds one."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(terms))
+
+    def find_words(batches):
+        passing = Passing(bits.value)
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
+                places: dict[str, list] = {}
+                for m in _WORD.finditer(text or ""):
+                    word = m[0].lower()
+                    if passing[word]:
+                        places.setdefault(word, []).append({"start": m.start(), "end": m.end()})
+                rows += [(key, w, p) for w, p in places.items()]
+            columns = list(zip(*rows)) or [()] * 3
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "term", "places"])
+
+    texts = docs.select(_text_key(F.col("text")).alias("text_hash"), "text")
+    words = texts.mapInArrow(find_words, "text_hash long, term string, places array<struct<start:long,end:long>>")
+    kept = words.join(terms, "term").dropDuplicates(["text_hash", "term"])
+    return kept.groupBy("text_hash").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+REPORT = "n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_term long, n_spans long, base string, base_sha256 string, spans string, sanitised string"
+
+
+@F.pandas_udf(REPORT)
+def _report(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, terms in zip(texts, places):
+        base, secrets = base_spans(text), secret_spans(text)
+        within = sorted((a, b) for _, a, b in base + secrets)
+        added, k = [], 0
+        for place in [] if terms is None else terms:
+            a, b = place["start"], place["end"]
+            while k < len(within) and within[k][1] <= a:
+                k += 1
+            if not any(x < b and a < y for x, y in within[k : k + len(KINDS) + 1]):
+                added.append(("term", a, b))
+        kinds, said = Counter(k for k, _, _ in base), spell(base)
+        spans = spell(base + secrets + added)
+        rows.append((*[kinds[k] for k in KINDS], len(secrets), len(added), len(base) + len(secrets) + len(added), said, hashlib.sha256(said.encode()).hexdigest(), spans, redact(text, spans)))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in REPORT.split(", ")])
+
+
+#: Texts with term places that are broadcast at most; more are joined by a shuffle.
+BROADCAST_TEXTS = 200_000
+#: ... and places of one broadcast at most, some 32 MB.
+BROADCAST_PLACES = 1_000_000
+
+
+def _reported(rows: DataFrame, text: Column, docs: DataFrame, alpha: float, support: int) -> DataFrame:
+    """``rows`` with the report on their ``text`` as column _report."""
+    terms = materialise(disclosing(docs, alpha, support).select("term").distinct(), "pii-disclosing")
+    marks = materialise(term_places(docs, terms).withColumnRenamed("text_hash", "_marked"), "pii-places")
+    size = marks.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("places")).alias("places")).first()
+    few = size.texts <= BROADCAST_TEXTS and (size.places or 0) <= BROADCAST_PLACES
+    joined = rows.join(F.broadcast(marks) if few else marks, _text_key(text) == F.col("_marked"), "left")
+    return joined.withColumn("_report", _report(F.coalesce(text, F.lit("")), F.col("places")))
+
+
+def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base, base_sha256, spans and sanitised of every
+    row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    scanned = materialise(texts.mapInArrow(_scan_batches, SCAN), "pii-scan")
-    revealing = materialise(disclosing(texts, scanned, alpha, support), "pii-disclosing")
-    places = scanned.select("doc_id", "text_hash", F.explode("context").alias("c")).select("doc_id", "text_hash", "c.*")
-    added = places.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    added = materialise(added, "pii-terms-found").withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
-    both = scanned.join(added, scanned["doc_id"].eqNullSafe(added["t_id"]) & (scanned["text_hash"] == added["t_hash"]), "left")
-    said = F.array_join(F.transform(F.coalesce("terms", F.array().cast("array<struct<start:long,end:long>>")), lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",")
-    spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(said, F.lit("")))
-    return both.select("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), spans.alias("spans"))
+    return _reported(texts, F.col("text"), texts, alpha, support).select("doc_id", "_report.*")
 
 
 def redact(text: str | None, spans: str | None) -> str:
@@ -227,18 +292,9 @@ def redact(text: str | None, spans: str | None) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with their texts sanitised; other columns unchanged."""
-    found = find(docs) if found is None else found
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, s) for t, s in zip(texts, spans)])
-
-    marks = found.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias("s_spans")).where("s_spans <> ''").distinct()
+def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """``docs`` with their texts sanitised; other columns, and texts without spans, unchanged."""
     rows = docs.select(F.struct("*").alias("row"))
-    own = F.pandas_udf(lambda x: pd.Series([text_hash(t) for t in x]), "long")
-    rows = rows.withColumn("hash", own(F.col("row.text")))
-    joined = rows.join(marks, F.col("row.doc_id").eqNullSafe(F.col("s_id")) & (F.col("hash") == F.col("s_hash")), "left")
-    kept = [F.when(F.col("s_spans").isNull(), F.col("row.text")).otherwise(clean("row.text", "s_spans")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return joined.select(*kept)
+    marked = _reported(rows, F.col("row.text"), docs.select("text"), alpha, support)
+    clean = F.when(F.col("_report.spans") == "", F.col("row.text")).otherwise(F.col("_report.sanitised"))
+    return marked.select(*[clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -9,9 +9,8 @@ the whole table. So candidates also share one of ``BANDS`` keys, each a digest o
 the set; a pair of index J shares none with probability (1 - J**ROWS)**BANDS, 3e-6 at 0.8.
 
 Candidates are verified on the whole sets of shingles, but only while they can still join two components: first each text
-with the smallest text it meets, then with the smallest and greatest text of a component it isn't in yet, at last all
-pairs of a key that are still apart. The components are those of all links among the candidates, and a large group of
-near copies costs a few comparisons a member.
+with the smallest text it meets, then the pairs of a key that are still apart. The components are those of all links among
+the candidates, and a large group of near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -120,15 +119,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         discard(placed)
         return rows
 
-    for turn in ("second", "third"):
-        rows = apart()
-        toward = lambda end: rows.where(F.col("root") != F.col(f"{end}.root")).groupBy(F.col("own").alias("spoke")).agg(F.min(f"{end}.own").alias("hub"))  # noqa: B023, E731
-        links = links.unionByName(links_of(toward("low").unionByName(toward("high")), turn))
-        roots = materialise(connected_components(links), "roots")
     rows = apart()
-    a, b = (rows.select("band", F.col("own").alias(side), F.col("root").alias(f"root_{side}")) for side in ("spoke", "hub"))
-    rest = a.join(b, "band").where((F.col("spoke") < F.col("hub")) & (F.col("root_spoke") != F.col("root_hub"))).select("spoke", "hub")
-    more = links_of(rest, "rest")
-    roots = connected_components(links.unionByName(more)).select(F.col("node.key").alias("key"), F.col("root.first").alias("root"))
+    if not rows.isEmpty():
+        a, b = (rows.select("band", F.col("own").alias(side), F.col("root").alias(f"root_{side}")) for side in ("spoke", "hub"))
+        rest = a.join(b, "band").where((F.col("spoke") < F.col("hub")) & (F.col("root_spoke") != F.col("root_hub"))).select("spoke", "hub")
+        roots = connected_components(links.unionByName(links_of(rest, "rest")))
+    roots = roots.select(F.col("node.key").alias("key"), F.col("root.first").alias("root"))
     found = materialise(nodes.join(roots, "key", "left").select("key", F.coalesce("root", F.col("node.first")).alias("component_id")), "copy-components")
     return signed.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")

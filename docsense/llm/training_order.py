@@ -1,10 +1,12 @@
 """Token sequences in a keyed global order, in fixed-stride binary shards (operator 8).
 
 Each text is tokenised whole, followed by the end token, and cut into sequences of ``SEQUENCE`` token ids (little-endian
-uint16 if the vocabulary allows it, else uint32), the last one padded with the end token. The sequences are written once;
-a sequence's index is its file's offset plus its row number there. A Feistel network with cycle walking, keyed by the
-seed, maps the indexes 0..N-1 onto the slots 0..N-1. Slot ranges are partitions, in slot order; ``write_shards`` turns
-them into binary files in which sequence ``slot`` starts at byte ``(slot % rows) * stride``.
+uint16 if the vocabulary allows it, else uint32), the last one padded with the end token. Documents are range-partitioned
+and sorted by doc_id and text digest before they are tokenised, and the sequences are written once: a sequence's index,
+its file's offset plus its row number there, is its rank by (doc_id, text digest, part), whatever the number of files and
+tasks, so the order can be made again on any cluster. A Feistel network with cycle walking, keyed by the seed, maps the
+indexes 0..N-1 onto the slots 0..N-1. Slot ranges are partitions, in slot order; ``write_shards`` turns them into binary
+files in which sequence ``slot`` starts at byte ``(slot % rows) * stride``.
 
 A null or empty text is one sequence with nothing but the end token. Repeated rows are sequences of their own; doc_id may
 be null. An empty table gives an empty result.
@@ -110,7 +112,9 @@ def unpermute(slot: np.ndarray, n: int, key: int = SEED) -> np.ndarray:
 
 def training_order(docs: DataFrame, path: str = TOKENIZER, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, key: int = SEED, partitions: int = 10_000) -> DataFrame:
     """slot, shard, row, doc_id, part, n_tokens and tokens (padded to the stride), range-partitioned and sorted by slot."""
-    table = materialise(tokenised(docs, path, length), "tokens")
+    # The last key parts equal rows, of which one document may have any number; their order changes nothing.
+    texts = docs.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("copy"))
+    table = materialise(tokenised(texts.repartitionByRange("doc_id", "digest", "copy").sortWithinPartitions("doc_id", "digest"), path, length), "tokens")
     rows = table.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("held"))
     bases = materialise(files.select("file", (F.sum("held").over(Window.orderBy("file")) - F.col("held")).alias("base"), F.sum("held").over(Window.partitionBy()).alias("n")), "token-files")

@@ -2,17 +2,18 @@
 
 A text is put into canonical form: lower case, copyright lines removed, punctuation to space, equivalent spellings to one.
 Its SHA-256 is joined with the digests of known licence texts. Two units are looked up: the entire text, and each of its
-lines as a text of its own (for statements such as "Released under the MIT License."). Line breaks, comment marks and list
-marks don't count, so a licence is found however it is wrapped, and as the comment of a source file that holds nothing else.
+lines as a text of its own (for statements such as "Released under the MIT License."). Line breaks and comment marks don't
+count, so a licence is found however it is wrapped, and as the comment of a source file that holds nothing else.
 
 Known texts are those in ``license_texts`` (as published, some in two editions), short texts and notices given here, and
-statements made by rule from names. Each text is known with its title line, without it, and with its licence's names for a
-title. The digests are a table of a few hundred rows, so Spark joins it as a broadcast (by its size, without a hint) and
+statements made by rule from names. Each text is known with its title line and without it, and short ones with their
+licence's names for a title and with bullets in place of numbers. The digests are a table of a few hundred rows, so Spark joins it as a broadcast (by its size, without a hint) and
 the texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from importlib import resources
 
@@ -56,8 +57,6 @@ SPELLINGS = {
 }
 
 COPYRIGHT_LINE = r"^[ \t*#/;-]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*"
-#: Numbers, letters and marks that begin an item of a list.
-LIST_MARK = r"^[ \t#/;*-]*(\(?([0-9]{1,2}|[a-z])[.)]|•)[ \t]+"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 #: Short names under which statements refer to a licence, and which stand as titles.
@@ -144,10 +143,13 @@ SHORT = 5000
 
 
 def _titled(license_id: str, text: str) -> list[str]:
-    """The text as it is, without its title, and under each name of the licence."""
+    """The text as it is and without its title; a short one also under each name, and with its list unnumbered."""
     lines = text.strip().split("\n")
     bare = "\n".join(lines[1:]) if len(lines) > 1 and len(lines[0]) <= TITLE and "licen" in lines[0].lower() else text
-    return [text, bare, *[f"{name}\n{bare}" for name in NAMES.get(license_id, []) if len(text) < SHORT]]
+    if len(text) >= SHORT:
+        return [text, bare]
+    bodies = [bare, re.sub(r"(?m)^[ \t]*[0-9][.)][ \t]+", "", bare)]
+    return [text, *bodies, *[f"{name}\n{body}" for name in NAMES.get(license_id, []) for body in bodies]]
 
 
 @lru_cache(maxsize=1)
@@ -171,8 +173,7 @@ def canonical_lines(rows: DataFrame, *keep: str) -> DataFrame:
     of them occurs.
     """
     bare = rows.select(*keep, F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "(?md)" + COPYRIGHT_LINE, "").alias("t"))
-    unmarked = bare.select(*keep, F.regexp_replace("t", "(?md)" + LIST_MARK, "").alias("t"))
-    spaced = unmarked.select(*keep, F.concat(F.lit("  "), F.replace(F.regexp_replace("t", PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  ")).alias("t"))
+    spaced = bare.select(*keep, F.concat(F.lit("  "), F.replace(F.regexp_replace("t", PUNCTUATION, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  ")).alias("t"))
     usual = F.col("t")
     for other, common in SPELLINGS.items():
         usual = F.replace(usual, F.lit(f"  {other}  "), F.lit(f"  {common}  "))

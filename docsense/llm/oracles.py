@@ -65,7 +65,6 @@ def _quoted(text: str) -> str:
 
 def _canonical_lines(text: str) -> str:
     bare = f"regexp_replace(lower(coalesce({text}, '')), {_quoted('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
-    bare = f"regexp_replace({bare}, {_quoted('(?m)' + licenses.LIST_MARK)}, '', 'g')"
     spaced = f"'  ' || replace(regexp_replace({bare}, {_quoted(licenses.PUNCTUATION)}, '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
     for other, usual in licenses.SPELLINGS.items():
         spaced = f"replace({spaced}, '  {other}  ', '  {usual}  ')"

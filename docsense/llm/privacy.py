@@ -233,7 +233,6 @@ def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
 REPORT = "n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_term long, n_spans long, base string, base_sha256 string, spans string, sanitised string"
 
 
-@F.pandas_udf(REPORT)
 def _report(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
     rows = []
     for text, terms in zip(texts, places):
@@ -265,7 +264,7 @@ def _reported(rows: DataFrame, text: Column, docs: DataFrame, alpha: float, supp
     size = marks.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("places")).alias("places")).first()
     few = size.texts <= BROADCAST_TEXTS and (size.places or 0) <= BROADCAST_PLACES
     joined = rows.join(F.broadcast(marks) if few else marks, _text_key(text) == F.col("_marked"), "left")
-    return joined.withColumn("_report", _report(F.coalesce(text, F.lit("")), F.col("places")))
+    return joined.withColumn("_report", F.pandas_udf(_report, REPORT)(F.coalesce(text, F.lit("")), F.col("places")))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

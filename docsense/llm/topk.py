@@ -12,7 +12,7 @@ threshold. Ties with the threshold stay in, and the smaller id wins. Shards keep
 merges them.
 
 Sums are taken in doubles where no partial sum can reach 2**53, in 64-bit integers where none can reach 2**63, and else in
-integers of any size, so scores are exact; one that a long can't hold is returned as the nearest long.
+integers of any size, so scores are exact; one that a long can't hold counts as the nearest long.
 
 Shards and query blocks have bounded sizes and hashed members, so equal vectors, and rows that share an id, spread evenly.
 A candidate is sent once for each block of queries and a query once for each shard, so the sizes are as large as a task's
@@ -38,6 +38,7 @@ SEEDS = 1024
 BATCH = 64
 #: Terms probed between two checks of which candidates are still competitive.
 STEP = 8
+LONG = (1 << 63) - 1
 
 
 def weights(vector: Column) -> Column:
@@ -101,7 +102,7 @@ class Shard:
         whole = np.flatnonzero(essential == width)
         traversed = dict(zip(whole.tolist(), q[whole] @ self.postings))
         for i, query_id in enumerate(query_ids):
-            at, limit = int(essential[i]), threshold[i]
+            at, limit = int(essential[i]), threshold[i] if self.kind is not object else _limit(threshold[i])
             first = terms[i, :at]
             scores = traversed.pop(i) if at == width else q[i, first] @ self.postings[first]
             live = np.flatnonzero((scores + remaining[i, at] >= limit) & (self.ids != query_id))
@@ -112,11 +113,12 @@ class Shard:
                 at = min(at + STEP, width)
                 stay = scores + remaining[i, at] >= limit
                 live, scores = live[stay], scores[stay]
+            scores = _longs(scores)
             if len(scores) > k:
                 stay = scores >= _sorted_at(scores, len(scores) - k)
                 live, scores = live[stay], scores[stay]
-            order = np.lexsort((live, -scores))[:k]
-            yield int(query_id), self.ids[live[order]], _longs(scores[order])
+            order = np.lexsort((live, ~scores))[:k]
+            yield int(query_id), self.ids[live[order]], scores[order]
 
 
 def _sorted_at(values: np.ndarray, at: int):
@@ -124,9 +126,14 @@ def _sorted_at(values: np.ndarray, at: int):
     return (np.sort(values, axis=-1) if values.dtype == object else np.partition(values, at, axis=-1))[..., at]
 
 
+def _limit(threshold: int) -> int:
+    """A threshold under which no score that counts as much can fall."""
+    return min(threshold, LONG) if threshold > -LONG - 1 else -(1 << 200)
+
+
 def _longs(scores: np.ndarray) -> np.ndarray:
     if scores.dtype == object:
-        scores = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], object)
+        scores = np.array([min(max(x, -LONG - 1), LONG) for x in scores], object)
     return scores.astype(np.int64)
 
 

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docsense.llm import chat, components, decontaminate, licenses, mixing, privacy, quality, queries, simhash, topk, toxicity, training_order
+from docsense.llm import chat, common, components, decontaminate, licenses, mixing, privacy, quality, queries, simhash, topk, toxicity, training_order
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +38,11 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def brute_grams(text):
+    held = (text or "").lower().split()
+    return {tuple(held[i : i + 5]) for i in range(max(len(held) - 5, 0) + 1)}
+
+
 def test_simhash_against_brute_force(spark):
     rng = random.Random(5)
     words = ["w%d" % i for i in range(60)]
@@ -75,11 +82,7 @@ def test_keep_first_against_brute_force(spark):
     texts += ["one two", "One  two", "one two three", "", None, " \n"]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
 
-    def grams(text):
-        held = (text or "").lower().split()
-        return {tuple(held[i : i + 5]) for i in range(max(len(held) - 5, 0) + 1)}
-
-    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+    sets, parent = [brute_grams(t) for t in texts], list(range(len(texts)))
 
     def root(i):
         return i if parent[i] == i else root(parent[i])
@@ -155,6 +158,34 @@ def test_toxicity_held_out(spark, labelled):
     assert kept.columns == d.columns and 430 <= kept.count() <= 470
 
 
+def test_toxicity_passages_stand_in_the_original():
+    model = toxicity.Model({"nasty": 4.0, "vile": 4.0, "ışık": -1.0}, 1.0, 0.1, 1.0, -3.0)
+    text = "\u0130stanbul is a town. NASTY vile nasty nasty VILE words end"
+    score, n, found = toxicity.passages(text, model)
+    assert [text[a:b] for a, b, _ in found] == ["NASTY vile nasty nasty VILE"] and n == 11
+    repeated = toxicity.passages("a b c " + "nasty " * 5, model)[0]
+    assert repeated == toxicity.passages("a b c nasty vile nasty vile nasty", model)[0]
+
+
+def test_samples_are_bounded_by_rows(spark):
+    many = docs(spark, [(1, f"text {i}", "s") for i in range(500)] + [(i, "x", "s") for i in range(2, 60)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert common.labelled_sample(many, labels, "toxic", 3, 1, 20).count() <= 20
+
+
+def test_empty_and_hostile_tables(spark, labelled):
+    _, labels, _ = labelled
+    none = docs(spark, [], True)
+    assert toxicity.reject_toxic(none, labels).count() == 0
+    forest = quality.fit(none, labels)
+    edge = docs(spark, EDGE, True)
+    scores = [r[0] for r in edge.select(quality.scorer(spark, forest)(F.col("text"))).collect()]
+    assert len(scores) == len(EDGE) and set(scores) == {0.5}
+    toxic = spark.createDataFrame([(5004, 1, 1), (5005, 1, 1)], "doc_id long, quality int, toxic int")
+    kept = toxicity.reject_toxic(edge, toxic)
+    assert {r.doc_id for r in kept.collect()} >= {5001, 5002, 5006}  # no words, nothing toxic in them
+
+
 def test_toxicity_and_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = docs(spark, EDGE)
@@ -189,27 +220,60 @@ def test_forest_traversal_equals_walk():
 
 def test_licenses(spark):
     mit = "Copyright (c) 2020 A. Person\n" + licenses.TEXTS["MIT"].replace("sublicense", "SUBLICENCE").replace(". ", ".\n\n")
-    rows = [(1, mit.replace("\n\n", " "), "s"), (2, "words\nReleased under the MIT Licence!\nmore", "s"), (3, licenses.TEXTS["MIT"] + " extra", "s"), (4, "  released UNDER the (MIT) license ", "s"), *EDGE[:3]]
+    rows = [(1, mit.replace("\n\n", " "), "s"), (2, "words\nReleased under the MIT Licence!\nmore", "s"), (3, licenses.TEXTS["MIT"] + " extra", "s"), (4, "  released UNDER the (MIT) license ", "s"), *EDGE]
     got = {(r.doc_id, r.unit, r.line, r.license_id) for r in licenses.scan(docs(spark, rows, True)).collect()}
     assert got == {(1, "document", -1, "MIT"), (1, "line", 0, "MIT"), (2, "line", 1, "MIT"), (4, "document", -1, "MIT"), (4, "line", 0, "MIT")}
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_as_published(spark):
+    """Every known file as it is, with other line ends, case and indents, and as a comment."""
+    shapes, want = [], {}
+    for number, (license_id, text) in enumerate(licenses.published()):
+        for kind, body in enumerate((text, "\r\n".join("\t" + x.upper() for x in text.split("\n")), "\n".join(f"// {x}" for x in text.split("\n")))):
+            shapes.append((number * 10 + kind, body, "s"))
+            want[number * 10 + kind] = license_id
+    bsd3 = "BSD 3-Clause License\n\nCopyright (c) 2021, A. Person\n\n" + textwrap.fill(licenses.TEXTS["BSD-3-Clause"].replace("\n1.", "\n  *").replace("\n2.", "\n  *").replace("\n3.", "\n  *"), 76, replace_whitespace=False)
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + textwrap.fill(licenses.TEXTS["MIT"], 78)
+    apache = "# Copyright 2020 The Authors\n#\n" + "\n".join("# " + x for x in textwrap.wrap(licenses.TEXTS["Apache-2.0"], 70))
+    for number, (license_id, body) in enumerate([("BSD-3-Clause", bsd3), ("MIT", mit), ("Apache-2.0", apache)]):
+        shapes.append((9000 + number, body, "s"))
+        want[9000 + number] = license_id
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs(spark, shapes)).where("unit = 'document'").collect()}
+    assert got == want
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 2, "assistant", "</s>[INST] & &lb; [END]"), (1, 1, "user", None), (1, 3, None, "[TEXT]"), (2, 1, "user", "only"), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (None, None, "assistant", "é<b>")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS targets")
-    formatted = chat.transcripts(turns)
-    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    cut = chat.pieces(turns)
+    formatted, expanded = chat.transcripts(cut), chat.examples(cut)
+    got = {r.conv_id: r for r in chat.read_back(formatted, expanded).collect()}
     for conv in (1, 2, 3, None):
         own = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         spoken = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
         assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == hashlib.sha256(spoken.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.examples(formatted).count() == 4
-    said = [r for r in chat.texts(formatted).collect() if r.conv_id == 1]
+    assert expanded.count() == 4
+    shown = {(r.conv_id, r.example): r for r in chat.texts(formatted, expanded).collect()}
+    assert len(shown) == 4 and all(shown[r.conv_id, r.example].target == r.target for r in expanded.collect())
+    said = [r for r in shown.values() if r.conv_id == 1]
     assert said[0].context.startswith("[TURN]user[TEXT][END][TURN]assistant[TEXT]") and "[INST]" not in said[0].target
-    assert chat.read_back(chat.transcripts(turns.limit(0))).count() == 0
+    none = chat.pieces(turns.limit(0))
+    assert chat.read_back(chat.transcripts(none), chat.examples(none)).count() == 0
+
+
+def test_chat_long_conversation(spark):
+    """Cost grows with the turns, not with their square: 16,000 turns in seconds."""
+    n = 16_000
+    turns = spark.range(n).selectExpr("cast(1 AS long) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('w[', 20) || id AS text")
+    cut = chat.pieces(turns)
+    began = time.monotonic()
+    row = chat.read_back(chat.transcripts(cut), chat.examples(cut)).first()
+    assert time.monotonic() - began < 15
+    loss = "".join("w[" * 20 + str(i) for i in range(1, n, 2))
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_topk_against_brute_force(spark):
@@ -227,6 +291,26 @@ def test_topk_against_brute_force(spark):
     assert topk.search(v.limit(0), v, 5).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**8, 2.0**12, 2.0**34])
+def test_topk_is_exact_for_large_weights(spark, scale):
+    """Sums beyond 2**53 and 2**63, and a query whose weights are larger than any candidate's."""
+    rng = random.Random(3)
+    candidates = [(i, [rng.randrange(-(1 << 12), 1 << 12) * scale / 64 for _ in range(5)]) for i in range(200)]
+    query = (1000, [(1 << 20) + 1 / 64, 3.0, -5.0 - 1 / 64, float(1 << 34), 1.0])
+    c, q = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (candidates, [query, candidates[7]]))
+    ints = lambda e: [int(np.floor(64 * x)) for x in e]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(c, q, 7, shard_rows=64).collect()}
+    for i, e in (query, candidates[7]):
+        scores = [(min(max(sum(a * b for a, b in zip(ints(e), ints(w))), -(1 << 63)), (1 << 63) - 1), j) for j, w in candidates if j != i]
+        assert [got[i, n + 1] for n in range(7)] == [(j, s) for s, j in sorted(scores, key=lambda x: (-x[0], x[1]))[:7]]
+
+
+def test_topk_repeated_ids_spread(spark):
+    v = spark.range(3000).selectExpr("5 AS vec_id", "array(1.0D, 2.0D) AS embedding").unionAll(spark.range(10, 12).selectExpr("id", "array(1.0D, 0.0D)"))
+    got = topk.search(v, v.where("vec_id = 10"), 3, shard_rows=100).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, 5, 4096) for i in (1, 2, 3)]
+
+
 def brute_containment(d, b):
     def shingles(t):
         w = re.findall(r"[^\W_]+", (t or "").lower())
@@ -248,15 +332,27 @@ def test_decontamination_against_brute_force(spark):
         body = rows[i][1].split()
         at = rng.randrange(len(body))
         rows[i] = (i, " ".join(body[:at] + [x.upper() + "," for x in w] + body[at:]), "s")
-    rows += [*EDGE[:5], (70, bench[1][1], "s")]
+    rows += [*EDGE, (70, bench[1][1], "s")]
     d, b = docs(spark, rows, True), spark.createDataFrame(bench, "item_id long, text string")
     found = [(r.doc_id, r.item_id, r.shared) for r in decontaminate.contained_items(d, b).collect()]
     assert Counter(found) == Counter(brute_containment(rows, bench)) and len(found) > 30
     hit = {i for i, _, _ in found}
     kept = decontaminate.remove_contaminated(d, b)
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _, _ in rows if i not in hit) and kept.columns == d.columns
-    split = [(r.doc_id, r.item_id, r.shared) for r in decontaminate.contained_items(d, b, block_bytes=2000).collect()]
-    assert Counter(split) == Counter(found) and decontaminate.contained_items(d, b.limit(0)).count() == 0
+    assert decontaminate.contained_items(d, b.limit(0)).count() == 0 and decontaminate.contained_items(d.limit(0), b).count() == 0
+    # A benchmark of a hundred times the size finds the same for these items.
+    more = spark.createDataFrame([(1000 + i, text(30)) for i in range(6000)], "item_id long, text string")
+    again = [(r.doc_id, r.item_id, r.shared) for r in decontaminate.contained_items(d, b.unionAll(more)).collect()]
+    assert Counter(x for x in again if x[1] < 1000) == Counter(found)
+
+
+def test_decontamination_filter_size(spark):
+    index = decontaminate.index_table(spark.read.parquet(f"{SF}/benchmark.parquet"))
+    known = decontaminate.filters(index)
+    assert known.keys.words.nbytes + known.shingles.words.nbytes <= 1 << 20
+    keys = np.array([k for r in index.collect() for k in r["keys"]], np.int64).view(np.uint64)
+    assert len(known.keys.holds(keys)) == len(keys)
+    assert len(known.keys.holds(np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64))) < 100
 
 
 def test_mixing(spark):
@@ -315,6 +411,15 @@ def test_training_order_round_trip(spark, tmp_path):
     assert (training_order.read_slots(folder, 20, 70, 16, 32) == want[20:90]).all()
     assert (training_order.read_slots(folder, 0, 10**6, 16, 32) == want).all()
     assert training_order.training_order(docs(spark, [])).count() == 0
+    # The order is one of the documents, not of the files they come in.
+    d = docs(spark, rows, True)
+    again = training_order.training_order(d.orderBy(F.desc("text")).repartition(5), length=16, shard_rows=32).collect()
+    assert sorted((r.slot, r.tokens) for r in again) == sorted((r.slot, r.tokens) for r in got)
+    by_text = sorted(((i is not None, i or 0, hashlib.sha256(t.encode()).hexdigest() if t is not None else ""), i) for i, t, _ in rows)
+    index = {}
+    for r in got:
+        index.setdefault(int(training_order.unpermute(np.array([r.slot], np.uint64), len(got))[0]), (r.doc_id, r.part))
+    assert list(dict.fromkeys(index[i][0] for i in range(len(got)))) == list(dict.fromkeys(i for _, i in by_text))
 
 
 def brute_spans(text):
@@ -347,10 +452,45 @@ def test_pii_disclosure(spark):
     assert "zorblat7" in terms and "quix" in terms and "common" not in terms and "words" not in terms
     assert got[500].base_sha256 == hashlib.sha256(got[500].base.encode()).hexdigest() and got[500].spans.startswith(got[500].base)
     clean = {r.doc_id: r.text for r in privacy.sanitise(d).collect()}
+    assert {r.doc_id: r.sanitised for r in privacy.find(d).collect()}[500] == clean[500]
     assert "[EMAIL]" in clean[500] and "zorblat7" not in clean[500] and "quix" not in clean[500] and clean[0] == filler[0]
     assert privacy.find(d).count() == len(rows) and privacy.find(docs(spark, [])).count() == 0
 
 
+def test_pii_against_brute_force(spark):
+    """Terms by pointwise mutual information over whole documents, marked wherever they occur."""
+    rng = random.Random(12)
+    common_words = ["w%d" % i for i in range(40)]
+    said = lambda n: [rng.choice(common_words) for _ in range(n)]
+    texts = [" ".join(said(60)) for _ in range(120)]
+    for k in range(6):
+        mail, name = f"who{k}@corp.example.com", f"\u0130zor{'abcdef'[k]}blat"
+        for _ in range(2 + k % 3):
+            texts.append(" ".join([name, *said(50), mail, *said(30)]))  # the name far from the address
+        texts.append(" ".join([*said(10), name.upper(), *said(5)]))  # and without it
+    texts += [texts[130]] * 3 + ["", "api_key = 'a1b2c3d4e5f6a7b8'"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    word = re.compile(r"[^\W_]+")
+    held = []
+    for t in texts:
+        spans = brute_spans(t)
+        held.append(({t[a:b] for _, a, b in spans}, {m[0].lower() for m in word.finditer(t)}, {m[0].lower() for m in word.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in spans)}))
+    n, marked = len(texts), set()
+    for e in {e for es, _, _ in held for e in es}:
+        n_e = sum(e in es for es, _, _ in held)
+        for w in set().union(*[ws for es, _, ws in held if e in es]):
+            if len({t for t, (es, _, ws) in zip(texts, held) if e in es and w in ws}) >= privacy.SUPPORT:
+                n_te, n_t = sum(e in es and w in ws for es, _, ws in held), sum(w in ws for _, ws, _ in held)
+                if np.log(n * n_te / (n_t * n_e)) >= -np.log(n_e / n) / privacy.ALPHA:
+                    marked.add(w)
+    assert {f"\u0130zor{'abcdef'[k]}blat".lower() for k in range(6)} <= marked and not marked & set(common_words)
+    for r in privacy.find(docs(spark, rows, True)).collect():
+        t = texts[r.doc_id]
+        want = sorted((m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in marked and not any(a < m.end() and m.start() < b for _, a, b in brute_spans(t)))
+        assert [(int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] == want
+        assert r.n_secret == ("api_key" in t) and "blat" not in r.sanitised and "a1b2c3" not in r.sanitised
+
+
 def test_pipeline_against_operators(spark):
     docs_in = spark.read.parquet(f"{SF}/documents.parquet")
     current = docs_in
@@ -364,19 +504,22 @@ def test_pipeline_against_operators(spark):
     model = toxicity.fit(docs_in, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs_in.collect()}
     calm = {i for i, t in texts.items() if toxicity.passages(t, model)[0] < toxicity.THRESHOLD}
-    first = {}
-    prints = {i: brute_fingerprint(texts[i]) for i in sorted(calm)}
-    parent = {i: i for i in prints}
+    sets = {i: brute_grams(texts[i]) for i in sorted(calm)}
+    parent = {i: i for i in sets}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(prints, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 4:
+    by_gram = {}
+    for i, grams in sets.items():
+        for g in grams:
+            by_gram.setdefault(g, []).append(i)
+    for a, b in {p for held in by_gram.values() for p in itertools.combinations(held, 2)}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
             parent[max(root(a), root(b))] = min(root(a), root(b))
-    first = {root(i) for i in prints}
+    first = {root(i) for i in sets}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {i for i, _, _ in brute_containment([(i, texts[i], "") for i in first], bench)}
     assert out == first - dirty

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("usage", "rules", "search", "corpus", "quality")
+FAMILIES = ("usage", "metrics", "rules", "search", "corpus", "quality")
 
 
 def _families():

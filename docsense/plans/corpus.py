@@ -172,12 +172,6 @@ def version_range(spark, d):
     return table(spark, d, "part").where((v > at(1, 3, 10)) & (v <= at(3, 5, 20))).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, least(n_chars / 1000e0, 1e0) AS clarity, CASE WHEN contains(text, chr(10)) THEN 1e0 ELSE 0e0 END AS structure, round(0.6e0 * least(n_chars / 1000e0, 1e0) + 0.4e0 * CASE WHEN contains(text, chr(10)) THEN 1e0 ELSE 0e0 END, 6) AS score FROM documents")
-def quality_score(spark, d):
-    clarity, structure = F.least(F.col("n_chars") / 1000.0, F.lit(1.0)), F.when(F.col("text").contains("\n"), 1.0).otherwise(0.0)
-    return table(spark, d, "documents").select("doc_id", clarity.alias("clarity"), structure.alias("structure"), F.round(0.6 * clarity + 0.4 * structure, 6).alias("score"))
-
-
 @query("WITH s AS (SELECT doc_id, list_filter(string_split(text, '.'), lambda x: trim(x) <> '') AS s FROM documents) SELECT doc_id, len(s) AS sentences, round(list_avg(list_transform(s, lambda x: length(trim(x))::DOUBLE)), 6) AS mean_length FROM s WHERE len(s) > 0")
 def qa_clarity(spark, d):
     s = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\."), lambda x: F.trim(x) != "").alias("s")).where(F.size("s") > 0)

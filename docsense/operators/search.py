@@ -41,6 +41,14 @@ def keyword_score(words: list[str], held: Column, text: Column) -> Column:
     return F.least(sum(each, F.lit(0.0)) / max(len(words), 1), F.lit(1.0))
 
 
+def holds_any(words: list[str], text: Column) -> Column:
+    """Whether the text holds any of the words, as a token or inside one."""
+    lowered, out = F.lower(text), F.lit(False)
+    for w in words:
+        out = out | lowered.contains(F.lit(w))
+    return out
+
+
 def _equals(word: str):
     return lambda t: t == F.lit(word)
 
@@ -168,8 +176,10 @@ def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, least: int = 80, most
     """
     lengths = words.select("word", F.length("word").alias("n")).withColumn("of", F.explode(F.sequence(F.ceil(F.col("n") * least / (200 - least)).cast("int"), F.floor(F.col("n") * (200 - least) / least).cast("int"))))
     near = lengths.join(vocabulary.select("token", F.length("token").alias("of")), "of").where("word <> token")
-    # Common prefix or suffix letters aren't required: the ratio is computed for every pair of fitting lengths.
-    scored = near.withColumn("ratio", _ratio(F.col("word"), F.col("token"))).where(F.col("ratio") >= least)
+    # The edit distance is never above the insertions and deletions that the ratio allows, so this loses no match.
+    allowed = F.floor((F.length("word") + F.length("token")) * (100 - least) / 100 + 0.5)
+    close = near.where(F.levenshtein("word", "token") <= allowed)
+    scored = close.withColumn("ratio", _ratio(F.col("word"), F.col("token"))).where(F.col("ratio") >= least)
     order = Window.partitionBy("word").orderBy(F.desc("ratio"), "token")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("word", "token", "ratio", "rank")
 

@@ -57,9 +57,9 @@ def metadata_filter(spark, d):
 _TF = " + ".join(f"(len(list_filter(w, lambda x: x = '{x}')) + 0.5e0 * ((length(lt) - length(replace(lt, '{x}', ''))) / {len(x)}e0 - len(list_filter(w, lambda x: x = '{x}'))))" for x in WORDS)
 
 
-@query(f"WITH {_TOK} SELECT doc_id, round(least(({_TF}) / (1 + ln(greatest(len(w), 1))), 1e0), 6) AS tf FROM t WHERE contains(lt, 'stupid') OR contains(lt, 'worthless')")
+@query(f"WITH {_TOK} SELECT doc_id, round(least(({_TF}) / (1 + ln(greatest(len(w), 1))), 1e0), 6) AS tf FROM t WHERE contains(lt, 'stupid') OR contains(lt, 'worthless') OR contains(lt, 'license')")
 def tf_score(spark, d):
-    docs = table(spark, d, "documents").where(F.lower("text").contains("stupid") | F.lower("text").contains("worthless"))
+    docs = table(spark, d, "documents").where(search.holds_any(WORDS, F.col("text")))
     return docs.select("doc_id", F.round(search.term_frequency(WORDS, F.col("text")), 6).alias("tf"))
 
 
@@ -69,16 +69,16 @@ def position_score(spark, d):
 
 
 def _passage_hits(spark, d, k=10):
-    """Benchmark items searched by their longest words: candidates come from an equi-join on words."""
-    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).where(F.length("token") >= 8)
-    held = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).where(F.length("token") >= 8)
+    """Benchmark items searched by all their words: candidates come from an equi-join on words."""
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
+    held = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
     n = words.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     scored = words.join(held, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).join(n, "item_id").select("item_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
     return search.top_k(scored, "item_id", "doc_id", k)
 
 
-_HITS = r"""q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 8))) AS token FROM benchmark),
-h AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 8))) AS token FROM documents),
+_HITS = r"""q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM benchmark),
+h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1), s AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS score FROM q JOIN h USING (token) JOIN n USING (item_id) GROUP BY item_id, doc_id, n),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s), top AS (SELECT item_id, doc_id, score, rank FROM k WHERE rank <= 10 AND score > 0.05)"""
 
@@ -121,7 +121,7 @@ def rerank(spark, d):
     text, held = F.col("text"), search.tokens(F.col("text"))
     words, _ = search.query_words("stupid worthless")
     init = search.blend(F.lit(0.5), search.keyword_score(words, held, text))
-    scored = table(spark, d, "documents").where(F.lower("text").contains("stupid")).select(
+    scored = table(spark, d, "documents").where(search.holds_any(words, text)).select(
         F.lit("stupid worthless").alias("query"),
         "doc_id",
         F.round(search.rerank(init, F.lower("text").contains("stupid worthless").cast("double"), search.term_frequency(words, text), search.proximity_score(words, held), search.position_score(words, held), search.metadata_score(words, {"source": F.col("source"), "lang": F.col("lang")}), F.lit(0.5)), 6).alias("score"),
@@ -131,7 +131,7 @@ def rerank(spark, d):
 
 @query()
 def highlights(spark, d):
-    docs = table(spark, d, "documents").where(F.lower("text").contains("stupid"))
+    docs = table(spark, d, "documents").where(search.holds_any(["stupid", "worthless"], F.col("text")))
     return docs.select("doc_id", F.array_join(search.highlights(F.col("text"), ["stupid", "worthless"]), " ... ").alias("shown"))
 
 

@@ -165,11 +165,13 @@ def trend_significance(points: DataFrame, key: str, x: str, value: str, level: f
     return fitted.select(key, "n", F.round("slope", 6).alias("slope"), F.round("r", 6).alias("r"), F.round(tail("r", "n"), 9).alias("p")).withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
 
 
-def forecast(points: DataFrame, key: str, x: str, value: str, steps: int = 3) -> DataFrame:
-    """Linear forecast ``steps`` ahead, not below zero, with two residual deviations that widen by a tenth a step."""
-    fit = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, x).alias("b"), F.regr_intercept(value, x).alias("a"), F.stddev_samp(value).alias("sd"), F.max(x).alias("last"))
+def forecast(points: DataFrame, key: str, order: str, value: str, steps: int = 3, a_step: int = 24) -> DataFrame:
+    """Linear forecast of hourly points, ``steps`` days ahead, not below zero, with two deviations of the values that widen
+    by a tenth a step. Points are numbered 0 to n - 1 in their order; day d is x = n + 24 d. Five points at least."""
+    placed = points.withColumn("x", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("double"))
+    fit = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, "x").alias("b"), F.regr_intercept(value, "x").alias("a"), F.stddev_samp(value).alias("sd")).where("n >= 5")
     ahead = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    mean = F.greatest(F.col("a") + F.col("b") * (F.col("last") + F.col("step")), F.lit(0.0))
+    mean = F.greatest(F.col("a") + F.col("b") * (F.col("n") + a_step * F.col("step")), F.lit(0.0))
     half = 2 * F.col("sd") * (1 + 0.1 * F.col("step"))
     return ahead.select(key, "step", F.round(mean, 4).alias("forecast"), F.round(F.greatest(mean - half, F.lit(0.0)), 4).alias("low"), F.round(mean + half, 4).alias("high"))
 

@@ -5,12 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAKING = r"(?i)\b(breaking|removed|deprecated|incompatible)\b"
+#: Words of a breaking change, sections whose changes weigh more, and metadata fields by weight.
+BREAKING = r"(?i)breaking:|deprecated|removed|no longer supported|incompatible"
+CRITICAL_SECTIONS = "security|authentication|authorization|compliance"
+FIELD_LEVELS = {"version": "MAJOR", "dependencies": "MAJOR", "nist_controls": "MAJOR", "compliance_frameworks": "MAJOR", "tags": "MINOR", "domain": "MINOR", "type": "MINOR", "maturity_level": "MINOR"}
+FIELD_IMPACT = {"version": "high", "dependencies": "high", "nist_controls": "high", "compliance_frameworks": "medium", "domain": "medium", "type": "medium"}
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, body): text up to each line is keyed by its ordinal; empty sections are dropped."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("section", "body")).where(F.trim("body") != "")
+    """(key, section, body): Markdown cut at heading lines. Text before the first is ``introduction``; a heading without a
+    line below it is dropped, and of equal headings the last wins."""
+    pieces = docs.select(key, F.posexplode(F.split(text, "\n(?=#)")).alias("n", "piece"))
+    headed = F.col("piece").startswith("#")
+    first = F.regexp_extract("piece", r"^([^\n]*)", 1)
+    name = F.replace(F.lower(F.trim(F.regexp_replace(first, "^#+|#+$", ""))), F.lit(" "), F.lit("_"))
+    cut = pieces.where(~headed | F.col("piece").contains("\n")).select(
+        key, "n", F.when(headed, name).otherwise("introduction").alias("section"), F.when(headed, F.regexp_replace("piece", r"^[^\n]*\n", "")).otherwise(F.col("piece")).alias("body")
+    )
+    return cut.groupBy(key, "section").agg(F.max_by("body", "n").alias("body"))
+
+
+def impact(level: Column, section: Column) -> Column:
+    return F.when(level == "MAJOR", "high").when(F.lower(section).rlike(CRITICAL_SECTIONS), "medium").otherwise("low")
+
+
+def _by_field(field: Column, values: dict[str, str], otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for name, value in values.items():
+        out = F.when(field == name, value).otherwise(out)
+    return out
+
+
+def field_level(field: Column) -> Column:
+    return _by_field(field, FIELD_LEVELS, "METADATA")
+
+
+def field_impact(field: Column) -> Column:
+    return _by_field(field, FIELD_IMPACT, "low")
 
 
 def section_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,6 +68,22 @@ def parts(version: Column) -> Column:
     return F.when(ok, F.struct(numbers[0].alias("major"), numbers[1].alias("minor"), numbers[2].alias("patch")))
 
 
+def line_diff(before: Column, after: Column) -> Column:
+    """Lines of either side that the other lacks, as ``-`` and ``+`` lines in the order of their side."""
+    a, b = F.split(before, "\n"), F.split(after, "\n")
+    gone = F.transform(F.filter(a, lambda x: ~F.array_contains(b, x)), lambda x: F.concat(F.lit("-"), x))
+    come = F.transform(F.filter(b, lambda x: ~F.array_contains(a, x)), lambda x: F.concat(F.lit("+"), x))
+    return F.array_join(F.concat(gone, come), "\n")
+
+
+def migration_guide(changes: DataFrame, key: str) -> DataFrame:
+    """One text a key: its changes with level, section and what happened, the gravest first."""
+    rank = F.when(F.col("level") == "MAJOR", 0).when(F.col("level") == "MINOR", 1).otherwise(2)
+    line = F.concat(F.lit("- ["), "level", F.lit("] "), "section", F.lit(": "), "change")
+    listed = changes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "section", line.alias("line")))).alias("l"))
+    return listed.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("guide"))
+
+
 def next_version(version: Column, level: Column) -> Column:
     v = parts(version)
     bump = F.when(level == "MAJOR", F.concat_ws(".", (v["major"] + 1).cast("string"), F.lit("0"), F.lit("0"))).when(level == "MINOR", F.concat_ws(".", v["major"].cast("string"), (v["minor"] + 1).cast("string"), F.lit("0")))

@@ -26,23 +26,23 @@ def _posts(spark, d):
 
 
 _P = "p AS (SELECT l_partkey AS concept, l_orderkey AS doc, count(*) AS freq FROM lineitem GROUP BY ALL)"
-_E = f"{_P}, r AS (SELECT * FROM p WHERE concept IN (SELECT concept FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25)), e AS (SELECT a.doc AS source, b.doc AS target, count(*) AS shared, round(least(1e0, avg(least(b.freq / 10e0, 1e0)) + least(count(*) / 10e0, 0.3e0)), 6) AS strength FROM r a JOIN r b USING (concept) WHERE a.doc <> b.doc GROUP BY ALL)"
+_E = f"{_P}, r AS (SELECT * FROM p), e AS (SELECT a.doc AS source, b.doc AS target, count(*) AS shared, round(least(1e0, avg(least(b.freq / 10e0, 1e0)) + least(count(*) / 10e0, 0.3e0)), 6) AS strength FROM r a JOIN r b USING (concept) WHERE a.doc <> b.doc GROUP BY ALL)"
 
 
-@query(f"WITH {_P} SELECT * FROM p WHERE freq > 1")
+@query(f"WITH {_P} SELECT * FROM p")
 def concept_postings(spark, d):
-    return _posts(spark, d).where("freq > 1")
+    return _posts(spark, d)
 
 
 @query(f"WITH {_E} SELECT * FROM e WHERE shared >= 2")
 def relationship_strength(spark, d):
-    return graph.shared_concepts(_posts(spark, d), 25).where("shared >= 2")
+    return graph.shared_concepts(_posts(spark, d)).where("shared >= 2")
 
 
 @query(f"WITH {_E}, x AS (SELECT source, target, shared, strength FROM e WHERE source < target AND strength > 0.25 AND NOT EXISTS (SELECT 1 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey = source AND b.o_orderkey = target)) SELECT * FROM x ORDER BY strength DESC, source, target LIMIT 20")
 def missing_reference_suggestions(spark, d):
     """Strong pairs that aren't linked yet (no common customer): an anti join, then the best twenty."""
-    pairs = graph.shared_concepts(_posts(spark, d), 25).where("source < target AND strength > 0.25")
+    pairs = graph.shared_concepts(_posts(spark, d)).where("source < target AND strength > 0.25")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     with_both = pairs.join(o.select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("c1")), "source").join(o.select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("c2")), "target")
     linked = with_both.where("c1 = c2").select("source", "target")
@@ -133,23 +133,76 @@ def code_metrics(spark, d):
     )
 
 
-_PAIR = "v AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), o AS (SELECT conv_id, turn, i - 1 AS section, s[i] AS body FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS s FROM v WHERE nxt IS NOT NULL), unnest(range(1, len(s) + 1)) t(i) WHERE trim(s[i]) <> ''), n AS (SELECT conv_id, turn, i - 1 AS section, s[i] AS body FROM (SELECT conv_id, turn, string_split(nxt, chr(10)) AS s FROM v WHERE nxt IS NOT NULL), unnest(range(1, len(s) + 1)) t(i) WHERE trim(s[i]) <> ''), b AS (SELECT conv_id, turn, section::INTEGER AS section, coalesce(o.body, '') AS x, coalesce(n.body, '') AS y FROM o FULL JOIN n USING (conv_id, turn, section)), c AS (SELECT conv_id, turn, section, CASE WHEN x = '' THEN 'MINOR' WHEN y = '' THEN 'MAJOR' WHEN regexp_matches(y, '(?i)\\b(breaking|removed|deprecated|incompatible)\\b') THEN 'MAJOR' WHEN length(y) > 1.2 * length(x) THEN 'MINOR' ELSE 'PATCH' END AS level, CASE WHEN x = '' THEN 'added' WHEN y = '' THEN 'removed' WHEN length(y)::DOUBLE / length(x) > 1.5 THEN 'expanded' WHEN length(y)::DOUBLE / length(x) < 0.5 THEN 'reduced' ELSE 'edited' END AS change FROM b WHERE x <> y)".replace("\\\\", "\\")
+_PAIR = r"""t AS (SELECT conv_id, string_agg('# ' || coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1), v AS (SELECT conv_id, body, lead(body) OVER (ORDER BY conv_id) AS nxt FROM t),
+w AS (SELECT conv_id, 0 AS side, body FROM v WHERE nxt IS NOT NULL UNION ALL SELECT conv_id, 1, nxt FROM v WHERE nxt IS NOT NULL), l AS (SELECT conv_id, side, i, x[i] AS line FROM (SELECT conv_id, side, string_split(body, chr(10)) AS x FROM w), unnest(range(1, len(x) + 1)) r(i)),
+h AS (SELECT *, sum(starts_with(line, '#')::INTEGER) OVER (PARTITION BY conv_id, side ORDER BY i) AS n FROM l),
+g AS (SELECT conv_id, side, n, coalesce(any_value(CASE WHEN starts_with(line, '#') THEN replace(lower(trim(trim(line, '#'), ' ')), ' ', '_') END), 'introduction') AS section, string_agg(line, chr(10) ORDER BY i) FILTER (NOT starts_with(line, '#')) AS body FROM h GROUP BY ALL),
+k AS (SELECT conv_id, side, section, arg_max(body, n) AS body FROM g WHERE body IS NOT NULL GROUP BY ALL),
+b AS (SELECT conv_id, section, coalesce(o.body, '') AS x, coalesce(n.body, '') AS y FROM (SELECT * FROM k WHERE side = 0) o FULL JOIN (SELECT * FROM k WHERE side = 1) n USING (conv_id, section)),
+c AS (SELECT conv_id, section, CASE WHEN x = '' THEN 'MINOR' WHEN y = '' THEN 'MAJOR' WHEN regexp_matches(y, '(?i)breaking:|deprecated|removed|no longer supported|incompatible') THEN 'MAJOR' WHEN length(y) > 1.2 * length(x) THEN 'MINOR' ELSE 'PATCH' END AS level,
+  CASE WHEN x = '' THEN 'added' WHEN y = '' THEN 'removed' WHEN length(y)::DOUBLE / length(x) > 1.5 THEN 'expanded' WHEN length(y)::DOUBLE / length(x) < 0.5 THEN 'reduced' ELSE 'edited' END AS change FROM b WHERE x <> y),
+d AS (SELECT *, CASE WHEN level = 'MAJOR' THEN 'high' WHEN regexp_matches(section, 'security|authentication|authorization|compliance') THEN 'medium' ELSE 'low' END AS impact FROM c)"""
+
+
+def _version_pairs(spark, d):
+    """A conversation as a document with a section for each role, and the next conversation as its new version."""
+    piece = F.concat(F.lit("# "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    told = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", piece.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
+    ids = table(spark, d, "conversations").select("conv_id").distinct().withColumn("next_id", F.lead("conv_id").over(Window.orderBy("conv_id"))).where("next_id IS NOT NULL")
+    after = told.select(F.col("conv_id").alias("next_id"), F.col("body").alias("after"))
+    return told.join(ids, "conv_id").join(after, "next_id").select("conv_id", F.col("body").alias("before"), "after")
 
 
 def _versions(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    both = table(spark, d, "conversations").withColumn("next", F.lead("text").over(w)).where("next IS NOT NULL")
-    split = lambda c: versions.sections(both.select(F.struct("conv_id", "turn").alias("k"), F.col(c).alias("body_text")), "k", "body_text").select("k.conv_id", "k.turn", "section", "body")
-    return versions.section_diff(split("text"), split("next"), ["conv_id", "turn", "section"])
+    both = _version_pairs(spark, d)
+    diff = versions.section_diff(versions.sections(both, "conv_id", "before"), versions.sections(both, "conv_id", "after"), ["conv_id", "section"])
+    return diff.withColumn("impact", versions.impact(F.col("level"), F.col("section")))
 
 
-@query(f"WITH {_PAIR} SELECT * FROM c")
+@query(f"WITH {_PAIR} SELECT * FROM d")
 def section_diff(spark, d):
-    """Consecutive turns as versions of one text."""
-    return _versions(spark, d).select("conv_id", "turn", "section", "level", "change")
+    """Heading sections of two versions: level, change and impact."""
+    return _versions(spark, d).select("conv_id", "section", "level", "change", "impact")
+
+
+@query(f"WITH {_PAIR} SELECT conv_id, string_agg('- [' || level || '] ' || section || ': ' || change, chr(10) ORDER BY CASE level WHEN 'MAJOR' THEN 0 WHEN 'MINOR' THEN 1 ELSE 2 END, section) AS guide FROM d GROUP BY 1")
+def migration_guides(spark, d):
+    return versions.migration_guide(_versions(spark, d), "conv_id")
+
+
+@query(f"WITH {_PAIR}, q AS (SELECT conv_id, string_split(body, chr(10)) AS a, string_split(nxt, chr(10)) AS b FROM v WHERE nxt IS NOT NULL) SELECT conv_id, sha256(array_to_string(list_concat(list_transform(list_filter(a, lambda x: NOT list_contains(b, x)), lambda x: '-' || x), list_transform(list_filter(b, lambda x: NOT list_contains(a, x)), lambda x: '+' || x)), chr(10))) AS diff_sha256 FROM q")
+def version_line_diff(spark, d):
+    rows = _version_pairs(spark, d)
+    return rows.select("conv_id", F.sha2(versions.line_diff(F.col("before"), F.col("after")).cast("binary"), 256).alias("diff_sha256"))
+
+
+@query(f"WITH {_PAIR}, m AS (SELECT conv_id, min(CASE level WHEN 'MAJOR' THEN 0 WHEN 'MINOR' THEN 1 ELSE 2 END) AS r, count(*) AS changes FROM d GROUP BY 1) SELECT v.conv_id, sha256(nxt) AS content_hash, changes, CASE r WHEN 0 THEN '2.0.0' WHEN 1 THEN '1.1.0' ELSE '1.0.1' END AS version FROM v JOIN m USING (conv_id)")
+def create_versions(spark, d):
+    """A new version of each document: content hash, number of changes and the number that their gravest level makes of 1.0.0."""
+    rank = F.when(F.col("level") == "MAJOR", 0).when(F.col("level") == "MINOR", 1).otherwise(2)
+    counts = _versions(spark, d).groupBy("conv_id").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("changes"))
+    level = F.when(F.col("r") == 0, "MAJOR").when(F.col("r") == 1, "MINOR").otherwise("PATCH")
+    return _version_pairs(spark, d).join(counts, "conv_id").select("conv_id", F.sha2(F.col("after").cast("binary"), 256).alias("content_hash"), "changes", versions.next_version(F.lit("1.0.0"), level).alias("version"))
+
+
+@query("SELECT p_partkey, version, row_number() OVER (PARTITION BY p_brand ORDER BY a DESC, b DESC, c DESC, p_partkey)::INTEGER AS place FROM (SELECT p_partkey, p_brand, p_partkey % 5 AS a, p_partkey % 7 AS b, p_size AS c, (p_partkey % 5) || '.' || (p_partkey % 7) || '.' || p_size AS version FROM part)")
+def list_versions(spark, d):
+    """Versions of each brand, newest first by their numbers."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.concat_ws(".", (k % 5).cast("string"), (k % 7).cast("string"), F.col("p_size").cast("string")).alias("version"))
+    w = Window.partitionBy("p_brand").orderBy(versions.parts(F.col("version")).desc(), "p_partkey")
+    return rows.select("p_partkey", "version", F.row_number().over(w).alias("place"))
+
 
+@query("SELECT event_id, f AS field, CASE WHEN f IN ('version', 'dependencies') THEN 'MAJOR' WHEN f IN ('tags', 'domain') THEN 'MINOR' ELSE 'METADATA' END AS level, CASE WHEN f IN ('version', 'dependencies') THEN 'high' WHEN f = 'domain' THEN 'medium' ELSE 'low' END AS impact FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'version' WHEN 'error' THEN 'dependencies' WHEN 'view' THEN 'tags' WHEN 'signup' THEN 'domain' ELSE 'author' END AS f FROM events)")
+def metadata_change_levels(spark, d):
+    names = {"click": "version", "error": "dependencies", "view": "tags", "signup": "domain"}
+    field = F.coalesce(F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col("event_type")], F.lit("author"))
+    rows = table(spark, d, "events").select("event_id", field.alias("field"))
+    return rows.select("event_id", "field", versions.field_level(F.col("field")).alias("level"), versions.field_impact(F.col("field")).alias("impact"))
 
-@query(f"WITH {_PAIR}, g AS (SELECT conv_id, count(*) FILTER (level = 'MAJOR') AS major, count(*) AS changes FROM c GROUP BY 1) SELECT conv_id, major, changes, CASE WHEN major = 0 THEN 'full' WHEN major <= 2 THEN 'partial' ELSE 'breaking' END AS grade, CASE WHEN major > 3 THEN 'high' WHEN changes > 5 THEN 'medium' ELSE 'low' END AS complexity FROM g")
+
+@query(f"WITH {_PAIR}, gg AS (SELECT conv_id, count(*) FILTER (level = 'MAJOR') AS major, count(*) AS changes FROM c GROUP BY 1) SELECT conv_id, major, changes, CASE WHEN major = 0 THEN 'full' WHEN major <= 2 THEN 'partial' ELSE 'breaking' END AS grade, CASE WHEN major > 3 THEN 'high' WHEN changes > 5 THEN 'medium' ELSE 'low' END AS complexity FROM gg")
 def compat_level(spark, d):
     counts = _versions(spark, d).groupBy("conv_id").agg(F.count_if(F.col("level") == "MAJOR").alias("major"), F.count(F.lit(1)).alias("changes"))
     grade, effort = versions.compatibility(F.col("major"), F.col("changes"))
@@ -229,11 +282,40 @@ def ewma_reputation(spark, d):
     return o.groupBy("user_id").agg(F.round(0.5 * F.pow(F.lit(0.9), F.max("n")) + F.sum(0.1 * F.pow(F.lit(0.9), F.col("n") - F.col("i")) * good), 6).alias("reputation"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = d.doc_id AND d.doc_id % 2 = 0)")
+_SYNC = "m AS (SELECT doc_id AS path, sha256(text) AS sha, length(text) AS size FROM documents WHERE doc_id % 3 > 0), r AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS sha, length(text) AS size FROM documents WHERE doc_id % 7 > 0)"
+
+
+def _manifests(spark, d):
+    """What a synchronisation knows (two thirds of the documents) and what a remote listing holds (some changed)."""
+    docs = table(spark, d, "documents")
+    row = lambda text: (F.col("doc_id").alias("path"), F.sha2(text.cast("binary"), 256).alias("sha"), F.length("text").cast("long").alias("size"))
+    text = F.col("text")
+    return docs.where("doc_id % 3 > 0").select(*row(text)), docs.where("doc_id % 7 > 0").select(*row(F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("!"))).otherwise(text)))
+
+
+@query(f"WITH {_SYNC} SELECT path, r.sha, CASE WHEN m.path IS NULL THEN 'new' ELSE 'changed' END AS status FROM r LEFT JOIN m USING (path) WHERE m.sha IS DISTINCT FROM r.sha")
 def sync_incremental(spark, d):
-    """Documents whose hash isn't in the manifest of an earlier sync (here, of the even ids)."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    return docs.join(docs.where("doc_id % 2 = 0"), ["doc_id", "content_hash"], "left_anti")
+    """Files to fetch: new ones and those whose digest differs; equal ones are skipped."""
+    known, remote = _manifests(spark, d)
+    joined = remote.join(known.select("path", F.col("sha").alias("had")), "path", "left")
+    return joined.where(~F.col("sha").eqNullSafe(F.col("had"))).select("path", "sha", F.when(F.col("had").isNull(), "new").otherwise("changed").alias("status"))
+
+
+@query(f"WITH {_SYNC}, u AS (SELECT path, sha, size FROM r UNION ALL SELECT path, sha, size FROM m WHERE path NOT IN (SELECT path FROM r)) SELECT count(*) AS files, round(sum(size) / 1048576e0, 6) AS megabytes, count(*) FILTER (path IN (SELECT path FROM m JOIN r USING (path, sha))) AS unchanged FROM u")
+def sync_status(spark, d):
+    """The manifest after a synchronisation: files, size, and how many were left alone."""
+    known, remote = _manifests(spark, d)
+    kept = known.join(remote.select("path"), "path", "left_anti")
+    same = remote.join(known.select("path", "sha"), ["path", "sha"], "left_semi").select("path", F.lit(True).alias("same"))
+    merged = remote.unionByName(kept).join(same, "path", "left")
+    return merged.agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("size") / 1048576, 6).alias("megabytes"), F.count_if("same").alias("unchanged"))
+
+
+@query("WITH s AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT count(*) AS sources, max(last) AS last_sync, count(*) FILTER (TIMESTAMP '2024-01-31' - last > INTERVAL 24 HOUR) AS outdated FROM s")
+def sync_dashboard(spark, d):
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    old = F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) > 24 * 3600 * 1_000_000
+    return last.agg(F.count(F.lit(1)).alias("sources"), F.max("last").alias("last_sync"), F.count_if(old).alias("outdated"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^https://([^/]+\\.)?example\\.(com|org)(/|$)') AND NOT contains(url, '..') AS safe FROM pages".replace("\\\\", "\\"))
@@ -260,12 +342,27 @@ def cube_balances(spark, d):
     return c.cube("c_mktsegment", "n_name").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT source, 'docs' AS framework, count(*) FILTER (contains(lower(text), 'license')) AS mentions, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT source, 'apache', count(*) FILTER (contains(lower(text), 'apache')), count(*) FROM documents GROUP BY 1")
+#: Names of compliance frameworks.
+FRAMEWORKS = ("NIST", "ISO-27001", "SOC2", "PCI-DSS", "HIPAA", "GDPR", "CCPA", "FedRAMP", "FISMA", "COSO", "COBIT", "ITIL")
+_FW = ", ".join(f"('{n}')" for n in FRAMEWORKS)
+
+
+@query(f"WITH f(framework) AS (VALUES {_FW}), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT source, framework, count(*) AS k FROM documents JOIN f ON contains(lower(text), lower(framework)) GROUP BY ALL) SELECT source, framework, coalesce(k, 0) AS mentions, n FROM n CROSS JOIN f LEFT JOIN m USING (source, framework)")
 def framework_mentions(spark, d):
-    """Documents of each source that mention each framework name, zero-filled."""
+    """Documents of each source that mention each framework, zero-filled."""
     low = F.lower("text")
-    row = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(low.contains("license")).alias("a"), F.count_if(low.contains("apache")).alias("b"))
-    return row.select("source", F.inline(F.array(F.struct(F.lit("docs").alias("framework"), F.col("a").alias("mentions")), F.struct(F.lit("apache").alias("framework"), F.col("b").alias("mentions")))), "n")
+    row = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(low.contains(n.lower())).alias(f"m{i}") for i, n in enumerate(FRAMEWORKS)])
+    named = F.array(*[F.struct(F.lit(n).alias("framework"), F.col(f"m{i}").alias("mentions")) for i, n in enumerate(FRAMEWORKS)])
+    return row.select("source", F.inline(named), "n")
+
+
+@query(f"WITH f(framework) AS (VALUES {_FW}), d AS (SELECT doc_id, text, list_distinct([CASE doc_id % 4 WHEN 0 THEN 'NIST' WHEN 1 THEN 'GDPR' WHEN 2 THEN 'SOX' ELSE 'SOC2' END]) AS claimed FROM documents), e AS (SELECT doc_id, text, unnest(claimed) AS framework FROM d) SELECT doc_id, framework, CASE WHEN framework NOT IN (SELECT framework FROM f) THEN 'unknown' ELSE 'not referenced' END AS warning FROM e WHERE framework NOT IN (SELECT framework FROM f) OR NOT contains(text, framework)")
+def framework_warnings(spark, d):
+    """Claimed frameworks that are unknown, or that the text doesn't mention."""
+    claimed = F.when(F.col("doc_id") % 4 == 0, "NIST").when(F.col("doc_id") % 4 == 1, "GDPR").when(F.col("doc_id") % 4 == 2, "SOX").otherwise("SOC2")
+    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(claimed)).alias("framework"))
+    warning = F.when(~F.col("framework").isin(*FRAMEWORKS), "unknown").when(~F.col("text").contains(F.col("framework")), "not referenced")
+    return rows.select("doc_id", "framework", warning.alias("warning")).where("warning IS NOT NULL")
 
 
 @query("SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: trim(x) = '')) AS blank, len(l) - len(list_distinct(l)) AS repeated FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")

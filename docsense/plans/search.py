@@ -189,7 +189,7 @@ def token_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", tokens.count(F.col("text")).alias("gpt_tokens"), tokens.count(F.col("text"), 3).alias("other_tokens"))
 
 
-@query("SELECT lang, f AS format, sum(floor((length(text) // 4) * r))::BIGINT AS tokens, round(1 - sum(floor((length(text) // 4) * r)) / sum(length(text) // 4), 6) AS saved FROM documents, (VALUES ('full', 1e0), ('condensed', 0.5e0), ('reference', 0.2e0), ('summary', 0.05e0)) x(f, r) GROUP BY ALL")
+@query("SELECT lang, f AS format, sum(floor((length(text) // 4) * r))::BIGINT AS tokens, round(1 - sum(floor((length(text) // 4) * r)) / sum(length(text) // 4), 6) AS saved FROM documents, (VALUES ('full', 0.9e0), ('condensed', 0.5e0), ('reference', 0.2e0), ('summary', 0.05e0)) x(f, r) GROUP BY ALL")
 def token_estimates_by_format(spark, d):
     return tokens.estimates(table(spark, d, "documents"), "lang")
 
@@ -216,17 +216,25 @@ def greedy_pack(spark, d):
     return packed.select("conv_id", "used", F.size("kept").cast("long").alias("kept"))
 
 
-@query("SELECT doc_id, length(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents".replace("\\\\", "\\"))
+@query(r"SELECT doc_id, length(rtrim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m) +$', '', 'g'), ' ')) AS n FROM documents")
 def remove_redundancy(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(tokens.remove_redundancy(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+_ABBR = "text"
+for _word, _short in tokens.ABBREVIATIONS.items():
+    _ABBR = f"regexp_replace({_ABBR}, '(?i)\\b{_word}\\b', '{_short}', 'g')"
+
+
+@query(f"SELECT doc_id, length({_ABBR}) // 4 AS n FROM documents")
 def abbreviate(spark, d):
     return table(spark, d, "documents").select("doc_id", tokens.count(tokens.abbreviate(F.col("text"))).alias("n"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#|^[-*] .{10,}|^[1-3]\\. ') OR regexp_matches(lower(x), 'must|shall|should|required|license'))) AS n FROM documents".replace("\\\\", "\\"))
+_WORDS_OF = tokens.ESSENTIAL.replace("'", "''")
+
+
+@query(rf"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x, ' '), '#') OR regexp_matches(lower(x), '{_WORDS_OF}') OR (regexp_matches(trim(x, ' '), '^([-*] |[1-3]\.)') AND length(trim(x, ' ')) > 10))) AS n FROM documents")
 def essential_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens.essential_lines(F.col("text"))).cast("long").alias("n"))
 

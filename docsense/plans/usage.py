@@ -212,9 +212,15 @@ def trend_significance(spark, d):
     return stats.trend_significance(_series(spark, d), "event_type", "x", "v")
 
 
-@query(f"WITH {_S}, f AS (SELECT event_type, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, stddev_samp(v) AS sd, max(x) AS last FROM s GROUP BY 1), g AS (SELECT event_type, step::INTEGER AS step, greatest(a + b * (last + step), 0e0) AS mean, 2 * sd * (1 + 0.1e0 * step) AS half FROM f, range(1, 4) t(step)) SELECT event_type, step, round(mean, 4) AS forecast, round(greatest(mean - half, 0e0), 4) AS low, round(mean + half, 4) AS high FROM g")
+_HOURLY = "hs AS (SELECT event_type, date_trunc('hour', ts) AS hour, round(avg(value), 6) AS v FROM events GROUP BY ALL), ho AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1)::DOUBLE AS x FROM hs)"
+
+
+@query(f"WITH {_HOURLY}, f AS (SELECT event_type, count(*) AS n, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, stddev_samp(v) AS sd FROM ho GROUP BY 1), g AS (SELECT event_type, step::INTEGER AS step, greatest(a + b * (n + 24 * step), 0e0) AS mean, 2 * sd * (1 + 0.1e0 * step) AS half FROM f, range(1, 4) t(step) WHERE n >= 5) SELECT event_type, step, round(mean, 4) AS forecast, round(greatest(mean - half, 0e0), 4) AS low, round(mean + half, 4) AS high FROM g")
 def forecast(spark, d):
-    return stats.forecast(_series(spark, d), "event_type", "x", "v")
+    """Hourly means, three days ahead."""
+    hourly = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return stats.forecast(hourly, "event_type", "hour", "v")
+
 
 
 @query("WITH s AS (SELECT avg(value) FILTER (event_type = 'view') AS m1, avg(value) FILTER (event_type = 'click') AS m2, var_samp(value) FILTER (event_type = 'view') AS v1, var_samp(value) FILTER (event_type = 'click') AS v2 FROM events), e AS (SELECT *, abs((m2 - m1) / sqrt((v1 + v2) / 2)) AS c FROM s) SELECT round(m2 - m1, 6) AS difference, round(m2 / m1, 6) AS ratio, round(c, 6) AS cohens_d, CASE WHEN c < 0.2 THEN 'negligible' WHEN c < 0.5 THEN 'small' WHEN c < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM e")

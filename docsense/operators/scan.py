@@ -66,6 +66,50 @@ LINE_RULES = [
     ("panic-call", "rust", "errors", r"\bpanic!\(", "high", ""),
     ("collect-in-for", "rust", "iterators", r"\bfor\s.*\.collect(::<[^>]*>)?\(\)\s*\{", "low", ""),
     ("push-formatted", "rust", "strings", r"push_str\(&?(format!|[^)]*to_string\()", "medium", ""),
+    ("sprintf-sql", "go", "injection", r"(?i)Sprintf\(\"(select|insert|update|delete)\b", "high", "CWE-89"),
+    ("shell-exec", "go", "injection", r"exec\.Command\(\"(sh|bash)\"", "critical", "CWE-78"),
+    ("slice-without-capacity", "go", "allocations", r"make\(\[\][A-Za-z0-9_.]+,\s*0\)", "medium", ""),
+    ("empty-interface", "go", "interfaces", r"interface\{\}", "medium", ""),
+    ("fresh-context", "go", "context", r"context\.(TODO|Background)\(\)", "medium", ""),
+    ("open-mapping", "java", "access", r"@(Get|Post|Put|Delete)Mapping", "high", "CWE-862"),
+    ("weak-cipher", "java", "crypto", r"Cipher\.getInstance\(\"(DES|RC4|Blowfish)", "high", "CWE-327"),
+    ("query-concat", "java", "injection", r"create(Native)?Query\(\".*\"\s*\+", "critical", "CWE-89"),
+    ("directory-concat", "java", "injection", r"(?i)\bsearch\(.*\"\s*\+", "high", "CWE-90"),
+    ("old-dependency", "java", "dependencies", r"log4j:1\.|struts2-core:2\.[0-3]", "high", "CWE-1104"),
+    ("xml-decoder", "java", "integrity", r"new XMLDecoder\(", "critical", "CWE-502"),
+    ("yaml-load", "java", "integrity", r"new Yaml\(\)\.load\(", "critical", "CWE-502"),
+    ("unclosed-stream", "java", "memory", r"new (FileInputStream|FileReader|BufferedReader)\(", "high", ""),
+    ("raw-thread", "java", "threads", r"new Thread\(", "high", ""),
+    ("string-equality", "java", "strings", r"==\s*\"", "low", ""),
+    ("field-injection", "java", "spring", r"@Autowired\s+private", "medium", ""),
+    ("throws-everything", "java", "exceptions", r"throws\s+Exception\b", "medium", ""),
+    ("raw-pointer", "rust", "memory", r"\*(const|mut)\s+[A-Za-z_]+", "high", "CWE-824"),
+    ("forgotten-memory", "rust", "memory", r"mem::(forget|uninitialized|zeroed)\(", "critical", "CWE-416"),
+    ("expect-call", "rust", "errors", r"\.expect\(\"", "medium", ""),
+    ("shared-cell", "rust", "ownership", r"Rc<RefCell<", "medium", ""),
+    ("clone-call", "rust", "ownership", r"\.clone\(\)", "low", ""),
+    ("weak-random", "rust", "crypto", r"rand::random|thread_rng\(", "high", "CWE-338"),
+    ("raw-arguments", "rust", "input", r"env::args\(\)", "medium", ""),
+    ("growing-vector", "rust", "allocations", r"Vec::new\(\)", "low", ""),
+    ("collected-length", "rust", "iterators", r"collect::<Vec<_>>\(\)\.len\(\)", "low", ""),
+    ("string-sum", "rust", "strings", r"\.to_string\(\)\s*\+", "medium", ""),
+    ("blocking-sleep", "rust", "async", r"thread::sleep\(", "high", ""),
+    ("unfinished", "rust", "style", r"\b(todo|unimplemented)!\(", "low", ""),
+    ("lock-unwrap", "rust", "concurrency", r"\.lock\(\)\.unwrap\(\)", "high", "CWE-362"),
+    ("dangerous-html", "typescript", "xss", r"dangerouslySetInnerHTML", "high", "CWE-79"),
+    ("checked-off", "typescript", "types", r"@ts-(ignore|nocheck)", "medium", ""),
+    ("signed-with-literal", "typescript", "auth", r"jwt\.sign\(.*['\"][^'\"]{4,}['\"]", "medium", "CWE-522"),
+    ("readable-cookie", "typescript", "auth", r"httpOnly:\s*false", "low", ""),
+    ("any-version", "typescript", "dependencies", r"\"[^\"]+\":\s*\"(\*|latest)\"", "low", ""),
+    ("inline-handler-function", "typescript", "react", r"on[A-Z][A-Za-z]+=\{\(\)\s*=>", "low", ""),
+    ("index-as-key", "typescript", "react", r"key=\{(i|index)\}", "low", ""),
+    ("in-over-array", "typescript", "performance", r"for\s*\((const|let|var)\s+[A-Za-z_]+\s+in\s", "low", ""),
+    ("async-in-foreach", "typescript", "async", r"forEach\(async", "medium", ""),
+    ("swallowed-error", "typescript", "errors", r"catch\s*(\([^)]*\))?\s*\{\s*\}", "high", ""),
+    ("thrown-text", "typescript", "errors", r"throw\s+['\"]", "high", ""),
+    ("skipped-test", "typescript", "testing", r"\b(it|test|describe)\.(skip|only)\(", "high", ""),
+    ("heavy-import", "typescript", "bundle", r"from ['\"](moment|lodash)['\"]", "medium", ""),
+    ("loose-equality", "typescript", "modern", r"[^=!<>]==[^=]", "low", ""),
 ]
 
 #: Whole-file rules: id, language, family, pattern that must occur, pattern that must not, severity, weakness.
@@ -141,11 +185,21 @@ def luhn_valid(number: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(number, "[^0-9]", ""))
 
 
-def line_findings(files: DataFrame, key: str, text: str, rules=LINE_RULES) -> DataFrame:
-    """One row for each line and rule that matches: all rules are tested in one pass over the lines."""
-    lines = files.select(key, F.posexplode(F.split(text, "\n")).alias("line", "code"))
-    hit = [F.when(F.col("code").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(f).alias("family"), F.lit(s).alias("severity"), F.lit(c).alias("cwe"))) for i, _, f, p, s, c in rules]
-    return lines.select(key, (F.col("line") + 1).alias("line"), F.inline(F.filter(F.array(*hit), lambda x: x.isNotNull())))
+def line_findings(files: DataFrame, key: str, text: str, rules=LINE_RULES, language: str | None = None) -> DataFrame:
+    """One row for each line and rule that matches: all rules are tested in one pass over the lines.
+
+    ``language`` is the column with a file's language: only its rules, and those of any language, are tested. Without it
+    a file is tested as of every language.
+    """
+    own = [language] if language else []
+    lines = files.select(key, *own, F.posexplode(F.split(text, "\n")).alias("line", "code"))
+
+    def hits(rule):
+        i, lang, f, p, s, c = rule
+        fits = F.lit(True) if language is None or lang == "any" else F.coalesce(F.col(language) == lang, F.lit(False))
+        return F.when(fits & F.col("code").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(f).alias("family"), F.lit(s).alias("severity"), F.lit(c).alias("cwe")))
+
+    return lines.select(key, (F.col("line") + 1).alias("line"), F.inline(F.filter(F.array(*map(hits, rules)), lambda x: x.isNotNull())))
 
 
 def severity_summary(findings: DataFrame, key: str) -> DataFrame:

@@ -98,24 +98,21 @@ def _quote(x):
     return "'" + x.replace("'", "''") + "'"
 
 
-_FIND = "l AS (SELECT page_id, i AS line, x[i] AS code FROM (SELECT page_id, string_split(html, chr(10)) AS x FROM pages), unnest(range(1, len(x) + 1)) t(i)), rules(rule_id, family, pattern, severity, cwe) AS (VALUES " + ", ".join("(" + ", ".join(map(_quote, (i, f, p, s, c))) + ")" for i, _, f, p, s, c in scan.LINE_RULES) + "), f AS (SELECT page_id, line::INTEGER AS line, rule_id, family, severity, cwe FROM l JOIN rules ON regexp_matches(code, pattern))"
+_FIND = "l AS (SELECT page_id, i AS line, x[i] AS code FROM (SELECT page_id, string_split(html, chr(10)) AS x FROM pages), unnest(range(1, len(x) + 1)) t(i)), rules(rule_id, family, pattern, severity, cwe) AS (VALUES " + ", ".join("(" + ", ".join(map(_quote, (i, f, p, s, c))) + ")" for i, g, f, p, s, c in scan.LINE_RULES if g in ("html", "any")) + "), f AS (SELECT page_id, line::INTEGER AS line, rule_id, family, severity, cwe FROM l JOIN rules ON regexp_matches(code, pattern))"
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages").withColumn("language", F.lit("html"))
 
 
 @query(f"WITH {_FIND} SELECT * FROM f")
 def html_rule_scan(spark, d):
-    return scan.line_findings(table(spark, d, "pages"), "page_id", "html")
+    return scan.line_findings(_pages(spark, d), "page_id", "html", language="language")
 
 
 @query(f"WITH {_FIND} SELECT page_id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + " FROM f GROUP BY 1")
 def issue_summary_pivot(spark, d):
-    return scan.severity_summary(scan.line_findings(table(spark, d, "pages"), "page_id", "html"), "page_id")
-
-
-@query()
-def python_ast_findings(spark, d):
-    """Document lines read as Python: syntax-tree findings, else a parse finding."""
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("code")).where(F.col("code").rlike(r"[A-Z_]+ = \""))
-    return scan.python_findings(lines, "doc_id", "code")
+    return scan.severity_summary(scan.line_findings(_pages(spark, d), "page_id", "html", language="language"), "page_id")
 
 
 @query(f"SELECT doc_id, regexp_matches(text, {_quote(scan.INJECTION)}) AS sql_like, regexp_matches(text, {_quote(scan.SCRIPT)}) AS script_like FROM documents")

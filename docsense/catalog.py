@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("usage", "metrics", "analytics", "rules", "search", "retrieval", "corpus", "code", "quality")
+FAMILIES = ("usage", "metrics", "analytics", "rules", "search", "retrieval", "corpus", "code", "checks", "quality")
 
 
 def _families():

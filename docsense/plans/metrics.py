@@ -130,10 +130,9 @@ def first_last_change(spark, d):
     return monitoring.first_last(_days(spark, d), "event_type", "day", "v")
 
 
-@query("SELECT user_id, coalesce(bool_and(up), true) AS increasing FROM (SELECT user_id, value >= lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up FROM events WHERE ts >= TIMESTAMP '2024-01-30') GROUP BY 1")
+@query("SELECT user_id, coalesce(bool_and(up), true) AS increasing FROM (SELECT user_id, value >= lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up FROM events) GROUP BY 1")
 def monotone_series(spark, d):
-    last_day = table(spark, d, "events").where(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"))
-    return monitoring.monotone(last_day, "user_id", ["ts", "event_id"], "value")
+    return monitoring.monotone(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 _RUN = "SELECT l_suppkey, round(avg(l_extendedprice), 4)::DOUBLE AS mean, round(coalesce(stddev_samp(l_extendedprice), 0), 4)::DOUBLE AS sd, max(l_quantity)::DOUBLE AS memory, count(*)::DOUBLE AS throughput, coalesce(bool_and(up), true) AS growing FROM (SELECT *, l_quantity >= lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS up FROM lineitem WHERE year(l_shipdate) = {year}) GROUP BY 1"

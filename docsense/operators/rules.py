@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,52 @@ def compile_tree(tree, kinds: dict[str, str] | None = None) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def simple_condition(condition: dict, kinds: dict[str, str] | None = None) -> Column:
+    """The short form of a condition: equals, contains, in, greater_than, less_than or matches; a missing field is false."""
+    names = {"equals": "equals", "contains": "contains", "in": "in", "greater_than": "greater_than", "less_than": "less_than", "matches": "matches_regex"}
+    operator = condition.get("operator", "equals")
+    if operator not in names:
+        raise ValueError(f"unknown operator: {operator}")
+    return leaf(condition["field"], names[operator], condition.get("value"), True, kinds)
+
+
+def _form(path: str) -> str:
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending not in ("json", "yaml", "yml"):
+        raise ValueError(f"rules are JSON or YAML files, not {path}")
+    return ending
+
+
+def load_rules(path: str) -> list[dict]:
+    """Rules of a file, by its extension: a list, or an object with a list under ``rules``."""
+    form = _form(path)
+    with open(path, encoding="utf-8") as file:
+        if form == "json":
+            content = json.load(file)
+        else:
+            import yaml
+
+            content = yaml.safe_load(file)
+    return content["rules"] if isinstance(content, dict) else content
+
+
+def export_rules(rules: list[dict], path: str) -> None:
+    form = _form(path)
+    with open(path, "w", encoding="utf-8") as file:
+        if form == "json":
+            json.dump({"rules": rules}, file, indent=2)
+        else:
+            import yaml
+
+            yaml.safe_dump({"rules": rules}, file, sort_keys=False)
+
+
+def with_rule(rules: list[dict], rule: dict) -> list[dict]:
+    """The rules with one more; a rule of the same id is replaced. Its condition must compile."""
+    fields(rule["conditions"])
+    return [r for r in rules if r["id"] != rule["id"]] + [rule]
+
+
 def fields(tree) -> list[str]:
     """Sorted distinct fields that a condition tree reads."""
     if isinstance(tree, dict) and "logic" not in tree:

@@ -72,6 +72,64 @@ def cache_hits(ttl: float) -> Step:
     return step
 
 
+def alerts(limit: float, rest: float) -> Step:
+    """What a threshold alert does at each value: fired, active, suppressed (within ``rest`` of the last that fired),
+    resolved or none. The cooldown goes on after an alert is resolved. A null value counts as below."""
+
+    def step(state, t, value):
+        active, last = state or [False, None]
+        if value is None or value <= limit:
+            return ("resolved" if active else "none"), [False, last]
+        if active:
+            return "active", [True, last]
+        if last is not None and t - last < rest:
+            return "suppressed", [False, last]
+        return "fired", [True, t]
+
+    return step
+
+
+def checked_alerts(limit: float, rest: float) -> Step:
+    """Alerts checked at most once in ``rest``: skipped, fired (if not active), active, resolved or none."""
+
+    def step(state, t, value):
+        checked, active = state or [None, False]
+        if checked is not None and t - checked < rest:
+            return "skipped", [checked, active]
+        over = value is not None and value > limit
+        outcome = ("active" if active else "fired") if over else ("resolved" if active else "none")
+        return outcome, [t, over]
+
+    return step
+
+
+def admit_queue(window: float, most: int, room: int, patience: float) -> Step:
+    """A limit with a queue: allowed, queued (if fewer than ``room`` wait; one waits for ``patience`` at most) or rejected."""
+
+    def step(state, t, _):
+        log, waiting = state or [[], []]
+        log, waiting = [x for x in log if x > t - window], [x for x in waiting if x > t - patience]
+        if len(log) < most:
+            return "allowed", [log + [t], waiting]
+        if len(waiting) < room:
+            return "queued", [log, waiting + [t]]
+        return "rejected", [log, waiting]
+
+    return step
+
+
+def adaptive(base: int, rate: float = 0.1) -> Step:
+    """The limit that a reputation gives: half again above .8, half below .3. It starts at .5 and follows successes
+    (value: whether the event was bad) as a moving average."""
+
+    def step(state, t, bad):
+        reputation = (1 - rate) * (state or [0.5])[0] + rate * (0.0 if bad else 1.0)
+        near = round(reputation, 9)
+        return str(int(base * (1.5 if near > 0.8 else 0.5 if near < 0.3 else 1.0))), [reputation]
+
+    return step
+
+
 def replay(step: Step, times: Iterable[float], values: Iterable | None = None) -> list:
     """Decisions of a machine over events in order."""
     state, out, times = None, [], list(times)

@@ -244,32 +244,126 @@ def _events(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
 
 
-@query()
+#: Events of each user in order, numbered: what the recursive queries below step through.
+_STEPS = "s AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+def _machine(columns: str, first: str, following: str, shown: str) -> str:
+    """A recursive query over each user's events; ``following`` gives the next state from p (before) and s (the event)."""
+    return f"WITH RECURSIVE {_STEPS}, p(user_id, rn, event_id, {columns}) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, {first} FROM s UNION ALL SELECT s.user_id, s.rn, s.event_id, {following} FROM p JOIN s ON s.user_id = p.user_id AND s.rn = p.rn + 1) SELECT user_id, event_id, {shown} FROM p WHERE rn > 0"
+
+
+_LIVE = "list_filter(log, lambda x: x > t - 43200)"
+
+
+@query(_machine("log, allowed", "[]::DOUBLE[], true", f"CASE WHEN len({_LIVE}) < 3 THEN list_append({_LIVE}, t) ELSE {_LIVE} END, len({_LIVE}) < 3", "allowed"))
 def rate_limit_log(spark, d):
     """At most three events of a user in any twelve hours."""
     return state.fold(_events(spark, d), "user_id", state.admit(43_200, 3), "allowed", "boolean")
 
 
-@query()
+_A, _B = "list_filter(a, lambda x: x > t - 3600)", "list_filter(b, lambda x: x > t - 86400)"
+_BOTH = f"(len({_A}) < 1 AND len({_B}) < 4)"
+
+
+@query(_machine("a, b, allowed", "[]::DOUBLE[], []::DOUBLE[], true", f"CASE WHEN {_BOTH} THEN list_append({_A}, t) ELSE {_A} END, CASE WHEN {_BOTH} THEN list_append({_B}, t) ELSE {_B} END, {_BOTH}", "allowed"))
 def multi_tier_limit(spark, d):
     return state.fold(_events(spark, d), "user_id", state.admit_tiers([(3_600, 1), (86_400, 4)]), "allowed", "boolean")
 
 
-@query()
+_OPEN = "(opened IS NOT NULL AND t - opened < 86400)"
+_BAD = "event_type = 'error'"
+
+
+@query(_machine(
+    "fails, opened, state",
+    "0::BIGINT, NULL::DOUBLE, ''",
+    f"CASE WHEN {_OPEN} THEN fails WHEN {_BAD} THEN fails + 1 ELSE 0 END, CASE WHEN {_OPEN} THEN opened WHEN {_BAD} AND (fails + 1 >= 2 OR opened IS NOT NULL) THEN t END, CASE WHEN {_OPEN} THEN 'open' WHEN opened IS NULL THEN 'closed' ELSE 'half_open' END",
+    "state",
+))
 def circuit_breaker(spark, d):
     return state.fold(_events(spark, d), "user_id", state.breaker(2, 86_400), "state", "string", F.col("event_type") == "error")
 
 
-@query()
+_FIRE = "(value > 50 AND (last IS NULL OR t - last >= 86400))"
+
+
+@query(_machine("last, fired", "NULL::DOUBLE, false", f"CASE WHEN {_FIRE} THEN t ELSE last END, coalesce({_FIRE}, false)", "fired"))
 def alert_cooldown(spark, d):
     return state.fold(_events(spark, d), "user_id", state.cooldown(50, 86_400), "fired", "boolean", F.col("value"))
 
 
-@query()
+_HIT = "(filled IS NOT NULL AND t - filled < 43200)"
+
+
+@query(_machine("filled, hit", "NULL::DOUBLE, false", f"CASE WHEN {_HIT} THEN filled ELSE t END, {_HIT}", "hit"))
 def ttl_cache_hits(spark, d):
     return state.fold(_events(spark, d), "user_id", state.cache_hits(43_200), "hit", "boolean")
 
 
+_ALERT = "value > 50"
+
+
+@query(_machine(
+    "active, last, outcome",
+    "false, NULL::DOUBLE, ''",
+    f"{_ALERT} AND (active OR last IS NULL OR t - last >= 86400), CASE WHEN {_ALERT} AND NOT active AND (last IS NULL OR t - last >= 86400) THEN t ELSE last END, CASE WHEN {_ALERT} THEN CASE WHEN active THEN 'active' WHEN last IS NULL OR t - last >= 86400 THEN 'fired' ELSE 'suppressed' END WHEN active THEN 'resolved' ELSE 'none' END",
+    "outcome",
+))
+def alert_states(spark, d):
+    """Alerts that fire, stay, are suppressed by the cooldown, and resolve."""
+    return state.fold(_events(spark, d), "user_id", state.alerts(50, 86_400), "outcome", "string", F.col("value"))
+
+
+@query(_machine("checked, active, outcome", "NULL::DOUBLE, false, ''", "CASE WHEN checked IS NOT NULL AND t - checked < 43200 THEN checked ELSE t END, CASE WHEN checked IS NOT NULL AND t - checked < 43200 THEN active ELSE value > 50 END, CASE WHEN checked IS NOT NULL AND t - checked < 43200 THEN 'skipped' WHEN value > 50 THEN CASE WHEN active THEN 'active' ELSE 'fired' END WHEN active THEN 'resolved' ELSE 'none' END", "outcome"))
+def alert_checks(spark, d):
+    """Checks at most every twelve hours; an alert fires only if it isn't active."""
+    return state.fold(_events(spark, d), "user_id", state.checked_alerts(50, 43_200), "outcome", "string", F.col("value"))
+
+
+_Q = "list_filter(waiting, lambda x: x > t - 3600)"
+
+
+@query(_machine("log, waiting, outcome", "[]::DOUBLE[], []::DOUBLE[], ''", f"CASE WHEN len({_LIVE}) < 2 THEN list_append({_LIVE}, t) ELSE {_LIVE} END, CASE WHEN len({_LIVE}) >= 2 AND len({_Q}) < 1 THEN list_append({_Q}, t) ELSE {_Q} END, CASE WHEN len({_LIVE}) < 2 THEN 'allowed' WHEN len({_Q}) < 1 THEN 'queued' ELSE 'rejected' END", "outcome"))
+def queue_limit(spark, d):
+    """A limit with a queue: events over it wait if there is room, for an hour at most."""
+    return state.fold(_events(spark, d), "user_id", state.admit_queue(43_200, 2, 1, 3_600), "outcome", "string")
+
+
+_GOOD = "CASE WHEN event_type = 'error' THEN 0e0 ELSE 1e0 END"
+_REP = f"(0.9e0 * rep + 0.1e0 * {_GOOD})"
+
+
+@query(_machine("rep, lim", "0.5e0, 0", f"{_REP}, CASE WHEN round({_REP}, 9) > 0.8 THEN 150 WHEN round({_REP}, 9) < 0.3 THEN 50 ELSE 100 END", "lim::VARCHAR AS limit_now"))
+def adaptive_limit(spark, d):
+    """A limit that follows a user's reputation."""
+    return state.fold(_events(spark, d), "user_id", state.adaptive(100), "limit_now", "string", F.col("event_type") == "error")
+
+
+@query("SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INTEGER AS place FROM events QUALIFY place <= 100")
+def bounded_sample(spark, d):
+    """The last hundred points of each metric, as a bounded buffer keeps them."""
+    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, d, "events").select("event_id", "event_type", "value", F.row_number().over(w).alias("place")).where("place <= 100")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, event_type, json_extract_string(props, '$.k') AS k FROM events), w AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dropped, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filled FROM e) SELECT event_id, coalesce(filled IS NOT NULL AND (dropped IS NULL OR dropped < filled), false) AS valid FROM w WHERE event_type = 'view'")
+def cache_invalidation(spark, d):
+    """Whether a cached entry is still valid when it is read: filled by an earlier read and not invalidated since."""
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    before = Window.partitionBy("k").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts"))).over(before)
+    seen = rows.withColumns({"dropped": last("purchase"), "filled": last("view")}).where("event_type = 'view'")
+    return seen.select("event_id", F.coalesce(F.col("filled").isNotNull() & (F.col("dropped").isNull() | (F.col("dropped") < F.col("filled"))), F.lit(False)).alias("valid"))
+
+
+@query("SELECT user_id, count(*) FILTER (TIMESTAMP '2024-01-31' - ts > INTERVAL 240 HOUR) AS old, count(*) AS tracked FROM events GROUP BY 1")
+def tracked_objects(spark, d):
+    """Tracked objects that are older than a limit."""
+    age = F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(age > 240 * 3600 * 1_000_000).alias("old"), F.count(F.lit(1)).alias("tracked"))
+
+
 @query("WITH o AS (SELECT user_id, event_type, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(0.5e0 * pow(0.9e0, max(n)) + sum(0.1e0 * pow(0.9e0, n - i) * CASE WHEN event_type = 'error' THEN 0e0 ELSE 1e0 END), 6) AS reputation FROM o GROUP BY 1")
 def ewma_reputation(spark, d):
     """Exponential reputation from one half, as a weighted sum over ordered events."""

@@ -171,10 +171,11 @@ def ivf_search(spark, d):
     return vectors.ivf_search(v, v.where("vec_id % 50 = 0"), 10)
 
 
-@query("SELECT label, list_transform(range(64), lambda i: round(avg(embedding[i + 1]::DOUBLE), 6)) AS c FROM embeddings GROUP BY 1".replace("list_transform(range(64), lambda i: round(avg(embedding[i + 1]::DOUBLE), 6)) AS c", "round(avg(embedding[1]::DOUBLE), 6) AS c1, round(avg(embedding[64]::DOUBLE), 6) AS c64, count(*) AS n"))
+@query("WITH e AS (SELECT label, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i)), c AS (SELECT label, i, round(avg(x), 6) AS m FROM e GROUP BY ALL) SELECT label, (i - 1)::INTEGER AS component, m AS mean FROM c")
 def label_centroids(spark, d):
-    v = table(spark, d, "embeddings")
-    return v.groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("c1"), F.round(F.avg(F.col("embedding")[63].cast("double")), 6).alias("c64"), F.count(F.lit(1)).alias("n"))
+    """Mean vectors of labels, a row a component."""
+    parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("component", "x"))
+    return parts.groupBy("label", "component").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @query("SELECT vec_id, round(list_inner_product(list_transform(embedding, lambda x: 0.8e0 * x::DOUBLE + 0.2e0), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings")

@@ -5,7 +5,10 @@ whole text. They are the protected entities. How strongly a term reveals an enti
 documents: n(t, e) documents hold both, n(t) the term, n(e) the entity, of N. The pointwise mutual information
 ln(N n(t, e) / (n(t) n(e))) is compared with the entity's information -ln(n(e) / N): a term that carries at least
 1/``ALPHA`` of it discloses the entity, and each of its occurrences in any document becomes a span of kind ``term``. A pair
-seen in fewer than ``SUPPORT`` different texts is no estimate and discloses nothing, so copies of one text prove nothing.
+seen in fewer than ``SUPPORT`` different texts is no estimate and discloses nothing. Where an entity's texts are near copies
+of each other everything in them co-occurs, so there only words within ``WINDOW`` words of the entity count as seen with it.
+Texts are near copies if n of them are worth fewer than ``INDEPENDENT`` independent ones: n / (1 + (n - 1) J), where the
+mean Jaccard index J of their words is estimated from ``SKETCH`` minima.
 Sanitised texts have base spans replaced by their kind, terms that hold digits generalised (each digit to #) and the other
 terms removed.
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -31,6 +35,11 @@ from docsense.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2
+WINDOW = 8
+INDEPENDENT = 1.5
+SKETCH = 16
+#: Texts of a batch that are worked on at once, which bounds a task's memory.
+CHUNK = 256
 ALPHA = 1.5
 #: Bits of the filter through which words pass to be counted; its size doesn't depend on the corpus.
 FILTER_BITS = 24
@@ -104,31 +113,61 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{plain.get(kind) or ''.join(_DIGIT.findall(value))}"
 
 
-def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
-    """The lower-cased words that no span touches."""
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> tuple[set[str], set[tuple[str, str]]]:
+    """The lower-cased words that no span touches, and the pairs of entity and such a word within ``WINDOW`` words."""
     covered = sorted((a, b) for _, a, b in spans)
-    out, k = set(), 0
+    starts, words, k = [], [], 0
     for m in _WORD.finditer(text):
         while k < len(covered) and covered[k][1] <= m.start():
             k += 1
         if not any(a < m.end() and m.start() < b for a, b in covered[k : k + len(KINDS) + 1]):
-            out.add(m[0].lower())
-    return out
+            starts.append(m.start())
+            words.append(m[0].lower())
+    near = set()
+    for kind, a, b in spans:
+        low, high = bisect_left(starts, a), bisect_left(starts, b)
+        near |= {(entity(kind, text[a:b]), w) for w in words[max(low - WINDOW, 0) : high + WINDOW]}
+    return set(words), near
+
+
+SCAN = "text_hash long, entities array<string>, terms array<string>, sketch array<long>, near array<struct<entity:string,term:string>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
+_RNG = np.random.default_rng(7)
+_FACTORS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
+def _chunks(batch: pa.RecordBatch):
+    for low in range(0, batch.num_rows, CHUNK):
+        part = batch.slice(low, CHUNK)
+        yield list(zip(part.column("text_hash").to_pylist(), part.column("text").to_pylist()))
 
-SCAN = "text_hash long, entities array<string>, terms array<string>"
+
+def sketch(terms: list[str]) -> list[int]:
+    """The least value of ``SKETCH`` hashes over a set of words."""
+    if not terms:
+        return [0] * SKETCH
+    hashes = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
+    return (hashes[:, None] * _FACTORS).min(0).view(np.int64).tolist()
 
 
 def _scan_batches(batches):
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
-            spans = base_spans(text) + secret_spans(text)
-            if spans:
-                rows.append((key, sorted({entity(k, text[a:b]) for k, a, b in spans}), sorted(terms_outside(text, spans))))
-        columns = list(zip(*rows)) or [()] * 3
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "entities", "terms"])
+        for chunk in _chunks(batch):
+            rows = []
+            for key, text in chunk:
+                spans = base_spans(text) + secret_spans(text)
+                if spans:
+                    terms, near = terms_outside(text, spans)
+                    rows.append((key, sorted({entity(k, text[a:b]) for k, a, b in spans}), sorted(terms), sketch(list(terms)), [{"entity": e, "term": w} for e, w in sorted(near)]))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), _NEAR]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "entities", "terms", "sketch", "near"])
+
+
+def distinct_words(text: str | None) -> set[str]:
+    """The words of a text, each lower-cased on its own (which for ASCII is the text lower-cased)."""
+    text = text or ""
+    return set(_WORD.findall(text.lower())) if text.isascii() else set(map(str.lower, _WORD.findall(text)))
 
 
 def _filter(terms: DataFrame):
@@ -168,7 +207,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update([w for w in set(map(str.lower, _WORD.findall(text or ""))) if passing[w]])
+                held.update([w for w in distinct_words(text) if passing[w]])
             if len(held) > 200_000:
                 yield out()
                 held = Counter()
@@ -181,16 +220,24 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     """entity, term and pmi of the pairs in which the term reveals the entity.
 
     Texts with entities are scanned and collapsed to distinct ones first; an entity of fewer than ``support`` texts can't
-    be revealed and is left out before pairs are made.
+    be estimated and is left out before pairs are made.
     """
     n = docs.count()
     texts = docs.select(_text_key(F.col("text")).alias("text_hash"), "text")
     held = materialise(texts.mapInArrow(_scan_batches, SCAN), "pii-scan")
-    distinct = materialise(held.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-texts")
+    distinct = materialise(held.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("entities", "terms", "sketch", "near")]), "pii-texts")
     counted = distinct.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    shared = materialise(counted.where(F.col("texts") >= support), "pii-entities")
-    where = distinct.select("text_hash", F.explode("entities").alias("entity")).join(shared.select("entity"), "entity").groupBy("text_hash").agg(F.collect_list("entity").alias("of"))
-    pairs = distinct.join(where, "text_hash").select("copies", "terms", F.explode("of").alias("entity")).select("copies", "entity", F.explode("terms").alias("term"))
+    several = materialise(counted.where(F.col("texts") >= support), "pii-entities")
+    # Sum over values of squared counts: n times (1 + (n - 1) J), averaged over the hashes.
+    minima = distinct.select(F.explode("entities").alias("entity"), "sketch").join(several.select("entity"), "entity").select("entity", F.posexplode("sketch").alias("hash", "least"))
+    squares = minima.groupBy("entity", "hash", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("entity").agg((F.sum(F.col("c") * F.col("c")) / SKETCH).alias("squares"))
+    independent = F.col("texts") * F.col("texts") / F.col("squares")
+    shared = materialise(several.join(squares, "entity").select("entity", "n_e", (independent >= INDEPENDENT).alias("apart")), "pii-shared")
+    apart, copied = (shared.where(F.col("apart") == flag).select("entity") for flag in (True, False))
+    where = distinct.select("text_hash", F.explode("entities").alias("entity")).join(apart, "entity").groupBy("text_hash").agg(F.collect_list("entity").alias("of"))
+    far = distinct.join(where, "text_hash").select("copies", "terms", F.explode("of").alias("entity")).select("copies", "entity", F.explode("terms").alias("term"))
+    near = distinct.select("copies", F.inline("near")).join(copied, "entity").select("copies", "entity", "term")
+    pairs = far.unionByName(near)
     both = materialise(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support), "pii-pairs")
     n_t = document_frequencies(docs, materialise(both.select("term").distinct(), "pii-terms"))
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -212,17 +259,19 @@ def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def find_words(batches):
         passing = Passing(bits.value)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
-                places: dict[str, list] = {}
-                for m in _WORD.finditer(text or ""):
-                    word = m[0].lower()
-                    if passing[word]:
-                        places.setdefault(word, []).append({"start": m.start(), "end": m.end()})
-                rows += [(key, w, p) for w, p in places.items()]
-            columns = list(zip(*rows)) or [()] * 3
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "term", "places"])
+            for chunk in _chunks(batch):
+                rows = []
+                for key, text in chunk:
+                    known = {w for w in distinct_words(text) if passing[w]}
+                    places: dict[str, list] = {}
+                    for m in _WORD.finditer(text) if known else ():
+                        word = m[0].lower()
+                        if word in known:
+                            places.setdefault(word, []).append({"start": m.start(), "end": m.end()})
+                    rows += [(key, w, p) for w, p in places.items()]
+                columns = list(zip(*rows)) or [()] * 3
+                kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["text_hash", "term", "places"])
 
     texts = docs.select(_text_key(F.col("text")).alias("text_hash"), "text")
     words = texts.mapInArrow(find_words, "text_hash long, term string, places array<struct<start:long,end:long>>")

@@ -101,8 +101,11 @@ def ir_metrics(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("passage"))
     # The passage's longest word (ties to the smaller) must be among the document's words.
     keyed = items.withColumn("token", F.element_at(F.array_sort(F.transform(search.tokens(F.col("passage")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"])
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("body"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
-    relevant = docs.join(keyed, "token").where(F.col("body").contains(F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    # Ids and words meet first; the text joins the few pairs that are left.
+    docs = table(spark, d, "documents")
+    met = docs.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).join(keyed, "token").select("doc_id", "item_id", "passage")
+    both = met.join(docs.select("doc_id", F.lower("text").alias("body")), "doc_id")
+    relevant = both.where(F.col("body").contains(F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
     return search.ir_metrics(hits, relevant, 10)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docsense-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, which driver and executors share."""
+    """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a folder of our own in local mode (one machine, as in tests); on a cluster an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = _own_dir()
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     return folder.rstrip("/")

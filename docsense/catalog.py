@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("usage", "metrics", "analytics", "rules", "search", "retrieval", "corpus", "references", "code", "checks", "quality")
+FAMILIES = ("usage", "metrics", "analytics", "rules", "search", "retrieval", "corpus", "references", "code", "checks", "extras", "quality")
 
 
 def _families():

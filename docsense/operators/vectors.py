@@ -64,6 +64,26 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None
     return _ranked(sought.join(stored, "cell").where("vec_id <> query_id").select("query_id", "vec_id", _score("cosine").alias("score")), k, "cosine")
 
 
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, width: float = 1.6, tables: int = 24) -> DataFrame:
+    """Neighbours by cosine among vectors that share a bucket of a random projection in one of ``tables`` tables."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("features", array_to_vector("e"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(rows(vectors))
+    from pyspark.ml.functions import vector_to_array
+
+    def buckets(df: DataFrame, *names: str) -> DataFrame:
+        hashed = model.transform(rows(df)).select(F.col("vec_id").alias(names[0]), F.col("e").alias(names[1]), F.posexplode("hashes").alias("number", "hash"))
+        return hashed.withColumn("bucket", F.get(vector_to_array("hash"), F.lit(0)).cast("long")).drop("hash")
+
+    stored, sought = buckets(vectors, "vec_id", "v"), buckets(queries, "query_id", "q")
+    met = sought.select("query_id", "number", "bucket").join(stored.select("vec_id", "number", "bucket"), ["number", "bucket"]).where("vec_id <> query_id").select("query_id", "vec_id").distinct()
+    sides = lambda df, key, c: df.select(F.col("vec_id").alias(key), F.col("embedding").cast("array<double>").alias(c), norm(F.col("embedding").cast("array<double>")).alias(f"{c}n"))
+    both = met.join(sides(queries, "query_id", "q"), "query_id").join(sides(vectors, "vec_id", "v"), "vec_id")
+    return _ranked(both.select("query_id", "vec_id", _score("cosine").alias("score")), k, "cosine")
+
+
 def principal_components(vectors: DataFrame, k: int) -> DataFrame:
     """vec_id and its centred projection on the first k principal components."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -249,3 +249,23 @@ def test_vectors_by_blocks(spark):
     for q in range(0, 120, 20):
         d = ((m - m[q]) ** 2).sum(1)
         assert [i for _, i in sorted(got[q])] == [i for i in np.argsort(d, kind="stable") if i != q][:3]
+
+
+def test_lsh_recall(spark):
+    from docsense.plans import extras
+
+    exact = {(r.query_id, r.vec_id) for r in extras.QUERIES["semantic_topk"](spark, SF).collect()}
+    near = {(r.query_id, r.vec_id) for r in extras.QUERIES["lsh_search"](spark, SF).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_registry(spark, tmp_path):
+    from docsense.operators import registry
+
+    points = spark.createDataFrame([("cpu_usage", 95.0), ("cache_hit_rate", 60.0), ("other", 1e9)], "metric string, value double")
+    assert {(r.metric, r.level) for r in registry.exceeded(points, "metric", "value").collect()} == {("cpu_usage", "warning"), ("cpu_usage", "critical"), ("cache_hit_rate", "warning")}
+    points.write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    registry.on_batches(stream, str(tmp_path / "check"), lambda batch, n: seen.append(batch.count()), lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out")))
+    assert sum(seen) == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3

@@ -28,15 +28,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neither lineage, disk nor the driver grows with the number of rounds.
     """
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
     for _ in range(rounds):
         before = links
         links = materialise(_star(_star(before, True), False), "links")
         discard(before)
-        row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == state:
-            return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
-                links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        state = (row.n, row.h)
+        # Stars that don't touch are components: every node has one root, and no root has one.
+        degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        roots = links.select(F.col("b").alias("a")).distinct()
+        if degree.where("n > 1").select("a").unionByName(roots.join(degree.select("a"), "a", "left_semi")).isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError("components did not converge")

@@ -110,6 +110,22 @@ def test_components_on_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_against_brute_force(spark):
+    rng = random.Random(21)
+    for nodes, edges in ((40, 25), (200, 260), (12, 0)):
+        links = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)]
+        parent = list(range(nodes))
+
+        def root(i, parent=parent):
+            return i if parent[i] == i else root(parent[i])
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        linked = {i for a, b in links if a != b for i in (a, b)}
+        got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {i: root(i) for i in linked}
+
+
 def brute_segments(scores):
     """Maximal segments by recursive splitting at the best segment."""
     if not scores:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-from docsense.llm import chat, decontaminate, licenses, mixing, topk
+from docsense.llm import chat, decontaminate, licenses, mixing, topk, warc
 
 _DOCS = r"""docs AS (
   SELECT doc_id, coalesce(source, '') AS source,
@@ -110,10 +110,20 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= {topk.K}
 """
 
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS kept FROM p WHERE strlen(h) >= {warc.LEAST} GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p LEFT JOIN k USING (h)
+"""
+
 SQL = {
     "op1_source_mixing": SOURCE_MIXING,
     "op3_licenses": LICENSES,
     "op5_chat_format": CHAT_FORMAT,
     "op6_topk": TOPK,
     "op7_decontamination": DECONTAMINATION,
+    "op12_warc": WARC,
 }

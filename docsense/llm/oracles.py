@@ -119,6 +119,30 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
 FROM p LEFT JOIN k USING (h)
 """
 
+# CRC-32 by single bits: an item below 256 is a byte of the text, 256 a shift.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))), lambda a, o: CASE WHEN o < 256 THEN xor(a, o) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT)"
+
+TRIE = rf"""
+WITH said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+dug AS (SELECT c, turn, md5(length(role)::VARCHAR || ':' || role || text) AS dig, len(regexp_extract_all(text, '[^ 	-
+]+'))::BIGINT AS w FROM said),
+t AS (SELECT c, dig, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, dig) AS pos FROM dug),
+ids AS (SELECT c, c - c % 20 AS lender, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+own AS (SELECT c, pos, dig, w FROM t JOIN ids USING (c) WHERE pos > h
+        UNION ALL SELECT ids.c, pos, dig, w FROM ids JOIN t ON t.c = ids.lender AND pos <= h),
+told AS (SELECT ids.c, coalesce(string_agg(dig, '' ORDER BY pos), '') AS path, coalesce(list(w ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ws FROM ids LEFT JOIN own ON own.c = ids.c GROUP BY ids.c),
+n AS (SELECT substr(path, 1, 32 * d) AS p, d, min(c) AS conv_id, count(*)::BIGINT AS n_convs, coalesce(any_value(ws[d]), 0) AS w,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length(path) = 32 * d), '')) AS ends
+      FROM told, unnest(range(0, length(path) // 32 + 1)) AS r(d) GROUP BY 1, 2),
+kids AS (SELECT substr(p, 1, 32 * (d - 1)) AS p, d - 1 AS d, count(*)::BIGINT AS k FROM n WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT substr(n.p, 1, 32 * u) AS p, u AS d, sum((n_convs - 1) * w)::BIGINT AS saved, count(*) FILTER (k IS NULL)::BIGINT AS leaves
+          FROM n LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d, unnest(range(0, n.d + 1)) AS r(u) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN below ON below.p = n.p AND below.d = n.d LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d
+LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.p = substr(n.p, 1, 32 * (n.d - 1))
+"""
+
 SQL = {
     "op1_source_mixing": SOURCE_MIXING,
     "op3_licenses": LICENSES,
@@ -126,4 +150,5 @@ SQL = {
     "op6_topk": TOPK,
     "op7_decontamination": DECONTAMINATION,
     "op12_warc": WARC,
+    "op13_trie": TRIE,
 }

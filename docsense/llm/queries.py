@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsense.llm import chat, decontaminate, licenses, mixing, privacy, quality, simhash, topk, toxicity, training_order, warc
-from docsense.llm.common import held_out, table
+from docsense.llm import chat, decontaminate, licenses, mixing, privacy, quality, simhash, topk, toxicity, training_order, trie, warc
+from docsense.llm.common import held_out, materialise, table
 
 MIX_TARGET = mixing.Target(repetitions=mixing.REPETITIONS)
 
@@ -81,6 +81,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(materialise(trie.placed(table(spark, sf_dir, "conversations")), "trie-turns")))
+
+
 def queries() -> dict:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -94,6 +98,7 @@ def queries() -> dict:
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
         "op12_warc": op12_warc,
+        "op13_trie": op13_trie,
     }
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-from docsense.llm import chat, decontaminate, licenses, mixing, topk, warc
+from docsense.llm import chat, decontaminate, licenses, mixing, phrases, topk, warc
 
 _DOCS = r"""docs AS (
   SELECT doc_id, coalesce(source, '') AS source,
@@ -143,12 +143,35 @@ FROM n JOIN below ON below.p = n.p AND below.d = n.d LEFT JOIN kids ON kids.p =
 LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.p = substr(n.p, 1, 32 * (n.d - 1))
 """
 
+COLLOCATIONS = rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs)),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM grams GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrases.SUPPORT}),
+cut AS (
+  SELECT lang, k, phrase, a, 1 AS x, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c
+  UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+s AS (SELECT cut.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = lp JOIN f r ON r.lang = cut.lang AND r.phrase = rp),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) = 1),
+around AS (SELECT lang, p, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS p FROM c WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN around ON around.lang = low.lang AND around.p = low.phrase WHERE most IS NULL OR 100 * most < {phrases.COVERED} * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= {phrases.TOP}
+"""
+
 SQL = {
     "op1_source_mixing": SOURCE_MIXING,
     "op3_licenses": LICENSES,
     "op5_chat_format": CHAT_FORMAT,
     "op6_topk": TOPK,
     "op7_decontamination": DECONTAMINATION,
+    "op11_collocations": COLLOCATIONS,
     "op12_warc": WARC,
     "op13_trie": TRIE,
 }

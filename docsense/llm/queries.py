@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsense.llm import chat, decontaminate, licenses, mixing, privacy, quality, simhash, topk, toxicity, training_order, trie, warc
+from docsense.llm import chat, decontaminate, licenses, mixing, phrases, privacy, quality, simhash, topk, toxicity, training_order, trie, warc
 from docsense.llm.common import held_out, materialise, table
 
 MIX_TARGET = mixing.Target(repetitions=mixing.REPETITIONS)
@@ -77,6 +77,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_term", "n_spans", digest)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -97,6 +101,7 @@ def queries() -> dict:
         "op8_training_order": op8_training_order,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
+        "op11_collocations": op11_collocations,
         "op12_warc": op12_warc,
         "op13_trie": op13_trie,
     }

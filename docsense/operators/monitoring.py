@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsense.operators.orderstats import Rank, of_keys, percentiles
+
 
 def share(part: Column, whole: Column, otherwise: float = 0.0) -> Column:
     """A ratio that is ``otherwise`` where there is nothing to divide by."""
@@ -24,17 +26,10 @@ def dashboard(calls: DataFrame, error: Column, hit: Column, miss: Column) -> Dat
 
 
 def ranked_percentiles(points: DataFrame, keys: list[str], value: str, percents: tuple[float, ...]) -> DataFrame:
-    """n, mean, low, high and elements int(n p) of the sorted values, one row a key; a window and no collected array."""
-    at = Window.partitionBy(*keys)
-    placed = points.select(*keys, value).withColumns({"i": F.row_number().over(at.orderBy(value)) - 1, "of": F.count(F.lit(1)).over(at)})
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("of") * F.lit(p)), F.col("of") - 1), F.col(value)))
-    return placed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        *[pick(p).alias(f"p{round(100 * p)}") for p in percents],
-    )
+    """n, mean, low, high and elements int(n p) of the sorted values, one row a key."""
+    ranks = percentiles(points, keys, value, [Rank(f"p{round(100 * p)}", p, linear=False) for p in percents])
+    basic = points.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return of_keys(ranks, basic, keys).select(*keys, "n", "mean", "low", "high", *[f"p{round(100 * p)}" for p in percents])
 
 
 def tool_performance(points: DataFrame, tool: str, labels: str, value: str) -> DataFrame:

@@ -5,55 +5,48 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def nearest_rank(sorted_values: Column, percent: float) -> Column:
-    """Element int(n p / 100), clamped, of a sorted array."""
-    n = F.size(sorted_values)
-    return F.element_at(sorted_values, (F.least(F.floor(n * F.lit(percent) / 100), n - 1) + 1).cast("int"))
-
+from docsense.operators.orderstats import BLOCK, Rank, blocked, deviations, numbered, of_keys, percentiles
+from docsense.operators.staging import staged
 
 def summary_nearest_rank(points: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, sum, min, max, mean and nearest-rank percentiles.
-
-    Ranks are taken with a window over rows, not over a collected array, so a metric may have any number of points.
-    """
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = points.select(key, value).withColumns({"i": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99")
-    )
+    """Count, sum, min, max, mean and nearest-rank percentiles: elements int(n p / 100), clamped, of the sorted values."""
+    ranks = percentiles(points, [key], value, [Rank(f"p{p}", p / 100, linear=False) for p in (50, 95, 99)])
+    basic = points.groupBy(key).agg(F.round(F.sum(value), 4).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"))
+    return of_keys(ranks, basic, [key]).select(key, "n", "total", "low", "high", "mean", "p50", "p95", "p99")
 
 
 def summary_linear(points: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, median, sample deviation (0 for one point), variation, IQR and linear percentiles."""
-    q = lambda p: F.percentile(value, p)
-    sd = F.coalesce(F.stddev_samp(value), F.lit(0.0))
-    return points.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(q(0.5), 6).alias("median"),
-        F.round(sd, 6).alias("sd"),
-        F.round(F.coalesce(F.try_divide(sd, F.avg(value)), F.lit(0.0)), 6).alias("cv"),
-        F.round(q(0.75) - q(0.25), 6).alias("iqr"),
-        F.round(q(0.9), 6).alias("p90"),
-        F.round(q(0.95), 6).alias("p95"),
-        F.round(q(0.99), 6).alias("p99"),
+    ranks = percentiles(points, [key], value, [Rank(f"q{p}", p / 100) for p in (25, 50, 75, 90, 95, 99)])
+    basic = points.groupBy(key).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    q = lambda p: F.round(f"q{p}", 6)
+    return of_keys(ranks, basic, [key]).select(
+        key,
+        "n",
+        F.round("mean", 6).alias("mean"),
+        q(50).alias("median"),
+        F.round("sd", 6).alias("sd"),
+        F.round(F.coalesce(F.try_divide("sd", "mean"), F.lit(0.0)), 6).alias("cv"),
+        F.round(F.col("q75") - F.col("q25"), 6).alias("iqr"),
+        q(90).alias("p90"),
+        q(95).alias("p95"),
+        q(99).alias("p99"),
     )
 
 
 def outliers(points: DataFrame, key: str, value: str) -> DataFrame:
     """Flags by quartile fences, z-score (3) and modified z-score (3.5); zero spread flags nothing."""
-    basic = points.groupBy(key).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, 0.5).alias("median"))
-    around = points.join(basic, key)
-    mad = around.groupBy(key).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+    ranks = staged(percentiles(points, [key], value, [Rank("q1", 0.25), Rank("median", 0.5), Rank("q3", 0.75)]).drop("n"), "quartiles")
+    basic = points.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    limits = of_keys(of_keys(ranks, basic, [key]), deviations(points, [key], value, ranks, "median"), [key])
+    around = of_keys(points, limits, [key])
     v = F.col(value)
     spread = F.col("q3") - F.col("q1")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return around.join(mad, key).withColumns(
+    return around.withColumns(
         {
             "by_iqr": flag((spread > 0) & ((v < F.col("q1") - 1.5 * spread) | (v > F.col("q3") + 1.5 * spread))),
             "by_z": flag((F.col("sd") > 0) & (F.abs(F.try_divide(v - F.col("mean"), "sd")) > 3)),
@@ -62,20 +55,17 @@ def outliers(points: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def moving_average(points: DataFrame, key: str, order: str, value: str, width: int = 5) -> DataFrame:
-    """Means of full windows only; the width is clipped to the number of points."""
-    by = Window.partitionBy(key).orderBy(order)
-    whole = Window.partitionBy(key)
-    out = points.withColumns({"i": F.row_number().over(by), "n": F.count(F.lit(1)).over(whole), "ma": F.round(F.avg(value).over(by.rowsBetween(0, width - 1)), 6)})
+def moving_average(points: DataFrame, key: str, order: str, value: str, width: int = 5, block: int = BLOCK) -> DataFrame:
+    """Means of full windows only; the width is clipped to the number of points. Orders are distinct within a key."""
+    dealt, by, own = blocked(points, [key], [order], 0, width - 1, block)
+    out = dealt.withColumn("ma", F.round(F.avg(value).over(by.rowsBetween(0, width - 1)), 6)).where(own).drop("_block")
     return out.where(F.col("i") <= F.greatest(F.col("n") - width + 1, F.lit(1)))
 
 
 def exponential_average(points: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
     """The last exponential moving average of each series, as a closed weighted sum: no ordered fold is needed."""
-    by = Window.partitionBy(key).orderBy(order)
-    numbered = points.withColumns({"i": F.row_number().over(by), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
     weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(alpha)
-    return numbered.groupBy(key).agg(F.round(F.sum(weight * F.col(value)), 6).alias("ema"))
+    return numbered(points, [key], [order]).groupBy(key).agg(F.round(F.sum(weight * F.col(value)), 6).alias("ema"))
 
 
 def trend_direction(points: DataFrame, key: str, order: str, value: str, width: int = 5) -> DataFrame:
@@ -88,28 +78,20 @@ def trend_direction(points: DataFrame, key: str, order: str, value: str, width:
 
 
 def half_split_trend(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    by = Window.partitionBy(key).orderBy(order)
-    halves = points.withColumns({"i": F.row_number().over(by), "n": F.count(F.lit(1)).over(Window.partitionBy(key))}).withColumn("early", F.col("i") <= F.floor(F.col("n") / 2))
+    halves = numbered(points, [key], [order]).withColumn("early", F.col("i") <= F.floor(F.col("n") / 2))
     sides = halves.groupBy(key).agg(F.round(F.avg(F.when(F.col("early"), F.col(value))), 6).alias("early_mean"), F.round(F.avg(F.when(~F.col("early"), F.col(value))), 6).alias("late_mean"))
     return sides.withColumn("direction", F.when(F.col("late_mean") > 1.1 * F.col("early_mean"), "increasing").when(F.col("late_mean") < 0.9 * F.col("early_mean"), "decreasing").otherwise("stable"))
 
 
-def neighbour_anomalies(points: DataFrame, key: str, order: str, value: str, limit: float = 0.5) -> DataFrame:
-    by = Window.partitionBy(key).orderBy(order)
-    near = points.withColumns({"before": F.lag(value).over(by), "after": F.lead(value).over(by)}).withColumn("expected", (F.col("before") + F.col("after")) / 2)
+def neighbour_anomalies(points: DataFrame, key: str, order: str, value: str, limit: float = 0.5, block: int = BLOCK) -> DataFrame:
+    dealt, by, own = blocked(points, [key], [order], 1, 1, block)
+    near = dealt.withColumns({"before": F.lag(value).over(by), "after": F.lead(value).over(by)}).where(own).withColumn("expected", (F.col("before") + F.col("after")) / 2)
     return near.where((F.col("expected") > 0) & (F.abs(F.col(value) - F.col("expected")) > limit * F.col("expected")))
 
 
-def change_points(points: DataFrame, key: str, order: str, value: str, width: int = 5, limit: float = 0.2, least: int = 20) -> DataFrame:
-    by = Window.partitionBy(key).orderBy(order)
-    out = points.withColumns(
-        {
-            "i": F.row_number().over(by),
-            "n": F.count(F.lit(1)).over(Window.partitionBy(key)),
-            "before": F.avg(value).over(by.rowsBetween(-width, -1)),
-            "after": F.avg(value).over(by.rowsBetween(0, width - 1)),
-        }
-    )
+def change_points(points: DataFrame, key: str, order: str, value: str, width: int = 5, limit: float = 0.2, least: int = 20, block: int = BLOCK) -> DataFrame:
+    dealt, by, own = blocked(points, [key], [order], width, width - 1, block)
+    out = dealt.withColumns({"before": F.avg(value).over(by.rowsBetween(-width, -1)), "after": F.avg(value).over(by.rowsBetween(0, width - 1))}).where(own).drop("_block")
     inner = (F.col("n") >= least) & (F.col("i") > width) & (F.col("i") <= F.col("n") - width + 1)
     return out.where(inner & (F.col("before") > 0) & (F.abs(F.col("after") - F.col("before")) > limit * F.col("before")))
 
@@ -168,7 +150,7 @@ def trend_significance(points: DataFrame, key: str, x: str, value: str, level: f
 def forecast(points: DataFrame, key: str, order: str, value: str, steps: int = 3, a_step: int = 24) -> DataFrame:
     """Linear forecast of hourly points, ``steps`` days ahead, not below zero, with two deviations of the values that widen
     by a tenth a step. Points are numbered 0 to n - 1 in their order; day d is x = n + 24 d. Five points at least."""
-    placed = points.withColumn("x", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("double"))
+    placed = numbered(points, [key], [order]).withColumn("x", (F.col("i") - 1).cast("double")).drop("n")
     fit = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, "x").alias("b"), F.regr_intercept(value, "x").alias("a"), F.stddev_samp(value).alias("sd")).where("n >= 5")
     ahead = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     mean = F.greatest(F.col("a") + F.col("b") * (F.col("n") + a_step * F.col("step")), F.lit(0.0))

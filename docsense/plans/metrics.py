@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsense.operators import monitoring, stats
+from docsense.operators import monitoring, orderstats, stats
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -193,7 +193,9 @@ def custom_metrics(spark, d):
     """Numeric members of a map of custom metrics, aggregated by name."""
     made = F.create_map(F.lit("value"), F.col("value"), F.lit("k"), F.get_json_object("props", "$.k").cast("double"))
     rows = table(spark, d, "events").select("event_type", F.explode(made).alias("metric", "x"))
-    return rows.groupBy("event_type", "metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.5), 6).alias("median"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 6).alias("sd"))
+    basic = rows.groupBy("event_type", "metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 6).alias("sd"))
+    median = orderstats.percentiles(rows, ["event_type", "metric"], "x", [orderstats.Rank("median", 0.5)])
+    return orderstats.of_keys(basic, median, ["event_type", "metric"]).select("event_type", "metric", "mean", F.round("median", 6).alias("median"), "low", "high", "sd")
 
 
 #: Event types as the metrics of the default rules, scaled to their units.
@@ -256,10 +258,12 @@ def dashboard_last_hour(spark, d):
 round(count(*) / sum(value) * 1000, 6) AS throughput FROM events GROUP BY 1""")
 def micro_benchmarks(spark, d):
     """Success rate, linear percentiles and throughput of benchmark runs."""
-    q = lambda p: F.round(F.percentile("value", p), 6).alias(f"p{round(100 * p)}")
     n = F.count(F.lit(1))
     rows = table(spark, d, "events").withColumn("benchmark", F.get_json_object("props", "$.k").cast("int") % 10)
-    return rows.groupBy("benchmark").agg(n.alias("runs"), F.round(monitoring.share(100 * F.count_if(~_is("error")), n), 4).alias("success_rate"), q(0.5), q(0.9), q(0.95), q(0.99), F.round(n / F.sum("value") * 1000, 6).alias("throughput"))
+    basic = rows.groupBy("benchmark").agg(n.alias("runs"), F.round(monitoring.share(100 * F.count_if(~_is("error")), n), 4).alias("success_rate"), F.round(n / F.sum("value") * 1000, 6).alias("throughput"))
+    names = {f"p{p}": p / 100 for p in (50, 90, 95, 99)}
+    ranks = orderstats.percentiles(rows, ["benchmark"], "value", [orderstats.Rank(name, share) for name, share in names.items()])
+    return orderstats.of_keys(basic, ranks, ["benchmark"]).select("benchmark", "runs", "success_rate", *[F.round(name, 6).alias(name) for name in names], "throughput")
 
 
 @query("""SELECT user_id, count(*) AS iterations, round((arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id))) / count(*), 6) AS growth_per_iteration, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) > 10 AS leak FROM events GROUP BY 1""")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,27 +45,130 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     return _ranked(v.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", _score(metric).alias("score")), k, metric)
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 10_000, seed: int = 7) -> DataFrame:
-    """Neighbours from the ``probes`` nearest of ``cells`` k-means cells; cells are fitted on at most ``sample`` vectors.
+def lloyd(points: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """k centres of ``points`` (a bounded sample) by k-means++ starts and Lloyd's rounds; an empty cell keeps its centre."""
+    rng = np.random.default_rng(seed)
+    k = min(k, len(points))
+    chosen = [int(rng.integers(len(points)))]
+    gaps = ((points - points[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = gaps.sum()
+        chosen.append(int(rng.choice(len(points), p=gaps / total)) if total > 0 else int(rng.integers(len(points))))
+        gaps = np.minimum(gaps, ((points - points[chosen[-1]]) ** 2).sum(1))
+    centres = points[chosen].copy()
+    for _ in range(rounds):
+        cell = nearest_centre(points, centres)
+        sums, n = np.zeros_like(centres), np.bincount(cell, minlength=k)
+        np.add.at(sums, cell, points)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
+def gaps_to(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (centres**2).sum(1)[None, :] - 2 * points @ centres.T
+
+
+def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return gaps_to(points, centres).argmin(1)
+
+
+@dataclass
+class Quantiser:
+    """Cells of unit vectors, and for each of the parts of what remains within a cell a book of codes."""
+
+    cells: np.ndarray
+    books: list[np.ndarray]
+    cuts: list[slice]
+
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = nearest_centre(unit, self.cells)
+        rest = unit - self.cells[cell]
+        return cell, np.stack([nearest_centre(rest[:, cut], book) for cut, book in zip(self.cuts, self.books)], 1).astype(np.uint8)
+
+    def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
+        """Squared distances of the query's remainder in ``cell`` to every code of every part (rows), padded to 256 codes."""
+        rest = query - self.cells[cell]
+        out = np.zeros((len(self.books), 256))
+        for row, cut, book in zip(out, self.cuts, self.books):
+            row[: len(book)] = ((book - rest[cut]) ** 2).sum(1)
+        return out
 
-    Without numbers there are about sqrt(n) / 2 cells, 16 to 256, and four fifths of them are probed: what vectors without
-    clusters need for nine tenths of their neighbours.
+
+def quantiser(sample: np.ndarray, cells: int, parts: int, seed: int) -> Quantiser:
+    """Fitted on unit vectors of a bounded sample; books have at most 256 codes."""
+    centres = lloyd(sample, cells, seed)
+    rest = sample - centres[nearest_centre(sample, centres)]
+    edges = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
+    cuts = [slice(a, b) for a, b in zip(edges, edges[1:])]
+    return Quantiser(centres, [lloyd(rest[:, cut], 256, seed + 1 + i) for i, cut in enumerate(cuts)], cuts)
+
+
+#: Coded vectors of a cell that one task scans for a group of queries, and queries of a group.
+CELL_ROWS, CELL_QUERIES = 100_000, 4096
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 10_000, seed: int = 7, parts: int = 16, refine: int = 20) -> DataFrame:
+    """Neighbours by cosine from inverted lists of product codes: query_id, vec_id, score and rank.
+
+    Unit vectors are dealt into k-means ``cells``; within its cell a vector is a code of ``parts`` bytes, one for each part
+    of its remainder. A query scans the codes of its ``probes`` nearest cells by table look-ups, and only the best
+    ``refine`` times k of them are compared as whole vectors. Cells and codes are fitted on about ``sample`` vectors (twice as
+    many at most, chosen by hash), every vector is coded. Without numbers there are about sqrt(n) / 2 cells, 16 to 256, and four fifths of
+    them are scanned: what vectors without clusters need. A hot cell is scanned in blocks. Vectors that are null, zero or
+    hold null or non-finite components take no part; an empty table gives an empty result.
     """
-    if cells is None:
-        cells = max(16, min(256, int(vectors.count() ** 0.5 / 2)))
-    probes = probes or -(-4 * cells // 5)
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from docsense.operators.graphindex import directions
 
-    rows = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    fit = rows(vectors).orderBy(F.xxhash64("vec_id")).limit(sample).select(array_to_vector("e").alias("features"))
-    centres = [c.tolist() for c in KMeans(k=cells, seed=seed).fit(fit).clusterCenters()]
-    table = F.array(*[F.array(*map(F.lit, c)) for c in centres])
-    gap = lambda c: F.aggregate(F.zip_with("e", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    order = F.array_sort(F.transform(table, lambda c, i: F.struct(gap(c).alias("d"), i.alias("cell"))))
-    stored = rows(vectors).select("vec_id", F.col("e").alias("v"), norm(F.col("e")).alias("vn"), F.element_at(order, 1)["cell"].alias("cell"))
-    sought = rows(queries).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), norm(F.col("e")).alias("qn"), F.explode(F.slice(order, 1, probes)).alias("near")).withColumn("cell", F.col("near.cell"))
-    return _ranked(sought.join(stored, "cell").where("vec_id <> query_id").select("query_id", "vec_id", _score("cosine").alias("score")), k, "cosine")
+    spark = vectors.sparkSession
+    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
+    rows = lambda df, name: df.where(usable).select(F.col("vec_id").cast("long").alias(name), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = vectors.count()
+    cells = cells or max(16, min(256, int(n**0.5 / 2)))
+    probes = probes or -(-4 * cells // 5)
+    chosen = rows(vectors, "vec_id").where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // sample))) == 0).limit(2 * sample).toPandas()
+    unit, _ = directions(chosen["embedding"])
+    if not len(unit):
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    shared = spark.sparkContext.broadcast(quantiser(unit.astype(np.float64), cells, parts, seed))
+    blocks, groups = max(1, -(-n // (CELL_ROWS * cells)) * 4), max(1, -(-queries.count() // CELL_QUERIES))
+
+    def code(frames):
+        for frame in frames:
+            found, kept = directions(frame["embedding"])
+            if len(found):
+                cell, codes = shared.value.encode(found.astype(np.float64))
+                yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[kept], "cell": cell, "code": [c.tobytes() for c in codes]})
+
+    def probe(frames):
+        for frame in frames:
+            found, kept = directions(frame["embedding"])
+            if len(found):
+                near = np.argsort(gaps_to(found.astype(np.float64), shared.value.cells), axis=1, kind="stable")[:, :probes]
+                ids = np.repeat(frame["query_id"].to_numpy()[kept], near.shape[1])
+                yield pd.DataFrame({"query_id": ids, "cell": near.ravel(), "unit": [found[i].astype(np.float64) for i in range(len(found)) for _ in range(near.shape[1])]})
+
+    def scan(codes: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(codes) and len(sought):
+            held = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
+            ids, at, cell = codes["vec_id"].to_numpy(), np.arange(held.shape[1]), int(codes["cell"].iloc[0])
+            for query_id, q in zip(sought["query_id"], sought["unit"]):
+                gap = shared.value.tables(np.asarray(q), cell)[at, held].sum(1)
+                top = np.argpartition(gap, min(refine * k, len(gap) - 1))[: refine * k]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "gap": gap[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "gap": []})
+
+    of_block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    of_group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    coded = rows(vectors, "vec_id").mapInPandas(code, "vec_id long, cell int, code binary").withColumn("block", of_block("vec_id")).withColumn("part", every(groups))
+    sought = rows(queries, "query_id").mapInPandas(probe, "query_id long, cell int, unit array<double>").withColumn("part", of_group("query_id")).withColumn("block", every(blocks))
+    keys = ["cell", "block", "part"]
+    near = coded.groupBy(*keys).cogroup(sought.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, gap double").where("vec_id <> query_id")
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "vec_id"))).where(F.col("place") <= refine * k)
+    sides = lambda df, name, c: rows(df, name).select(name, F.col("embedding").alias(c), norm(F.col("embedding")).alias(f"{c}n"))
+    both = first.select("query_id", "vec_id").distinct().join(sides(queries, "query_id", "q"), "query_id").join(sides(vectors, "vec_id", "v"), "vec_id")
+    return _ranked(both.select("query_id", "vec_id", _score("cosine").alias("score")), k, "cosine")
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, width: float = 1.6, tables: int = 24) -> DataFrame:

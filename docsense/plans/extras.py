@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsense.functions import markup
-from docsense.operators import registry, scan, usage, vectors
+from docsense.operators import graphindex, registry, scan, usage, vectors
 from docsense.sources.tables import SINCE_SQL, USAGE_SQL, as_of, table, usage_events
 
 QUERIES, SQL = {}, {}
@@ -65,9 +65,16 @@ def semantic_topk(spark, d):
     return vectors.nearest(v, v.where("vec_id % 100 = 0"), 10, "cosine").where("score > 0").select("query_id", "vec_id", "score", "rank")
 
 
+@query()
+def graph_search(spark, d):
+    """Approximate neighbours by a layered graph over each shard of vectors, merged."""
+    v = table(spark, d, "embeddings")
+    return graphindex.search(graphindex.build(v), v.where("vec_id % 100 = 0"), 10)
+
+
 @query()
 def lsh_search(spark, d):
-    """Approximate neighbours by random projections: Spark's own hashing in place of a graph index."""
+    """Approximate neighbours by random projections, Spark's own hashing."""
     v = table(spark, d, "embeddings")
     return vectors.lsh_search(v, v.where("vec_id % 100 = 0"), 10)
 

@@ -169,7 +169,7 @@ def knn_exact_l2(spark, d):
 
 @query()
 def ivf_search(spark, d):
-    """Approximate neighbours by inverted lists of k-means cells."""
+    """Approximate neighbours by inverted lists of product codes, re-ranked exactly."""
     v = table(spark, d, "embeddings")
     return vectors.ivf_search(v, v.where("vec_id % 50 = 0"), 10)
 

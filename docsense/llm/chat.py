@@ -86,7 +86,11 @@ def texts(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Digests of what the output says: turns parsed from the transcripts, and unescaped targets of the examples."""
+    """Digests of what the output says: turns parsed from the transcripts, and what stands in them under the examples' spans.
+
+    The transcript is cut into turns again; an example finds the one that begins where its context ends, and its target is
+    what stands there from target_start to target_end.
+    """
     parsed = F.transform(F.split("transcript", r"\[END\]", -1), lambda x: F.split(x, r"\[TEXT\]", 2))
     turns = F.filter(parsed, lambda x: F.size(x) == 2)
     spoken = F.transform(turns, lambda x: F.concat(unescape(F.substring(x[0], len(TURN) + 1, 2147483647)), F.lit("\n"), unescape(x[1]), F.lit("\n")))
@@ -98,7 +102,13 @@ def read_back(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("loss_chars"),
         F.lit(None).cast("string").alias("loss_sha256"),
     )
-    replies = expanded.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", unescape(F.col("target")).alias("said")))).alias("replies"))
+    size = F.length("piece") + len(END)
+    cut = formatted.select("conv_id", F.posexplode(F.split("transcript", r"\[END\]", -1)).alias("at", "piece")).where("piece <> ''")
+    begun = cut.select("conv_id", "piece", (F.sum(size).over(Window.partitionBy("conv_id").orderBy("at")) - size).alias("begin"))
+    spans = expanded.select(F.col("conv_id").alias("of"), "example", "context_end", "target_start", "target_end")
+    masked = begun.join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("begin") == F.col("context_end")))
+    said = unescape(F.expr("substring(piece, cast(target_start - begin as int) + 1, cast(target_end - target_start as int))"))
+    replies = masked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", said.alias("said")))).alias("replies"))
     loss = replies.select("conv_id", F.array_join(F.transform("replies", lambda r: r["said"]), "").alias("loss"))
     learned = loss.select(
         "conv_id",

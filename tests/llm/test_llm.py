@@ -280,6 +280,20 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.transcripts(none), chat.examples(none)).count() == 0
 
 
+def test_chat_loss_is_read_under_the_mask(spark):
+    """Spans that are off by one, or point into another turn, change what is read back."""
+    rows = [(1, 0, "user", "[hi] & <you>"), (1, 1, "assistant", "one [two] three"), (1, 2, "user", "more"), (1, 3, "assistant", "four & five"), (None, 0, "assistant", "lone")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut = chat.pieces(turns)
+    told, spans = chat.transcripts(cut), chat.examples(cut)
+    digest = lambda expanded: {r.conv_id: (r.loss_sha256, r.loss_chars) for r in chat.read_back(told, expanded).collect()}
+    right = digest(spans)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert right == {1: (sha("one [two] threefour & five"), 26), None: (sha("lone"), 4)}
+    for change in ({"target_start": F.col("target_start") + 1}, {"target_end": F.col("target_end") - 1}, {"target_start": F.col("target_start") - 1, "target_end": F.col("target_end") - 1}, {"context_end": F.col("context_end") + 1}):
+        assert digest(spans.withColumns(change))[1] != right[1]
+
+
 def test_chat_long_conversation(spark):
     """Cost grows with the turns, not with their square: 16,000 turns in seconds."""
     n = 16_000

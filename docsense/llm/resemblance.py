@@ -1,12 +1,12 @@
-"""Near copies: SimHash groups, completed by minima of shingle sets, every link verified exactly.
+"""Near copies: SimHash links, completed by minima of shingle sets, every link verified exactly.
 
 Two texts are near copies if the Jaccard index of their sets of five-word shingles is at least 0.8. Words are those of the
 fingerprint rule (`simhash`); fewer than five words make one shingle, texts without words are copies of each other.
 
-Operator 9 groups the texts first, with fingerprints of five-word shingles; each member is compared with the first text of
-its group. A pair at 0.8 differs in about nine of 64 bits, though, and Hamming balls that wide would fetch a fixed share of
-the whole table. So candidates also share one of ``BANDS`` keys, each a digest of ``ROWS`` minima of random hashes over
-the set; a pair of index J shares none with probability (1 - J**ROWS)**BANDS, 3e-6 at 0.8.
+Operator 9 comes first, with fingerprints of five-word shingles: each text is compared with the first of those whose
+fingerprints its own is linked with. A pair at 0.8 differs in about nine of 64 bits, though, and Hamming balls that wide
+would fetch a fixed share of the whole table. So candidates also share one of ``BANDS`` keys, each a digest of ``ROWS``
+minima of random hashes over the set; a pair of index J shares none with probability (1 - J**ROWS)**BANDS, 3e-6 at 0.8.
 
 Candidates are verified on the whole sets of shingles, but only while they can still join two components: first each text
 with the smallest text it meets, then the pairs of a key that are still apart. Of these only pairs leave the join that an
@@ -105,11 +105,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = materialise(named.select("key", F.struct("first", "key").alias("node"), "n", "fp"), "copy-nodes")
     sized = F.struct("node", "n")
 
-    # Every text with the first text of its operator-9 group.
-    grouped = simhash.groups(nodes.select("fp", F.col("node.first").alias("doc_id")))
-    heads = nodes.groupBy("fp").agg(F.min(sized).alias("head"))
-    rooted = grouped.select("fp", F.col("root").alias("first")).join(heads.select(F.col("head.node.first").alias("first"), "head"), "first").select("fp", "head")
-    pairs = nodes.join(rooted, "fp").select(sized.alias("spoke"), F.col("head").alias("hub"))
+    # Every text with the first text among those whose fingerprints are linked with its own.
+    heads = materialise(nodes.groupBy("fp").agg(F.min(sized).alias("head")), "copy-heads")
+    near = simhash.link(heads.select("fp"))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    firsts = both.join(heads.select(F.col("fp").alias("b"), "head"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("head").alias("near"))
+    hubs = heads.join(firsts, "fp", "left").select("fp", F.least("head", "near").alias("hub"))
+    pairs = nodes.join(hubs, "fp").select(sized.alias("spoke"), "hub")
 
     # Keys that two texts at least share.
     members = materialise(signed.select("key", F.explode("bands").alias("band")).distinct().join(nodes.select("key", "node", "n"), "key").select("band", sized.alias("own")), "band-members")

@@ -30,6 +30,67 @@ def parse(markdown: Column) -> Column:
     return F.filter(F.transform(pieces, named), lambda s: s["body"].rlike(r"[^ \t\r\n]") & ((s["kind"] != "other") | (F.length(s["body"]) >= 50)))
 
 
+#: Ids, names as patterns and priorities of the sections that token formats rest on, in the order they claim text.
+PATTERNS = (
+    ("overview", "Overview", 8),
+    ("requirements", "Requirements", 9),
+    ("implementation", "Implementation", 7),
+    ("examples", "Examples?", 5),
+    ("best_practices", "Best Practices", 8),
+    ("security", "Security", 9),
+    ("performance", "Performance", 7),
+    ("testing", "Testing", 6),
+    ("references", "References", 3),
+)
+_MARK, _LITERAL = "\x00\x01", "\x00\x02"
+
+
+def heading_pattern(name: str) -> str:
+    """One to three number signs anywhere, white space and the name, in any case; Java's syntax."""
+    return rf"(?iU)#{{1,3}}\s*{name}"
+
+
+def parse_patterns(text: Column, patterns=PATTERNS, other: int = 4, whole: int = 5, least: int = 50) -> Column:
+    """Sections claimed by patterns: an array of id, title, priority and content.
+
+    A pattern's section begins where it matches and ends before the next line that begins with a number sign, or with the
+    text. Patterns claim in their order and, each, from left to right; a section that overlaps a claimed one is dropped. What
+    lies between claimed sections, stripped, is kept if longer than ``least``; all such gaps together are the section
+    ``other``, the last one. A text without any match is the section ``content``, a blank or null one has no sections.
+
+    Every section ends where its block of the text ends (blocks begin at lines with a number sign), so sections overlap if
+    and only if they share a block, and in each block the first pattern that matches there claims the block from its match
+    on: no interval has to be searched.
+    """
+    blocks = F.split(text, "\n(?=#)", -1)
+
+    def claim(block: Column, i: Column) -> Column:
+        order, at = F, F
+        for n, (_, name, _) in enumerate(patterns):
+            hit = block.rlike(heading_pattern(name))
+            order, at = order.when(hit, n), at.when(hit, F.regexp_instr(block, F.lit(heading_pattern(name))))
+        return F.struct(order.otherwise(len(patterns)).alias("order"), i.alias("i"), at.otherwise(0).alias("at"), block.alias("block"))
+
+    told = F.transform(blocks, claim)
+    claimed = F.array_sort(F.filter(told, lambda b: b["at"] > 0))
+    field = lambda values, n: F.get(F.array(*map(F.lit, values)), n)
+    ids = [k for k, _, _ in patterns]
+    section = lambda k, title, priority, content: F.struct(k.alias("id"), title.alias("title"), priority.alias("priority"), content.alias("content"))
+    named = F.transform(
+        claimed,
+        lambda b: section(field(ids, b["order"]), field([k.replace("_", " ").title() for k in ids], b["order"]), field([r for _, _, r in patterns], b["order"]), b["block"].substr(b["at"], F.length(b["block"]))),
+    )
+    strip = lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    # Claimed parts are cut out at marks that no text holds, because the mark's first character is spelled out before.
+    safe = lambda x: F.replace(x, F.lit("\x00"), F.lit(_LITERAL))
+    left = F.array_join(F.transform(told, lambda b: F.when(b["at"] > 0, F.concat(safe(F.left(b["block"], b["at"] - 1)), F.lit(_MARK))).otherwise(safe(b["block"]))), "\n")
+    gaps = F.filter(F.transform(F.split(left, _MARK, -1), lambda g: strip(F.replace(g, F.lit(_LITERAL), F.lit("\x00")))), lambda g: F.length(g) > least)
+    rest = F.when(F.size(gaps) > 0, F.array(section(F.lit("other"), F.lit("Additional Information"), F.lit(other), F.array_join(gaps, "\n\n")))).otherwise(F.slice(named, 1, 0))
+    alone = F.array(section(F.lit("content"), F.lit("Standard Content"), F.lit(whole), text))
+    blank = F.coalesce(strip(text), F.lit("")) == ""
+    return F.when(blank, F.slice(alone, 1, 0)).when(F.size(claimed) > 0, F.concat(named, rest)).otherwise(alone)
+
+
 def key_points(body: Column, most: int = 5, width: int = 80) -> Column:
     """The first bullets and numbered items of a section, abbreviated and clipped."""
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^([-*•] |[0-9]+\.)"))

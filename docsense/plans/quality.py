@@ -141,6 +141,46 @@ def markdown_sections(spark, d):
     return _sections(spark, d).select("page_id", F.inline("sections")).select("page_id", "title", "kind", "priority", F.length("body").cast("long").alias("n"))
 
 
+def _pattern_sections(rows: str, key: str, patterns) -> str:
+    """The same in SQL over ``rows`` (key and t): each block goes to the first pattern that matches in it."""
+    head = lambda name: f"'(?is)^(.*?)#{{1,3}}\\s*{name}'"
+    hit = lambda name: f"regexp_matches(block, '(?i)#{{1,3}}\\s*{name}')"
+    order = "CASE " + " ".join(f"WHEN {hit(name)} THEN {n}" for n, (_, name, _) in enumerate(patterns)) + " END"
+    before = "CASE o " + " ".join(f"WHEN {n} THEN regexp_extract(block, {head(name)}, 1)" for n, (_, name, _) in enumerate(patterns)) + " END"
+    ids, ranks = (" ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(x)) for x in ([f"'{k}'" for k, _, _ in patterns], [r for _, _, r in patterns]))
+    return f"""s AS ({rows}), b AS (SELECT {key}, unnest(bs) AS block, generate_subscripts(bs, 1) AS i FROM (SELECT {key}, string_split(replace(t, chr(10) || '#', chr(1) || '#'), chr(1)) AS bs FROM s WHERE trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> '')),
+o AS (SELECT *, {order} AS o FROM b), c AS (SELECT *, {before} AS pre FROM o),
+g AS (SELECT {key}, string_agg(CASE WHEN o IS NULL THEN block ELSE pre || chr(2) END, chr(10) ORDER BY i) AS left_over, count(o) AS claimed, string_agg(block, chr(10) ORDER BY i) AS whole FROM c GROUP BY 1),
+r AS (SELECT {key}, list_filter(list_transform(string_split(left_over, chr(2)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) > 50) AS gaps FROM g WHERE claimed > 0)
+SELECT {key}, CASE o {ids} END AS id, CASE o {ranks} END AS priority, sha256(substr(block, length(pre) + 1)) AS content_sha256 FROM c WHERE o IS NOT NULL
+UNION ALL SELECT {key}, 'other', 4, sha256(array_to_string(gaps, chr(10) || chr(10))) FROM r WHERE len(gaps) > 0
+UNION ALL SELECT {key}, 'content', 5, sha256(whole) FROM g WHERE claimed = 0"""
+
+
+def _claimed(rows, key: str, text: str, patterns):
+    found = rows.select(key, F.inline(sections.parse_patterns(F.col(text), patterns)))
+    return found.select(key, "id", "priority", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
+@query(f"WITH {_PAGES}, " + _pattern_sections("SELECT page_id, t FROM p", "page_id", sections.PATTERNS))
+def pattern_sections(spark, d):
+    """Sections of every page by the nine patterns."""
+    return _claimed(pages(spark, d), "page_id", "t", sections.PATTERNS)
+
+
+#: Roles as section names of a conversation told in Markdown; what users say is left to the gaps.
+ROLES = (("reply", "Assistant", 9), ("frame", "System", 7), ("reply_again", "Assist", 3))
+_TOLD = "SELECT conv_id, string_agg('# ' || coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1"
+
+
+@query("WITH " + _pattern_sections(_TOLD, "conv_id", ROLES))
+def role_sections(spark, d):
+    """Conversations told in Markdown, cut by the roles that speak."""
+    piece = F.concat(F.lit("# "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    told = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", piece.alias("p")))), lambda x: x["p"]), "\n").alias("t"))
+    return _claimed(told, "conv_id", "t", ROLES)
+
+
 @query()
 def reference_format(spark, d):
     """Titles and first bullets of the sections of every page within 200 tokens."""

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsense.operators.fuzzy import candidates
+
 #: Words that a query doesn't search for.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 PUNCTUATION = ".,;:!?\"'()[]{}"
@@ -171,11 +173,9 @@ def _ratio(a: Column, b: Column) -> Column:
 def fuzzy_matches(words: DataFrame, vocabulary: DataFrame, least: int = 80, most: int = 5) -> DataFrame:
     """word, token, ratio: the closest vocabulary tokens of each word.
 
-    A ratio of 80 needs lengths within a factor of 1.5, so the join is on a length of the token that the word could have;
-    it stays an equi-join however large the vocabulary grows.
+    Only pairs that share a segment are compared (see `fuzzy`); none that reaches the ratio is missed.
     """
-    lengths = words.select("word", F.length("word").alias("n")).withColumn("of", F.explode(F.sequence(F.ceil(F.col("n") * least / (200 - least)).cast("int"), F.floor(F.col("n") * (200 - least) / least).cast("int"))))
-    near = lengths.join(vocabulary.select("token", F.length("token").alias("of")), "of").where("word <> token")
+    near = candidates(words, vocabulary, least)
     # The edit distance is never above the insertions and deletions that the ratio allows, so this loses no match.
     allowed = F.floor((F.length("word") + F.length("token")) * (100 - least) / 100 + 0.5)
     close = near.where(F.levenshtein("word", "token") <= allowed)

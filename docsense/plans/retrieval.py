@@ -93,7 +93,7 @@ def recency_score(spark, d):
 def query_correction(spark, d):
     """Words of search texts against the vocabulary of all documents."""
     words = table(spark, d, "benchmark").select(F.explode(search.tokens(F.col("text"))).alias("word")).distinct()
-    vocabulary = table(spark, d, "documents").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).where(F.length("token") >= 4).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("token")
+    vocabulary = table(spark, d, "documents").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).distinct()
     return retrieval.corrected(words, vocabulary)
 
 

@@ -50,6 +50,11 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.withColumns({"i": F.col("_before") + 1, "n": F.col("_total")}).drop("_one", "_before", "_total")
 
 
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place (an int from 1) in one order over all of them; ``order`` must tell them apart."""
+    return numbered(rows.withColumn("_all", F.lit(0)), ["_all"], order).withColumn(name, F.col("i").cast("int")).drop("_all", "i", "n")
+
+
 @dataclass(frozen=True)
 class Rank:
     """A percentile of a key's sorted values.

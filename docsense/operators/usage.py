@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsense.operators.orderstats import placed
+
 USAGE_TYPES = ("click", "error", "purchase", "signup", "view")
 RANGES = {"7d": 7, "30d": 30, "90d": 90, "1y": 365}
 
@@ -83,7 +85,7 @@ def popularity(events: DataFrame, end: Column) -> DataFrame:
     score = F.round(0.4 * F.col("u") + 0.3 * F.col("s") + 0.2 * F.col("r") + 0.1 * F.col("t"), 6)
     parts = [F.round(c, 6).alias(n) for c, n in (("u", "usage_score"), ("s", "session_score"), ("r", "recency_score"), ("t", "trend_score"))]
     final = scored.select("standard_id", "total_usage", "unique_sessions", *parts, score.alias("popularity_score"))
-    return final.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("popularity_score"), "standard_id")))
+    return placed(final.withColumn("_down", -F.col("popularity_score")), ["_down", "standard_id"], "rank").drop("_down")
 
 
 def under_represented(counts: DataFrame, value: str, share: float) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +79,32 @@ def line_diff(before: Column, after: Column) -> Column:
     return F.array_join(F.concat(gone, come), "\n")
 
 
+DIFF_FORMS = ("unified", "context", "html")
+
+
+def text_diff(before: Column, after: Column, old_name: Column, new_name: Column, form: str = "unified") -> Column:
+    """The diff of two texts, line by line: unified or with context, in hunks with three lines around, or an HTML page.
+
+    Lines keep their ends and headers have none, as a caller that joins the parts gets them. Repeated and moved lines are told
+    apart by their places. Equal texts give an empty diff (HTML: a page without changes); null texts and names are empty.
+    """
+    if form not in DIFF_FORMS:
+        raise ValueError(f"form must be one of {', '.join(DIFF_FORMS)}")
+
+    @F.pandas_udf("string")
+    def told(a: pd.Series, b: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        out = []
+        for x, y, m, n in zip(a, b, old, new):
+            if form == "html":
+                out.append(difflib.HtmlDiff().make_file(x.splitlines(), y.splitlines(), m, n))
+            else:
+                make = difflib.unified_diff if form == "unified" else difflib.context_diff
+                out.append("".join(make(x.splitlines(keepends=True), y.splitlines(keepends=True), m, n, lineterm="")))
+        return pd.Series(out, dtype="object")
+
+    return told(*[F.coalesce(c, F.lit("")) for c in (before, after, old_name, new_name)])
+
+
 def migration_guide(changes: DataFrame, key: str) -> DataFrame:
     """One text a key: its changes with level, section and what happened, the gravest first."""
     rank = F.when(F.col("level") == "MAJOR", 0).when(F.col("level") == "MINOR", 1).otherwise(2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsense.operators import graph, scan, state, versions
+from docsense.operators import graph, orderstats, scan, state, versions
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -145,7 +145,8 @@ def _version_pairs(spark, d):
     """A conversation as a document with a section for each role, and the next conversation as its new version."""
     piece = F.concat(F.lit("# "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
     told = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", piece.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    ids = table(spark, d, "conversations").select("conv_id").distinct().withColumn("next_id", F.lead("conv_id").over(Window.orderBy("conv_id"))).where("next_id IS NOT NULL")
+    place = orderstats.placed(table(spark, d, "conversations").select("conv_id").distinct(), ["conv_id"], "place")
+    ids = place.join(place.select(F.col("conv_id").alias("next_id"), (F.col("place") - 1).alias("place")), "place").drop("place")
     after = told.select(F.col("conv_id").alias("next_id"), F.col("body").alias("after"))
     return told.join(ids, "conv_id").join(after, "next_id").select("conv_id", F.col("body").alias("before"), "after")
 
@@ -173,6 +174,13 @@ def version_line_diff(spark, d):
     return rows.select("conv_id", F.sha2(versions.line_diff(F.col("before"), F.col("after")).cast("binary"), 256).alias("diff_sha256"))
 
 
+@query()
+def version_diff(spark, d):
+    """Unified diffs of every document and its new version."""
+    rows = _version_pairs(spark, d)
+    return rows.select("conv_id", versions.text_diff(F.col("before"), F.col("after"), F.concat(F.col("conv_id").cast("string"), F.lit(" v1.0.0")), F.concat(F.col("conv_id").cast("string"), F.lit(" v1.0.1"))).alias("diff"))
+
+
 @query(f"WITH {_PAIR}, m AS (SELECT conv_id, min(CASE level WHEN 'MAJOR' THEN 0 WHEN 'MINOR' THEN 1 ELSE 2 END) AS r, count(*) AS changes FROM d GROUP BY 1) SELECT v.conv_id, sha256(nxt) AS content_hash, changes, CASE r WHEN 0 THEN '2.0.0' WHEN 1 THEN '1.1.0' ELSE '1.0.1' END AS version FROM v JOIN m USING (conv_id)")
 def create_versions(spark, d):
     """A new version of each document: content hash, number of changes and the number that their gravest level makes of 1.0.0."""

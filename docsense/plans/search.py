@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsense.operators import search, tokens, vectors
+from docsense.operators import overlap, search, tokens, vectors
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -69,12 +69,11 @@ def position_score(spark, d):
 
 
 def _passage_hits(spark, d, k=10):
-    """Benchmark items searched by all their words: candidates come from an equi-join on words."""
-    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
-    held = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
-    n = words.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = words.join(held, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).join(n, "item_id").select("item_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
-    return search.top_k(scored, "item_id", "doc_id", k)
+    """Benchmark items searched by all their words, rarest first, until no further document can enter the best."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), search.tokens(F.col("text")).alias("words"))
+    held = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), search.tokens(F.col("text")).alias("words"))
+    found = overlap.best_by_overlap(words, held, k, search.THRESHOLD)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
 
 
 _HITS = r"""q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM benchmark),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsense.operators import graph, orderstats, scan, state, versions
+from docsense.operators import graph, orderstats, refbuild, scan, staging, state, versions
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -39,6 +41,16 @@ def relationship_strength(spark, d):
     return graph.shared_concepts(_posts(spark, d)).where("shared >= 2")
 
 
+@query(f"WITH {_E} SELECT * FROM e WHERE shared >= 2")
+def refreshed_relationships(spark, d):
+    """Relationships of a store that was built when orders had three lines at most, and refreshed to all their lines."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("concept"), "l_linenumber")
+    folder = f"{staging.shared_dir(spark)}/docsense/references-{uuid.uuid4().hex}"
+    refbuild.refresh(spark, lines.where("l_linenumber <= 3"), folder)
+    refbuild.refresh(spark, lines, folder)
+    return refbuild.relationships(spark, folder).where("shared >= 2")
+
+
 @query(f"WITH {_E}, x AS (SELECT source, target, shared, strength FROM e WHERE source < target AND strength > 0.25 AND NOT EXISTS (SELECT 1 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey = source AND b.o_orderkey = target)) SELECT * FROM x ORDER BY strength DESC, source, target LIMIT 20")
 def missing_reference_suggestions(spark, d):
     """Strong pairs that aren't linked yet (no common customer): an anti join, then the best twenty."""

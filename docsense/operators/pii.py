@@ -135,7 +135,10 @@ def filtered_json(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def json_limits(rows: DataFrame, key: str, text: str, depth: int = 10, keys: int = 1000, length: int = 10_000) -> DataFrame:
-    """key, depth, keys, longest and whether a JSON value keeps within limits of nesting, keys and text length."""
+    """key, depth, keys, longest and whether a JSON value keeps within limits of nesting, keys and text length.
+
+    What isn't JSON, null or nested beyond what a parser takes has null measures and isn't accepted.
+    """
 
     def measure(x, level: int = 0) -> tuple[int, int, int]:
         if isinstance(x, str):
@@ -146,7 +149,13 @@ def json_limits(rows: DataFrame, key: str, text: str, depth: int = 10, keys: int
 
     @F.pandas_udf("struct<depth:int,keys:int,longest:int>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(json.loads(t)) for t in texts], columns=["depth", "keys", "longest"])
+        rows = []
+        for t in texts:
+            try:
+                rows.append(measure(json.loads(t)))
+            except (TypeError, ValueError, RecursionError):
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["depth", "keys", "longest"]).astype("Int32")
 
     ok = (F.col("m.depth") <= depth) & (F.col("m.keys") <= keys) & (F.col("m.longest") <= length)
-    return rows.select(key, of(F.col(text)).alias("m")).select(key, "m.*", ok.alias("accepted"))
+    return rows.select(key, of(F.col(text)).alias("m")).select(key, "m.*", F.coalesce(ok, F.lit(False)).alias("accepted"))

@@ -55,6 +55,14 @@ def outliers(points: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def zscores(points: DataFrame, key: str, value: str, limit: float = 3.0, least: int = 10) -> DataFrame:
+    """Points more than ``limit`` sample deviations from the mean of their key, with z; keys of ``least`` points and more that
+    have spread."""
+    spread = points.groupBy(key).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= least) & (F.col("_sd") > 0))
+    z = (F.col(value) - F.col("_mean")) / F.col("_sd")
+    return points.join(spread, key).where(F.abs(z) > limit).withColumn("z", F.round(z, 6)).drop("_mean", "_sd", "_n")
+
+
 def moving_average(points: DataFrame, key: str, order: str, value: str, width: int = 5, block: int = BLOCK) -> DataFrame:
     """Means of full windows only; the width is clipped to the number of points. Orders are distinct within a key."""
     dealt, by, own = blocked(points, [key], [order], 0, width - 1, block)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsense.functions import markup
-from docsense.operators import graphindex, registry, scan, usage, vectors
+from docsense.operators import graphindex, registry, scan, stats, usage, vectors
 from docsense.sources.tables import SINCE_SQL, USAGE_SQL, as_of, table, usage_events
 
 QUERIES, SQL = {}, {}
@@ -46,13 +46,35 @@ def vector_index_stats(spark, d):
     return rows.groupBy("label").agg(n.alias("vectors"), F.max("size").alias("dimension"), (n * F.max("size") * 4).alias("bytes"), F.round(F.avg("norm"), 4).alias("mean_norm"))
 
 
-@query("""WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n, user_id FROM events GROUP BY user_id) SELECT event_id, user_id, round((value - m) / sd, 6) AS z FROM events JOIN s USING (user_id) WHERE n >= 10 AND sd > 0 AND abs((value - m) / sd) > 2""")
+_Z = "WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n, user_id FROM events GROUP BY user_id) SELECT event_id, user_id, round((value - m) / sd, 6) AS z FROM events JOIN s USING (user_id) WHERE n >= 10 AND sd > 0 AND abs((value - m) / sd) > "
+
+
+@query(_Z + "2")
 def zscore_anomalies(spark, d):
     """Points over two deviations from the mean of their series, in series of ten points and more."""
-    events = table(spark, d, "events")
-    spread = events.groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("n")).where("n >= 10 AND sd > 0")
-    z = (F.col("value") - F.col("m")) / F.col("sd")
-    return events.join(spread, "user_id").where(F.abs(z) > 2).select("event_id", "user_id", F.round(z, 6).alias("z"))
+    return stats.zscores(table(spark, d, "events"), "user_id", "value", 2).select("event_id", "user_id", "z")
+
+
+@query(_Z + "3")
+def zscore_outliers(spark, d):
+    """The same over three deviations."""
+    return stats.zscores(table(spark, d, "events"), "user_id", "value").select("event_id", "user_id", "z")
+
+
+#: Luhn's rule over the digits of a number, the last one first: each second one doubled, less nine where that passes nine.
+_LUHN = "list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(s), i, 1)::INTEGER ELSE 2 * substr(reverse(s), i, 1)::INTEGER - CASE WHEN substr(reverse(s), i, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+@query(f"SELECT o_orderkey, {_LUHN} AS valid FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS s FROM orders)")
+def luhn_numbers(spark, d):
+    """Order numbers whose last digit checks the others."""
+    return table(spark, d, "orders").select("o_orderkey", scan.luhn_valid(F.col("o_orderkey").cast("string")).alias("valid"))
+
+
+@query()
+def principal_components(spark, d):
+    """Vectors on their first eight principal components."""
+    return vectors.principal_components(table(spark, d, "embeddings"), 8)
 
 
 _ASK = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)"

@@ -73,6 +73,13 @@ def usage_low_recommend(spark, d):
     return usage.under_represented(counts, "uses", 0.9).withColumn("mean_count", F.round("mean_count", 6))
 
 
+@query(f"WITH {_U}, c AS (SELECT standard_id, count(*) AS uses FROM r GROUP BY 1) SELECT standard_id, uses, round((SELECT avg(uses) FROM c), 6) AS mean_count FROM c WHERE uses < 0.3 * (SELECT avg(uses) FROM c)")
+def usage_underused(spark, d):
+    """Standards with less than three tenths of the mean use."""
+    counts = _recent(spark, d).groupBy("standard_id").agg(F.count(F.lit(1)).alias("uses"))
+    return usage.under_represented(counts, "uses", 0.3).withColumn("mean_count", F.round("mean_count", 6))
+
+
 @query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n FROM c WHERE n < 0.5 * (SELECT avg(n) FROM c)")
 def usage_domain_gaps(spark, d):
     counts = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

@@ -269,3 +269,10 @@ def test_registry(spark, tmp_path):
     stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
     registry.on_batches(stream, str(tmp_path / "check"), lambda batch, n: seen.append(batch.count()), lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out")))
     assert sum(seen) == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_json_limits_of_what_is_no_json(spark):
+    deep = "[" * 100_000
+    df = spark.createDataFrame([(1, '{"a": [1, {"b": "xyz"}]}'), (2, "no json"), (3, None), (4, ""), (5, deep)], "k long, t string")
+    got = {r.k: (r.depth, r["keys"], r.longest, r.accepted) for r in pii.json_limits(df, "k", "t", 5, 5, 5).collect()}
+    assert got == {1: (3, 2, 3, True), 2: (None,) * 3 + (False,), 3: (None,) * 3 + (False,), 4: (None,) * 3 + (False,), 5: (None,) * 3 + (False,)}

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docsense.operators import detectors, scan
+from docsense.operators import bodies, detectors, scan
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -93,6 +93,32 @@ def issue_filter(spark, d):
     return found.where(F.col("severity").isin("critical", "high") & (F.col("family") == "injection")).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The quantity above which a line's statement stands in the loop, and the statement that its return flag calls for.
+_LOOPED, _STATEMENTS = 25, {"R": "defer f.Close()", "A": "rows := db.Query(q) // } not a brace", "N": 's += "}"'}
+_RULE_OF = {"R": ("defer-in-loop", "high"), "A": ("query-in-loop", "high"), "N": ("concat-in-loop", "medium")}
+
+
+def _order_programs(spark, d):
+    """Every order is a Go file with a function of eight lines for each of its lines: a loop, and a statement in or behind it."""
+    said = F.coalesce(F.create_map(*[F.lit(x) for p in _STATEMENTS.items() for x in p])[F.col("l_returnflag")], F.lit("pass()"))
+    looped = F.col("l_quantity") > _LOOPED
+    n = F.col("l_linenumber").cast("string")
+    code = F.concat(F.lit("func f"), n, F.lit("(q string) {\n\tif ready {\n\t\tfor i := 0; i < "), F.col("l_quantity").cast("int").cast("string"), F.lit("; i++ {\n\t\t\t"), F.when(looped, said).otherwise("work()"), F.lit("\n\t\t}\n\t}\n\t"), F.when(looped, "work()").otherwise(said), F.lit("\n}\n"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", code.alias("code")).alias("f"))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["code"]), "").alias("code"))
+
+
+_IS = " ".join(f"WHEN '{k}' THEN '{r}'" for k, (r, _) in _RULE_OF.items())
+_HOW = " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in _RULE_OF.items())
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_returnflag, l_quantity, 8 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) AS above FROM lineitem)
+SELECT l_orderkey, CASE l_returnflag {_IS} END AS rule_id, CASE l_returnflag {_HOW} END AS severity, (above + 4)::INTEGER AS line, (above + 3)::INTEGER AS first, (above + 5)::INTEGER AS last FROM p WHERE l_quantity > {_LOOPED} AND l_returnflag IN {tuple(_RULE_OF)}""")
+def body_rules(spark, d):
+    """Statements that must not stand in loops, by the bodies that braces make."""
+    return bodies.body_findings(_order_programs(spark, d), "l_orderkey", "code", F.lit("go"))
+
+
 @query("SELECT p_partkey, '/src/' || CASE p_partkey % 4 WHEN 0 THEN 'node_modules' WHEN 1 THEN 'app' WHEN 2 THEN '.git' ELSE 'lib' END || '/' || p_partkey AS path FROM part WHERE p_partkey % 4 IN (1, 3)")
 def skipped_paths(spark, d):
     """Files outside folders that scans skip."""

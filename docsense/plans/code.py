@@ -104,7 +104,7 @@ def _order_programs(spark, d):
     looped = F.col("l_quantity") > _LOOPED
     n = F.col("l_linenumber").cast("string")
     code = F.concat(F.lit("func f"), n, F.lit("(q string) {\n\tif ready {\n\t\tfor i := 0; i < "), F.col("l_quantity").cast("int").cast("string"), F.lit("; i++ {\n\t\t\t"), F.when(looped, said).otherwise("work()"), F.lit("\n\t\t}\n\t}\n\t"), F.when(looped, "work()").otherwise(said), F.lit("\n}\n"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", code.alias("code")).alias("f"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", code.alias("code")).alias("f"))
     return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["code"]), "").alias("code"))
 
 
@@ -112,7 +112,7 @@ _IS = " ".join(f"WHEN '{k}' THEN '{r}'" for k, (r, _) in _RULE_OF.items())
 _HOW = " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in _RULE_OF.items())
 
 
-@query(f"""WITH p AS (SELECT l_orderkey, l_returnflag, l_quantity, 8 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) AS above FROM lineitem)
+@query(f"""WITH p AS (SELECT l_orderkey, l_returnflag, l_quantity, 8 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) - 1) AS above FROM lineitem)
 SELECT l_orderkey, CASE l_returnflag {_IS} END AS rule_id, CASE l_returnflag {_HOW} END AS severity, (above + 4)::INTEGER AS line, (above + 3)::INTEGER AS first, (above + 5)::INTEGER AS last FROM p WHERE l_quantity > {_LOOPED} AND l_returnflag IN {tuple(_RULE_OF)}""")
 def body_rules(spark, d):
     """Statements that must not stand in loops, by the bodies that braces make."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docsense.functions import stems
 from docsense.operators import retrieval, search
 from docsense.sources.tables import table
 
@@ -89,6 +90,14 @@ def recency_score(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(retrieval.recency(days), 6).alias("recency"))
 
 
+@query()
+def word_stems(spark, d):
+    """The stems of all documents' words, with how many words and documents each has."""
+    held = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
+    words = held.groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
+    return words.groupBy(stems.stemmed(F.col("token")).alias("stem")).agg(F.count(F.lit(1)).alias("words"), F.sum("documents").alias("uses"))
+
+
 @query()
 def query_correction(spark, d):
     """Words of search texts against the vocabulary of all documents."""

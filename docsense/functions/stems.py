@@ -102,6 +102,7 @@ def stemmed(word: Column) -> Column:
 
     @F.pandas_udf("string")
     def of(words: pd.Series) -> pd.Series:
-        return words.map({w: stem(w) for w in words.dropna().unique()})
+        known = {w: stem(w) for w in words.dropna().unique()}
+        return pd.Series([known.get(w) for w in words], dtype="object")
 
     return of(word)

@@ -36,6 +36,8 @@ SEED = 42
 HUB = 64
 #: Parts of the hash range in which shingles are counted for the bound.
 PARTS = 32
+#: Texts whose shingles a task holds at once.
+SLICE = 512
 #: Shingles of hubs that are broadcast at most, some 48 MB; more are joined by shuffles.
 BROADCAST_GRAMS = 6_000_000
 
@@ -55,8 +57,15 @@ def bands(grams: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _signed_batches(batches):
+def _slices(batches):
+    """Batches of at most ``SLICE`` rows, so that memory holds the shingles of a few texts and not of a whole batch."""
     for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            yield batch.slice(low, SLICE)
+
+
+def _signed_batches(batches):
+    for batch in _slices(batches):
         hashes = [simhash.shingle_hashes(x, WORDS) for x in batch.column("text").to_pylist()]
         grams = [np.unique(h) for h in hashes]
         prints = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
@@ -65,7 +74,7 @@ def _signed_batches(batches):
 
 
 def _shingle_batches(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         grams = [np.unique(simhash.shingle_hashes(x, WORDS)) for x in batch.column("text").to_pylist()]
         counts = [np.bincount((g % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) for g in grams]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["key", "grams", "counts"])

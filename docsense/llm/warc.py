@@ -240,7 +240,8 @@ MANIFEST = "path string, records long, bytes long"
 def write(plan: DataFrame, folder: str, dictionary: bytes, roll: int = ROLL) -> DataFrame:
     """Write the records of ``planned`` as archives in ``folder`` (a URI that every executor reaches); their manifest.
 
-    An archive is written under a name of its own and renamed when whole: a repeated or speculative task does no harm.
+    An archive is renamed when whole, and each attempt at a task has names of its own: the manifest, which only a successful
+    attempt's rows enter, never mixes archives of two attempts whose rows came in different orders.
     """
     shared = plan.sparkSession.sparkContext.broadcast(dictionary)
 
@@ -260,7 +261,8 @@ def write(plan: DataFrame, folder: str, dictionary: bytes, roll: int = ROLL) ->
             nonlocal out, number, held
             if out is not None:
                 out.close()
-                final = f"{root}/part-{TaskContext.get().partitionId():06d}-{number:05d}.warc.zst"
+                task = TaskContext.get()
+                final = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:05d}.warc.zst"
                 store.move(scratch, final)
                 done.append((f"{folder}/{final.rsplit('/', 1)[1]}", held, size))
                 out, number, held = None, number + 1, 0

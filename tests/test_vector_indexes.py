@@ -107,3 +107,39 @@ def test_quantised_lists_split_hot_cells(spark, monkeypatch):
 def test_registered_graph_search(spark):
     found = extras.QUERIES["graph_search"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["query_id", "vec_id", "score", "rank"] and found.count() == 50
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_exact_search_of_blocks_equals_brute_force(spark, monkeypatch, metric):
+    """Copies, near ties that rounding makes equal, huge and tiny vectors and nulls, over many blocks and tiles."""
+    for name, size in (("QUERY_ROWS", 9), ("VECTOR_ROWS", 40), ("TILE", 4)):
+        monkeypatch.setattr(vectors, name, size)
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(20)]
+    rows = [(i, [x * (1e-3 if i % 50 == 7 else 1) + rng.choice([0, 1e-9, 3e-7]) for x in base[i % 20]]) for i in range(200)] + [(200 + i, [1e5 * x for x in base[i]]) for i in range(10)]
+    v = spark.createDataFrame(rows + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 10 = 0")
+    by_id = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vectors.nearest(v, q, 7, metric).collect()}
+
+    def exact(a, b):
+        if metric == "l2":
+            return sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+        return -sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    for query, e in rows[::10]:
+        want = sorted((round(exact(e, o), 6), i) for i, o in rows if i != query)[:7]
+        got = [by_id[query, n] for n in range(1, 8)]
+        assert [abs(s) for _, s in got] == pytest.approx([abs(s) for s, _ in want], abs=2e-6)
+        assert sorted(got, key=lambda x: (x[1] if metric == "l2" else -x[1], x[0])) == got
+    assert [by_id[300, n] for n in range(1, 8)] == [(n, None) for n in range(7)]
+
+
+def test_hashed_search_is_the_exact_one_among_shared_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 70)
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i, [rng.gauss(i % 3, 1) for _ in range(8)]) for i in range(200)] + [(999, None)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 20 = 0")
+    wide = vectors.lsh_search(v, q, 5, width=1e6, tables=16)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, vectors.nearest(v.where("embedding is not null"), q, 5, "cosine").collect()))
+    narrow = {(r.query_id, r.vec_id) for r in vectors.lsh_search(v, q, 5, width=1e-9, tables=2).collect()}
+    assert not narrow

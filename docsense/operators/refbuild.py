@@ -49,8 +49,17 @@ def read(spark: SparkSession, folder: str, part: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/v{versions(spark, folder)[-1]}/{part}")
 
 
-def refresh(spark: SparkSession, occurrences: DataFrame, folder: str) -> dict[str, int]:
-    """Bring the store to the given documents; how many were new, changed and removed."""
+def _pairs(least: int) -> str:
+    return "pairs" if least == 1 else f"pairs-{least}"
+
+
+def refresh(spark: SparkSession, occurrences: DataFrame, folder: str, least: int = 1) -> dict[str, int]:
+    """Bring the store to the given documents; how many were new, changed and removed.
+
+    A store keeps pairs that share ``least`` concepts, 1 or 2, all its life; with 2 no others are made (`graph.strong_pair_sums`).
+    """
+    if least not in (1, 2):
+        raise ValueError("least is 1 or 2")
     posts = staged(postings(occurrences), "reference-postings")
     now = staged(digests(posts), "reference-documents")
     numbers = versions(spark, folder)
@@ -69,12 +78,13 @@ def refresh(spark: SparkSession, occurrences: DataFrame, folder: str) -> dict[st
         stays = read(spark, folder, "postings").join(moved, "doc", "left_anti")
         comes = posts.join(moved.where("kind <> 'removed'"), "doc", "left_semi")
         gone = lambda side: moved.select(F.col("doc").alias(side))
-        kept = read(spark, folder, "pairs").join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
-        pairs = kept.unionByName(graph.pair_sums(comes)).unionByName(graph.cross_sums(comes, stays))
+        kept = read(spark, folder, _pairs(least)).join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
+        made = graph.pair_sums(comes).unionByName(graph.cross_sums(comes, stays)) if least == 1 else graph.strong_pair_sums(posts, among=moved)
+        pairs = kept.unionByName(made)
     else:
-        pairs = graph.pair_sums(posts)
+        pairs = graph.pair_sums(posts) if least == 1 else graph.strong_pair_sums(posts)
     posts.write.mode("overwrite").parquet(f"{target}/postings")
-    pairs.write.mode("overwrite").parquet(f"{target}/pairs")
+    pairs.write.mode("overwrite").parquet(f"{target}/{_pairs(least)}")
     now.write.mode("overwrite").parquet(f"{target}/documents")
     for old in numbers[:-1]:
         fs, path = _fs(spark, f"{folder}/v{old}")
@@ -82,6 +92,6 @@ def refresh(spark: SparkSession, occurrences: DataFrame, folder: str) -> dict[st
     return told
 
 
-def relationships(spark: SparkSession, folder: str) -> DataFrame:
+def relationships(spark: SparkSession, folder: str, least: int = 1) -> DataFrame:
     """source, target, shared and strength of the current version, both ways."""
-    return graph.relationships(read(spark, folder, "pairs"))
+    return graph.relationships(read(spark, folder, _pairs(least)))

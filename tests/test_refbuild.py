@@ -75,3 +75,27 @@ def test_an_unfinished_version_is_not_current(spark):
     assert refbuild.versions(spark, folder) == [1]
     refbuild.refresh(spark, spark.createDataFrame(rows + [(3, "a")], ROWS), folder)
     assert refbuild.versions(spark, folder) == [1, 2] and _told(refbuild.relationships(spark, folder)) == brute(rows + [(3, "a")])
+
+
+@pytest.mark.parametrize("wide", [1, 3, 32])
+def test_strong_pairs_against_brute_force(spark, monkeypatch, wide):
+    """Pairs by two shared concepts, also of documents with many concepts, and those of one concept that is worth enough."""
+    monkeypatch.setattr(graph, "WIDE", wide)
+    rng = random.Random(wide)
+    rows = _rows(rng, range(50))
+    posts = refbuild.postings(spark.createDataFrame(rows, ROWS))
+    want = brute(rows)
+    assert _told(graph.relationships(graph.strong_pair_sums(posts, block=4))) == {k: v for k, v in want.items() if v[0] > 1}
+    some = spark.createDataFrame([(d,) for d in range(10)], "doc long")
+    assert _told(graph.relationships(graph.strong_pair_sums(posts, among=some, block=4))) == {k: v for k, v in want.items() if v[0] > 1 and min(k) < 10}
+    strong = {k: v for k, v in want.items() if v[1] > 0.25}
+    assert any(v[0] == 1 for v in strong.values()) and _told(graph.relationships(graph.strong_pair_sums(posts, worth=0.149)).where("strength > 0.25")) == strong
+
+
+def test_store_of_pairs_with_two_concepts_equals_a_rebuild(spark):
+    rng = random.Random(3)
+    folder = f"{shared_dir(spark)}/refs-{random.getrandbits(60):x}"
+    first, then = _rows(rng, range(30)), _rows(rng, range(15, 45))
+    for rows in (first, [r for r in first if r[0] is None or r[0] < 20] + [r for r in then if r[0] is not None and r[0] >= 20]):
+        refbuild.refresh(spark, spark.createDataFrame(rows, ROWS), folder, 2)
+        assert _told(refbuild.relationships(spark, folder, 2)) == {k: v for k, v in brute(rows).items() if v[0] > 1}

@@ -276,3 +276,14 @@ def test_json_limits_of_what_is_no_json(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": "xyz"}]}'), (2, "no json"), (3, None), (4, ""), (5, deep)], "k long, t string")
     got = {r.k: (r.depth, r["keys"], r.longest, r.accepted) for r in pii.json_limits(df, "k", "t", 5, 5, 5).collect()}
     assert got == {1: (3, 2, 3, True), 2: (None,) * 3 + (False,), 3: (None,) * 3 + (False,), 4: (None,) * 3 + (False,), 5: (None,) * 3 + (False,)}
+
+
+def test_equal_files_are_parsed_once():
+    import pandas as pd
+
+    from docsense.operators import detectors
+
+    seen = []
+    got = detectors._each(pd.Series(["a = 1", None, "b = 2", "a = 1", None]), lambda c: seen.append(c) or [c])
+    assert seen == ["a = 1", None, "b = 2"] and got.tolist() == [["a = 1"], [None], ["b = 2"], ["a = 1"], [None]]
+    assert detectors._each(pd.Series([], dtype=object), lambda c: c).tolist() == []

@@ -3,7 +3,8 @@
 Vectors are dealt by a hash of vec_id into shards of about ``SHARD_ROWS``; each shard is one layered graph, built in a task of
 its own and stored as rows (shard, place, vec_id, vector, links), so an index is a table like any other: it can be written,
 partitioned by shard and read again. A vector's top layer falls off geometrically; in each of its layers it is linked to up
-to ``M`` neighbours (twice as many at the bottom) that are nearer to it than to each other, found by a beam of ``BUILD_BEAM``.
+to ``M`` neighbours (twice as many at the bottom) that are nearer to it than to each other, of the ``BUILD_BEAM`` nearest before it.
+These are exact: a shard is small, and blocks of it are compared as matrices, which costs less than a beam for each vector.
 A query descends greedily from the top, searches the bottom layer of every shard with a beam of ``BEAM`` and the shards' best
 are merged. Distances are of directions, so the order is that of cosines.
 
@@ -25,6 +26,8 @@ SHARD_ROWS = 20_000
 M, BUILD_BEAM, BEAM = 16, 200, 50
 #: Queries that meet a shard in one task.
 QUERY_BLOCK = 4096
+#: Nodes whose candidates are compared at once.
+ROWS_AT_ONCE = 128
 INDEX = "shard int, place int, vec_id long, vector array<float>, links array<array<int>>"
 FOUND = "query_id long, vec_id long, score double, evaluations long"
 
@@ -83,52 +86,89 @@ class Graph:
     def search(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
         return self.beam(q, self.descend(q, 0), max(width, k), 0)[:k] if self.entry is not None else []
 
-    def spread(self, found: list[tuple[float, int]], most: int) -> np.ndarray:
-        """Up to ``most`` of the found nodes, nearest first, leaving out those nearer to a chosen one; then the rest fills up."""
-        chosen: list[int] = []
-        passed = []
-        for gap, node in found:
-            if len(chosen) >= most:
-                break
-            if chosen and (1.0 - self.vectors[chosen] @ self.vectors[node]).min() < gap:
-                passed.append(node)
-            else:
-                chosen.append(node)
-        return np.array(chosen + passed[: most - len(chosen)], np.int32)
-
-    def insert(self, node: int, level: int, m: int, width: int) -> None:
-        q, top = self.vectors[node], len(self.links) - 1
-        if self.entry is None:
-            self.links += [{} for _ in range(level + 1)]
-        near = self.descend(q, min(level, top)) if self.entry is not None else []
-        for layer in range(min(level, top), -1, -1):
-            near = self.beam(q, near, width, layer)
-            most = m if layer else 2 * m
-            mine = self.spread(near, m)
-            self.links[layer][node] = mine
-            for other in mine.tolist():
-                theirs = np.append(self.links[layer].get(other, np.empty(0, np.int32)), np.int32(node))
-                if len(theirs) > most:
-                    gaps = 1.0 - self.vectors[theirs] @ self.vectors[other]
-                    theirs = self.spread(sorted(zip(gaps.tolist(), theirs.tolist())), most)
-                self.links[layer][other] = theirs
-        for layer in range(top + 1, level + 1):
-            if len(self.links) <= layer:
-                self.links.append({})
-            self.links[layer][node] = np.empty(0, np.int32)
-        if self.entry is None:
-            for layer in range(level + 1):
-                self.links[layer][node] = np.empty(0, np.int32)
-        if self.entry is None or level > top:
-            self.entry = node
+
+def _nearest_before(unit: np.ndarray, members: np.ndarray, a: int, b: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``width`` nearest earlier members of the members a to b, nearest first, and their gaps; -1 and inf where there are fewer."""
+    gaps = 1.0 - unit[members[a:b]] @ unit[members[:b]].T
+    gaps[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = np.inf
+    width = min(width, b)
+    near = np.argpartition(gaps, width - 1, axis=1)[:, :width]
+    gaps = np.take_along_axis(gaps, near, 1)
+    order = np.lexsort((near, gaps), axis=1)
+    near, gaps = np.take_along_axis(near, order, 1), np.take_along_axis(gaps, order, 1)
+    return np.where(np.isfinite(gaps), members[near], -1), gaps
+
+
+def spread(unit: np.ndarray, near: np.ndarray, gaps: np.ndarray, most: int) -> np.ndarray:
+    """For each row up to ``most`` of its nodes (nearest first, -1 for none), leaving out those nearer to a chosen one; then the rest fills up."""
+    there = near >= 0
+    held = unit[near]
+    between = 1.0 - held @ held.transpose(0, 2, 1)
+    passed, taken, n = ~there, np.zeros(near.shape, bool), np.zeros(len(near), int)
+    for j in range(near.shape[1]):
+        taken[:, j] = take = ~passed[:, j] & (n < most)
+        n += take
+        passed |= take[:, None] & (between[:, j] < gaps)
+        if (n >= most).all():
+            break
+    order = np.argsort(np.where(taken, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(near, order, 1)
+
+
+def _linked(unit: np.ndarray, members: np.ndarray, m: int, most: int, width: int) -> dict[int, np.ndarray]:
+    """One layer's links: every node to up to ``m`` earlier ones and back, those with more than ``most`` spread again."""
+    chosen = [spread(unit, *_nearest_before(unit, members, a, min(a + ROWS_AT_ONCE, len(members)), width), m) for a in range(0, len(members), ROWS_AT_ONCE)]
+    heads = np.repeat(members, [c.shape[1] for c in chosen for _ in c])
+    tails = np.concatenate([c.ravel() for c in chosen])
+    heads, tails = heads[tails >= 0], tails[tails >= 0]
+    heads, tails = np.concatenate([heads, tails]), np.concatenate([tails, heads])
+    gaps = np.concatenate([1.0 - np.einsum("ij,ij->i", unit[heads[i : i + 100_000]], unit[tails[i : i + 100_000]]) for i in range(0, len(heads), 100_000)] or [np.empty(0, np.float32)])
+    order = np.lexsort((tails, gaps, heads))
+    heads, tails, gaps = heads[order], tails[order], gaps[order]
+    first, last = np.searchsorted(heads, members, "left"), np.searchsorted(heads, members, "right")
+    links = {node: tails[a:b].astype(np.int32) for node, a, b in zip(members.tolist(), first.tolist(), last.tolist())}
+    full = np.flatnonzero(last - first > most)
+    for i in range(0, len(full), ROWS_AT_ONCE):
+        some = full[i : i + ROWS_AT_ONCE]
+        at = first[some, None] + np.arange(min(width, (last - first)[some].max()))
+        ok = at < last[some, None]
+        at = np.where(ok, at, 0)
+        for node, held in zip(members[some].tolist(), spread(unit, np.where(ok, tails[at], -1), np.where(ok, gaps[at], np.inf).astype(unit.dtype), most)):
+            links[node] = held[held >= 0].astype(np.int32)
+    return links
+
+
+def _reached(unit: np.ndarray, links: dict[int, np.ndarray], entry: int, most: int) -> None:
+    """Nodes that no path from the entry leads to are linked from the nearest reached node that has room."""
+    reached, room = np.zeros(len(unit), bool), np.array([len(links[i]) < most for i in range(len(unit))])
+
+    def follow(node: int) -> None:
+        reached[node], todo = True, [node]
+        while todo:
+            near = links[todo.pop()]
+            near = near[~reached[near]]
+            reached[near] = True
+            todo += near.tolist()
+
+    follow(entry)
+    for node in range(len(unit)):
+        if not reached[node] and (reached & room).any():
+            near = int(np.where(reached & room, 1.0 - unit @ unit[node], np.inf).argmin())
+            links[near] = np.append(links[near], np.int32(node))
+            room[near] = len(links[near]) < most
+            follow(node)
 
 
 def grow(vectors: np.ndarray, seed: int, m: int = M, width: int = BUILD_BEAM) -> Graph:
+    """Layers are linked as by inserting node after node, but the candidates are the nearest earlier nodes by matrix products."""
+    if not len(vectors):
+        return Graph(vectors, [], None)
     rng = np.random.default_rng(seed)
-    graph = Graph(vectors, [], None)
-    for node, level in enumerate((-np.log(1.0 - rng.random(len(vectors))) / math.log(m)).astype(int).tolist()):
-        graph.insert(node, level, m, width)
-    return graph
+    levels = (-np.log(1.0 - rng.random(len(vectors))) / math.log(m)).astype(int)
+    links = [_linked(vectors, np.flatnonzero(levels >= layer), m, m if layer else 2 * m, width) for layer in range(levels.max() + 1)]
+    entry = int(levels.argmax())
+    _reached(vectors, links[0], entry, 2 * m)
+    return Graph(vectors, links, entry)
 
 
 def build(vectors: DataFrame, m: int = M, width: int = BUILD_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Graph index and product-quantised lists: recall against exact search, work saved, hostile rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,24 @@ def test_graph_links_are_bounded_and_connected():
     assert len(reached) == 400
 
 
+def test_graph_is_built_by_blocks():
+    """Candidates are the nearest earlier vectors, exactly; 5,000 vectors take seconds, and every one is reached."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(size=(4000, 32)), np.ones((1000, 32))]).astype(np.float32)[rng.permutation(5000)]
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    began = time.process_time()
+    graph = graphindex.grow(unit, 1)
+    assert time.process_time() - began < 25
+    reached, todo = {graph.entry}, [graph.entry]
+    while todo:
+        new = set(graph.links[0][todo.pop()].tolist()) - reached
+        reached |= new
+        todo += new
+    assert len(reached) == 5000 and all(len(x) <= 2 * graphindex.M for x in graph.links[0].values())
+    near, gaps = graphindex._nearest_before(unit, np.arange(5000), 300, 310, 5)
+    assert all(set(near[i]) == set(np.argsort(1.0 - unit[: 300 + i] @ unit[300 + i], kind="stable")[:5]) or gaps[i, -1] < 1e-5 for i in range(10))
+
+
 HOSTILE = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [1.0, 1.0])]
 
 

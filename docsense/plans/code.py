@@ -100,12 +100,16 @@ _RULE_OF = {"R": ("defer-in-loop", "high"), "A": ("query-in-loop", "high"), "N":
 
 def _order_programs(spark, d):
     """Every order is a Go file with a function of eight lines for each of its lines: a loop, and a statement in or behind it."""
-    said = F.coalesce(F.create_map(*[F.lit(x) for p in _STATEMENTS.items() for x in p])[F.col("l_returnflag")], F.lit("pass()"))
-    looped = F.col("l_quantity") > _LOOPED
-    n = F.col("l_linenumber").cast("string")
-    code = F.concat(F.lit("func f"), n, F.lit("(q string) {\n\tif ready {\n\t\tfor i := 0; i < "), F.col("l_quantity").cast("int").cast("string"), F.lit("; i++ {\n\t\t\t"), F.when(looped, said).otherwise("work()"), F.lit("\n\t\t}\n\t}\n\t"), F.when(looped, "work()").otherwise(said), F.lit("\n}\n"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", code.alias("code")).alias("f"))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["code"]), "").alias("code"))
+    word = lambda x: F.when(x == "R", _STATEMENTS["R"]).when(x == "A", _STATEMENTS["A"]).when(x == "N", _STATEMENTS["N"]).otherwise("pass()")
+
+    def code(x):
+        said, looped = word(x["l_returnflag"]), x["l_quantity"] > _LOOPED
+        head = F.concat(F.lit("func f"), x["l_linenumber"].cast("string"), F.lit("(q string) {\n\tif ready {\n\t\tfor i := 0; i < "), x["l_quantity"].cast("int").cast("string"), F.lit("; i++ {\n\t\t\t"))
+        return F.concat(head, F.when(looped, said).otherwise("work()"), F.lit("\n\t\t}\n\t}\n\t"), F.when(looped, "work()").otherwise(said), F.lit("\n}\n"))
+
+    # The lines are shuffled, their code is written behind the shuffle.
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("f"))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("f")), code), "").alias("code"))
 
 
 _IS = " ".join(f"WHEN '{k}' THEN '{r}'" for k, (r, _) in _RULE_OF.items())

@@ -7,9 +7,12 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsense.operators.batches import found_rows
+
 #: Patterns of the kinds of personal data.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -30,6 +33,7 @@ ADDRESS = r"(?i)\b\d+\s+[A-Za-z\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blv
 DEFAULT = ("email", "phone", "ssn", "credit_card", "ip_address", "aws_key", "api_key", "jwt_token", "password")
 LEAST = 0.8
 FOUND = "array<struct<kind:string,start:int,end:int,confidence:double>>"
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 
 
 def _luhn(digits: str) -> bool:
@@ -79,17 +83,24 @@ def redact(text: str | None, found, how: str = "mask") -> str:
 
 
 def spans(text: Column, kinds=DEFAULT, custom: dict[str, str] | None = None) -> Column:
-    @F.pandas_udf(FOUND)
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"kind": k, "start": a, "end": b, "confidence": c} for k, a, b, c in detect(t, kinds, custom)])
+    names = ("kind", "start", "end", "confidence")
+
+    @F.arrow_udf(FOUND)
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, f)) for f in detect(t.as_py(), kinds, custom)] for t in texts], _FOUND)
 
     return of(text)
 
 
+def span_rows(rows: DataFrame, keys: list[str], text: str, kinds=DEFAULT, custom: dict[str, str] | None = None) -> DataFrame:
+    """The keys with kind, start, end and confidence, a row for every finding."""
+    return found_rows(rows, keys, [F.col(text)], "kind string, start int, end int, confidence double", lambda t: detect(t, kinds, custom))
+
+
 def redacted(text: Column, how: str = "mask", kinds=DEFAULT) -> Column:
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, detect(t, kinds), how))
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array((redact(t, detect(t, kinds), how) for t in map(pa.Scalar.as_py, texts)), pa.string())
 
     return of(F.coalesce(text, F.lit("")))
 

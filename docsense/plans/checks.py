@@ -23,15 +23,13 @@ def query(sql: str | None = None):
 @query()
 def pii_spans(spark, d):
     """Every finding in every document: kind, place and confidence, without overlaps."""
-    rows = table(spark, d, "documents").select("doc_id", pii.spans(F.col("text")).alias("f"))
-    return rows.select("doc_id", F.inline("f"))
+    return pii.span_rows(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 @query()
 def pii_kinds(spark, d):
     """Report of each source: documents with findings, findings, and their kinds."""
-    rows = table(spark, d, "documents").select("source", "doc_id", pii.spans(F.col("text")).alias("f"))
-    found = rows.select("source", "doc_id", F.inline("f"))
+    found = pii.span_rows(table(spark, d, "documents"), ["source", "doc_id"], "text")
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 

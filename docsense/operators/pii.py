@@ -100,7 +100,7 @@ def span_rows(rows: DataFrame, keys: list[str], text: str, kinds=DEFAULT, custom
 def redacted(text: Column, how: str = "mask", kinds=DEFAULT) -> Column:
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array((redact(t, detect(t, kinds), how) for t in map(pa.Scalar.as_py, texts)), pa.string())
+        return pa.array([redact(t, detect(t, kinds), how) for t in (x.as_py() for x in texts)], pa.string())
 
     return of(F.coalesce(text, F.lit("")))
 

@@ -49,6 +49,7 @@ def test_pii_rows_leave_one_text_at_a_time(spark, monkeypatch):
     found = pii.span_rows(rows, ["k"], "t")
     assert found.columns == ["k", "kind", "start", "end", "confidence"]
     assert [tuple(r) for r in found.collect()] == [(k, *f) for k, t in enumerate(texts) for f in pii.detect(t)]
+    assert [r[0] for r in rows.select(pii.redacted(F.col("t"), "hash")).collect()] == [pii.redact(t, pii.detect(t), "hash") for t in texts]
 
 
 def test_pii_redaction_and_json(spark):

@@ -5,7 +5,8 @@ letters that follows from the two lengths. A word is cut into D // 2 + 1 segment
 edits at most one falls into some segment, so that segment stands in the partner as it is, with one letter less, or with
 one more, and shifted by no more letters than the lengths allow. Words emit these variants of their segments, vocabulary
 tokens their substrings of the lengths in question, both as 64-bit keys with length and place; only pairs that share a key
-are compared. Short and common segments make large keys on the vocabulary's side only; words are few on each.
+are compared. Short and common segments make large keys on the vocabulary's side only; words are few on each. Up to ``FEW`` words
+are compared with every token instead, by a banded edit distance.
 """
 
 from __future__ import annotations
@@ -87,8 +88,23 @@ def _keyed(df: DataFrame, column: str, keys, least: int) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).mapInPandas(run, f"{column} string, key array<long>").select(column, F.explode("key").alias("key"))
 
 
+#: Words up to which each is compared with every token: that costs less than a token's keys.
+FEW = 64
+
+
+def _compared(words: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
+    """The pairs within the edit distance that the ratio allows, which is never below the insertions and deletions it allows."""
+    pairs = vocabulary.select("token").crossJoin(F.broadcast(words)).where("word <> token")
+    most = F.floor((F.length("word") + F.length("token")) * (100 - least) / 100 + 0.5).cast("int")
+    near = pairs.where((F.abs(F.length("word") - F.length("token")) <= most) & (F.call_function("levenshtein", "word", "token", most) >= 0))
+    return near.select("word", "token").distinct()
+
+
 def candidates(words: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
     """Distinct pairs (word, token) that can reach the ratio ``least``, equal ones left out."""
-    own = _keyed(words.select("word").distinct(), "word", word_keys, least)
+    asked = words.select("word").where("word is not null").distinct()
+    if asked.limit(FEW + 1).count() <= FEW:
+        return _compared(asked, vocabulary, least)
+    own = _keyed(asked, "word", word_keys, least)
     theirs = _keyed(vocabulary.select("token").distinct(), "token", token_keys, least)
     return own.join(theirs, "key").where("word <> token").select("word", "token").distinct()

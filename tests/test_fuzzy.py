@@ -46,6 +46,20 @@ def test_matches_against_brute_force(spark):
     assert got == {(a, b): r for a in asked for b in vocabulary if a != b and (r := search.indel_ratio(a, b)) >= 80}
 
 
+def test_few_words_need_no_keys(spark, monkeypatch):
+    """A handful of words is compared directly, with the pairs that keys would give, and no key of a token is made."""
+    rng = random.Random(9)
+    vocabulary, asked = _words(rng, 500, "abcé", 14), ["abcab", "a", "", "cabébcaab"]
+    frame = lambda values, c: spark.createDataFrame([(v,) for v in [*values, None]], f"{c} string")
+    found = {}
+    for few in (fuzzy.FEW, 0):
+        monkeypatch.setattr(fuzzy, "FEW", few)
+        df = search.fuzzy_matches(frame(asked, "word"), frame(vocabulary, "token"), most=10_000)
+        found[few] = {tuple(r) for r in df.select("word", "token", "ratio").collect()}
+        assert ("key" in df._jdf.queryExecution().analyzed().toString()) == (few == 0)
+    assert found[0] == found[64] and len(found[0]) > 5
+
+
 def test_few_pairs_are_compared(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(8, 13))) for _ in range(2000)]

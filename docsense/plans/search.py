@@ -245,7 +245,7 @@ def essential_lines(spark, d):
 @query(r"WITH t AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), g AS (SELECT array_to_string(w[i:i + 2], ' ') AS gram FROM t, unnest(range(1, len(w) - 1)) r(i)) SELECT gram, count(*) AS n FROM g WHERE length(gram) > 10 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 50")
 def ngram_lookup(spark, d):
     """Most frequent three-word phrases, the table of a phrase compressor."""
-    return tokens.phrases(table(spark, d, "documents"), 3, 2).where(F.length("gram") > 10).orderBy(F.desc("n"), "gram").limit(50)
+    return tokens.top_phrases(table(spark, d, "documents"), 3, 2, 50, 10)
 
 
 @query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS rn FROM embeddings QUALIFY rn <= 5")

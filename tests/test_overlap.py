@@ -1,11 +1,12 @@
 """Pruned keyword search against brute force, and how little of the common words' postings it reads."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from docsense.operators import overlap
+from docsense.operators import overlap, tokens
 
 DOCS, QUERIES = "doc long, words array<string>", "query long, words array<string>"
 
@@ -52,3 +53,18 @@ def test_common_words_are_not_joined(spark, monkeypatch):
     got = overlap.best_by_overlap(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(docs, DOCS), 10).collect()
     assert sorted(tuple(r) for r in got) == brute(queries, docs, 10, 0.0)
     assert len(read) == 2 and not any(r.token.startswith("common") for rows in read for r in rows)
+
+
+@pytest.mark.parametrize("counters", [1, 3, 1 << 20])
+def test_top_phrases_by_counters(spark, monkeypatch, counters):
+    """However many phrases share a counter, the best are those of counting all; a look at too few counters is made up for."""
+    monkeypatch.setattr(tokens, "COUNTERS", counters)
+    monkeypatch.setattr(tokens, "FIRST_LOOK", 1 if counters == 3 else 4)
+    rng = random.Random(counters)
+    texts = [" ".join(rng.choice("abcd") * rng.choice((1, 4)) for _ in range(rng.randrange(30))) for _ in range(80)] + [None, "", "x y"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = Counter(g for t in texts if t for w in [t.split()] for i in range(len(w) - 2) if len(g := " ".join(w[i : i + 3])) > 6)
+    for k in (5, 100_000):
+        want = sorted(((g, n) for g, n in counts.items() if n >= 2), key=lambda x: (-x[1], x[0]))[:k]
+        assert [tuple(r) for r in tokens.top_phrases(docs, 3, 2, k, 6).collect()] == want
+    assert tokens.top_phrases(docs.limit(0), 3, 2, 5).count() == 0

@@ -89,3 +89,19 @@ def test_order_programs_are_written_behind_the_shuffle(spark):
     plan = code._order_programs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("collect_list") :].partition("\n")[2]
     assert "l_quantity" in below and "func f" not in below
+
+
+def test_lines_meet_the_rules_of_their_language_only(spark):
+    """A condition a language instead of one a rule; null and unknown languages meet the rules of any language."""
+    from docsense.operators import scan
+
+    said = 'eval(x); exec.Command("sh"); secret = "abcdefghijkl"; y.unwrap()\n<script'
+    files = spark.createDataFrame([(i, lang, said) for i, lang in enumerate(["go", "rust", "html", "typescript", "cobol", None])], "k int, lang string, code string")
+    found = scan.line_findings(files, "k", "code", language="lang")
+    names = {}
+    for r in found.collect():
+        names.setdefault(r.k, []).append((r.line, r.rule_id))
+    every = (1, "hard-coded-secret")
+    assert names == {0: [(1, "command-exec"), every, (1, "shell-exec")], 1: [every, (1, "unwrap-call")], 2: [every, (2, "script-tag")], 3: [every, (1, "eval-call")], 4: [every], 5: [every]}
+    # A condition for each rule would compare the language some ninety times.
+    assert found._jdf.queryExecution().analyzed().toString().count("(lang#") <= len({r[1] for r in scan.LINE_RULES})

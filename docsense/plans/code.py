@@ -89,8 +89,9 @@ def issues_by_language(spark, d):
 @query(f"WITH {_FIND} SELECT p_partkey, count(*) AS n FROM found WHERE severity IN ('critical', 'high') AND family = 'injection' GROUP BY 1")
 def issue_filter(spark, d):
     """Findings of a severity and a family."""
-    found = scan.line_findings(_sources(spark, d), "p_partkey", "code", language="language")
-    return found.where(F.col("severity").isin("critical", "high") & (F.col("family") == "injection")).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    wanted = [r for r in scan.LINE_RULES if r[2] == "injection" and r[4] in ("critical", "high")]
+    found = scan.line_findings(_sources(spark, d), "p_partkey", "code", wanted, language="language")
+    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: The quantity above which a line's statement stands in the loop, and the statement that its return flag calls for.

@@ -1,11 +1,12 @@
 """Rubrics, sections, file rules, readers and reviews on small literal fixtures."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from docsense.functions import markup
-from docsense.operators import reviews, rubrics, scan, sections
+from docsense.operators import reviews, rubrics, scan, sections, tokens
 from docsense.sources import readers
 
 DOC = """# Title
@@ -124,3 +125,18 @@ def test_reviews(spark):
     load = reviews.workload(spark.createDataFrame([("r1",), ("r3",)], "r string"), dated, "r")
     assert {tuple(r) for r in load.collect()} == {("r1", 2, 1, 1), ("r3", 0, 0, 0)}
     assert {tuple(r) for r in reviews.progress(dated, "doc").collect()} == {("d", 2, 1, 50.0), ("e", 1, 0, 0.0)}
+
+
+def test_abbreviations_search_what_a_text_holds(spark):
+    """One replacement in the expression instead of one a word, with the results of all replacements in turn."""
+    rng = random.Random(4)
+    words = [*tokens.ABBREVIATIONS, *tokens.ABBREVIATIONS.values(), "und", "é", "_", "x9"]
+    texts = ["".join(rng.choice((str.upper, str.title, str.lower))(rng.choice(words)) + rng.choice((" ", ".", "", "é", "\n", "-")) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "k int, t string")
+    inturn = F.col("t")
+    for word, short in tokens.ABBREVIATIONS.items():
+        inturn = F.regexp_replace(inturn, rf"(?i)\b{word}\b", short)
+    found = rows.select(tokens.abbreviate(F.col("t")).alias("a"), inturn.alias("b"), F.col("t"))
+    assert found.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0 and found.where("a <> t").count() > 100
+    plan = rows.select(tokens.abbreviate(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") < 5

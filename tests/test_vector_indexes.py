@@ -123,6 +123,21 @@ def test_quantised_lists_split_hot_cells(spark, monkeypatch):
     assert len(whole & exact) >= 0.9 * len(exact) and len(split & exact) >= 0.9 * len(exact)
 
 
+def test_quantised_lists_return_a_blocks_best_only(spark, large):
+    """What leaves the scans is refine times k rows a query and block, not that many for each of its cells."""
+    v, _ = large
+    q = v.where("vec_id % 500 = 0")
+    df = vectors.ivf_search(v, q, 2, cells=40, probes=40, refine=3)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(cell" not in plan
+    points = np.random.default_rng(1).normal(size=(500, 8))
+    held = vectors.quantiser(points, 5, 4, 1)
+    cell, codes = held.encode(points)
+    back = held.decode(cell, codes)
+    assert back.shape == points.shape and ((back - points) ** 2).sum() < 0.2 * (points**2).sum()
+
+
 def test_registered_graph_search(spark):
     found = extras.QUERIES["graph_search"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["query_id", "vec_id", "score", "rank"] and found.count() == 50

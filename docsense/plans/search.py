@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsense.operators import overlap, search, tokens, vectors
+from docsense.operators.staging import staged
 from docsense.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -100,11 +101,12 @@ def ir_metrics(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("passage"))
     # The passage's longest word (ties to the smaller) must be among the document's words.
     keyed = items.withColumn("token", F.element_at(F.array_sort(F.transform(search.tokens(F.col("passage")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"])
-    # Ids and words meet first; the text joins the few pairs that are left.
-    docs = table(spark, d, "documents")
-    met = docs.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token")).join(keyed, "token").select("doc_id", "item_id", "passage")
-    both = met.join(docs.select("doc_id", F.lower("text").alias("body")), "doc_id")
-    relevant = both.where(F.col("body").contains(F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    # A text is read once and meets a passage in place: only the passages' words are exploded, and no text is shuffled.
+    sought = keyed.agg(F.collect_set("token").alias("sought"))
+    docs = table(spark, d, "documents").select("doc_id", "text", search.tokens(F.col("text")).alias("words")).crossJoin(F.broadcast(sought))
+    met = docs.select("doc_id", "text", F.explode(F.array_intersect("words", "sought")).alias("token")).join(keyed, "token")
+    both = met.where(F.lower("text").contains(F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    relevant = staged(both, "relevant")
     return search.ir_metrics(hits, relevant, 10)
 
 

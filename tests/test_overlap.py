@@ -68,3 +68,17 @@ def test_top_phrases_by_counters(spark, monkeypatch, counters):
         want = sorted(((g, n) for g, n in counts.items() if n >= 2), key=lambda x: (-x[1], x[0]))[:k]
         assert [tuple(r) for r in tokens.top_phrases(docs, 3, 2, k, 6).collect()] == want
     assert tokens.top_phrases(docs.limit(0), 3, 2, 5).count() == 0
+
+
+def test_relevance_reads_texts_in_place(spark, monkeypatch, tmp_path):
+    """The relevant pairs are made once, without a shuffle of texts, and are those whose text holds the passage."""
+    from docsense.plans import search as plans
+
+    docs = [(1, "The Elephants walk far"), (2, "elephants run"), (3, None), (4, "we saw the elephants WALK far away"), (4, "the elephants walk far"), (5, "walk far")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "the elephants walk far"), (8, "lions")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = []
+    monkeypatch.setattr(plans, "staged", lambda df, name: made.append(df) or df, raising=False)
+    found = plans.ir_metrics(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in made[0].collect()) == [(7, 1), (7, 4), (7, 4)] and [r.query for r in found] == [7]
+    assert "Exchange hashpartitioning(doc_id" not in made[0]._jdf.queryExecution().executedPlan().toString()
